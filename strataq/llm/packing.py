@@ -14,7 +14,7 @@ MAX_TOKENS = 2048
 BLOCK = 8192  # pieces that one task packs together
 #: Outside this range (and for a few letters within) a text goes to the tokenizer whole, see Encoder.
 _EXOTIC = re.compile("[^\\t-\\r\\x20-\\x7e\\u00a1-\\u012f\\u0131-\\u02af\\u2010-\\u2027\\u2030-\\u205e\\u20ac]")
-_CACHE = 150_000  # entries of one generation of a cache
+_CACHE = 300_000  # entries of one generation of a cache
 _READY: dict = {}
 
 
@@ -47,7 +47,7 @@ class Encoder:
 
     The vocabulary's pre-tokenizer never joins across white space and its normaliser lower-cases, so the ids of a text
     are those of its lower-cased chunks in order, and those of a chunk are those of its words. Chunks and words are
-    looked up in bounded caches; the tokenizer's merges run for unknown words only. Texts with characters for which
+    looked up in a bounded cache; the tokenizer's merges run for unknown words only. Texts with characters for which
     letter case, classes or white space could differ between libraries go to the tokenizer as they are.
     """
 
@@ -66,19 +66,24 @@ class Encoder:
         table = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
         merge = self.tok.model.tokenize
 
+        four = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
+
         def word(w: str) -> bytes:
             if not w.isascii():
                 w = w.encode().decode("latin-1").translate(table)
-            return np.array([t.id for t in merge(w)], dtype="<u4").tobytes()
-
-        words = _Recent(word, _CACHE)
+            return b"".join([four[t.id] for t in merge(w)])
 
         def chunk(c: str) -> bytes:
             if not c.isascii():
                 c = unicodedata.normalize("NFC", c)
-            return b"".join([words[w] for w in split(c)])
-
-        self.chunks = _Recent(chunk, _CACHE)
+            if c.isalpha():
+                return word(c)
+            if len(c) > 1 and c[-1] in ",.;:!?" and c[:-1].isalpha():
+                return known[c[:-1]] + known[c[-1]]
+            parts = split(c)
+            return word(c) if parts == [c] else b"".join([known[w] for w in parts])
+
+        self.chunks = known = _Recent(chunk, _CACHE)
 
     def __call__(self, text) -> bytes:
         if not text:
