@@ -109,6 +109,21 @@ def lookup(df: DataFrame, table: DataFrame, key: str, weight: str, salt: Column,
                       *[F.coalesce(F.col(f"__hv.{v}"), F.col(f"__rv.{v}")).alias(v) for v in values])
 
 
+def keep_decided(df: DataFrame, decided: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of df without those that `decided` (the columns `keys`, unique, and boolean kept) rejects.
+
+    Only rows that a fixed-size filter lets through are shuffled; the others have no decision and stay where they are.
+    keys: expressions over df, none null. Rows equal in all keys that are decided on stay once.
+    """
+    names = list(keys)
+    out = df.columns
+    bits = bit_filter(decided, F.xxhash64(*names))
+    flagged = with_membership(df.withColumns({f"__{k}": e for k, e in keys.items()}), bits, F.xxhash64(*[f"__{k}" for k in names]), "__maybe")
+    rest = flagged.where("__maybe").join(decided.select(*[F.col(k).alias(f"__{k}") for k in names], F.col("kept").alias("__kept")), [f"__{k}" for k in names], "left")
+    rest = rest.where(F.coalesce("__kept", F.lit(True))).dropDuplicates([f"__{k}" for k in names])
+    return flagged.where(~F.col("__maybe")).select(*out).union(rest.select(*out))
+
+
 # --------------------------------------------------------------------------- running sums without one big task
 def running_sum(df: DataFrame, order: list[Column], value: str, name: str, parts: int | None = None) -> DataFrame:
     """Running sum of `value` over the global order: range-partition, sum each partition, add the offsets.

@@ -33,7 +33,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     norm = normalised(F.col(text_col))
     base = docs.select(F.col(id_col).alias("id"), norm.alias("norm"),
                        F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("cp"),
-                       *[e.alias(k) for k, e in (carry or {}).items()])
+                       *[e.alias(f"__c_{k}") for k, e in (carry or {}).items()])
     slim = base.select("norm", F.length("norm").alias("n"))
     lengths = slim.groupBy("n").count().where("count > 1")
     by_length = bit_filter(lengths, F.col("n"))
@@ -41,7 +41,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     level2 = with_membership(slim, by_length, F.col("n"), "maybe").where("maybe").select(prefix.alias("p"))
     by_prefix = bit_filter(level2.groupBy("p").count().where("count > 1"), F.col("p"))
     level3 = with_membership(base.withColumn("n", F.length("norm")).withColumn("p", prefix), by_prefix, F.col("p"), "maybe")
-    extra = list(carry or {})
+    extra = [f"__c_{k}" for k in carry or {}]
     rows = materialize(level3.select("id", "cp", F.when(F.col("maybe"), F.sha2("norm", 256)).alias("h"), *extra))
     groups = (rows.where("h is not null").groupBy("h")
               .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct((-F.col("cp")).alias("c"), F.col("id"))).alias("best"))
@@ -50,7 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = F.when(F.col("grouped"), F.col("best")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), keep.alias("keep_id"),
                       F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-                      F.col("id").eqNullSafe(keep).alias("kept"), *extra)
+                      F.col("id").eqNullSafe(keep).alias("kept"), *[F.col(f"__c_{k}").alias(k) for k in carry or {}])
 
 
 def op5_exact_dedup(spark, sf_dir):

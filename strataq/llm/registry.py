@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataq.llm import embedding_dedup, exact_dedup, language, mixing, packing, secrets, simhash, toxicity, url_filter
+from strataq.llm import embedding_dedup, exact_dedup, language, mixing, packing, secrets, simhash, suffix_dedup, toxicity, url_filter
 
-_MODULES = [mixing, embedding_dedup, toxicity, exact_dedup, language, simhash, secrets, packing, url_filter]
+_MODULES = [mixing, embedding_dedup, toxicity, suffix_dedup, exact_dedup, language, simhash, secrets, packing, url_filter]
 
 
 def _each(kind):

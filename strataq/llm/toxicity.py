@@ -188,10 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
     return chain
 
 
-def score(docs: DataFrame, chain: Chain, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The `keep` columns and p_<category> for every document, over its whole text."""
+def score(docs: DataFrame, chain: Chain, text_col: str = "text", keep: list[str] | None = None, prefix: str = "p_") -> DataFrame:
+    """The `keep` columns and <prefix><category> for every document, over its whole text."""
     keep = keep or docs.columns
-    names = [f"p_{c}" for c in chain.names]
+    names = [f"{prefix}{c}" for c in chain.names]
 
     def run(batches):
         for b in batches:
@@ -201,7 +201,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", keep: list[str]
 
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{n} double" for n in names)]))
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{n}` double" for n in names)]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5,
