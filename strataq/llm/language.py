@@ -1,8 +1,6 @@
 """Operator 6: language identification by rank-order n-gram profiles."""
 
-import heapq
-import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -13,75 +11,79 @@ from pyspark.sql import functions as F
 from strataq.llm.common import load
 
 PROFILE = 400  # n-grams in a profile
-SIZES = (1, 2, 3)
-_WORD = re.compile(r"[^\W\d_]+")
-_GRAMS: dict[str, tuple] = {}
+PIECE = 1 << 20  # characters of a text that are counted at once
+_LETTER: list = []
 
 
-def grams_of(word: str) -> tuple:
-    """The n-grams of a word with blanks around it; the blank alone is none."""
-    got = _GRAMS.get(word)
-    if got is None:
-        if len(_GRAMS) > 200_000:
-            _GRAMS.clear()
-        w = f" {word} "
-        got = tuple(w[i: i + n] for n in SIZES for i in range(len(w) - n + 1) if n > 1 or w[i] != " ")
-        if len(word) < 64:
-            _GRAMS[word] = got
-    return got
+def _letters() -> np.ndarray:
+    if not _LETTER:
+        _LETTER.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
+    return _LETTER[0]
 
 
-def gram_counts(words: Counter) -> Counter:
-    out: dict = defaultdict(int)
-    for w, c in words.items():
-        for g in grams_of(w):
-            out[g] += c
-    return out
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of the 1- to 3-grams of a text's words, in lower case, each word within blanks.
+
+    A word is a run of letters. The blank alone is no n-gram. A key holds up to three code points of 21 bits, the
+    first one highest, so keys sort as the n-grams do.
+    """
+    c = np.frombuffer(f" {text.lower()}  ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    is_letter = _letters()[c]
+    if not is_letter.any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    c = np.where(is_letter, c, np.uint32(32)).astype(np.uint64)
+    found = []
+    for at in range(0, len(c) - 2, PIECE):
+        n = min(PIECE, len(c) - 2 - at)
+        x, y, z = c[at: at + n] << np.uint64(42), c[at + 1: at + n + 1] << np.uint64(21), c[at + 2: at + n + 2]
+        a, b = is_letter[at: at + n], is_letter[at + 1: at + n + 1]
+        xy = x | y
+        found.append(_count(np.concatenate([x[a], xy[a | b], (xy | z)[b]])))
+    return found[0] if len(found) == 1 else merge(found)
+
+
+def _count(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys.sort()
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.diff(np.r_[at, len(keys)])
 
 
-def top(counts: dict, k: int) -> list:
+def merge(parts) -> tuple[np.ndarray, np.ndarray]:
+    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
+def top(keys: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
     """The k most frequent n-grams; equal counts by code point."""
-    if len(counts) > 4 * k:
-        floor = heapq.nlargest(k, counts.values())[-1]
-        counts = {g: c for g, c in counts.items() if c >= floor}
-    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:k]]
+    return keys[np.argsort(-counts, kind="stable")[:k]]
 
 
 def train_profiles(docs: DataFrame, text_col: str, lang_col: str, k: int = PROFILE) -> DataFrame:
     """(lang, gram, rank): the k most frequent n-grams of each language, counted over all given rows.
 
-    Each task counts words, spreads them over n-grams and sends one row per language and n-gram; the counts are
+    Each task sends one row per language and n-gram (as a key, see gram_counts); the counts are
     summed and ranked per language over pre-aggregated rows.
     """
     def run(batches):
-        words: dict[str, Counter] = defaultdict(Counter)
-        grams: dict[str, dict] = defaultdict(lambda: defaultdict(int))
-
-        def spill():
-            for lang, c in words.items():
-                into = grams[lang]
-                for g, n in gram_counts(c).items():
-                    into[g] += n
-            words.clear()
-
+        held: dict[str, list] = defaultdict(list)
         for b in batches:
             for text, lang in zip(b.column(0), b.column(1).to_pylist()):
-                words[lang].update(_WORD.findall(text.as_py().lower()))
-            if sum(map(len, words.values())) > 200_000:
-                spill()
-            if sum(map(len, grams.values())) > 400_000:
-                yield from _emit(grams)
-                grams.clear()
-        spill()
-        yield from _emit(grams)
-
-    def _emit(grams):
-        for lang, c in grams.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())],
-                                             ["lang", "gram", "n"])
+                parts = held[lang]
+                parts.append(gram_counts(text.as_py()))
+                if len(parts) >= 256:
+                    held[lang] = [merge(parts)]
+            if sum(len(k) for parts in held.values() for k, _ in parts) > 2_000_000:
+                yield from emit(held)
+                held.clear()
+        yield from emit(held)
+
+    def emit(held):
+        for lang, parts in held.items():
+            keys, counts = merge(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col)
-    counts = rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= k).select("lang", "gram", "rank")
 
@@ -99,30 +101,27 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
     """
     names = list(carry or {})
     profiles = train_profiles(docs.where(train), text_col, lang_col, k)
-    learned: dict[str, dict] = defaultdict(dict)
     found = profiles.limit(max_languages * k + 1).collect()  # bounded: k rows a language
     if len(found) > max_languages * k:
         raise ValueError("more languages than max_languages")
+    langs = sorted({r[0] for r in found})
+    vocabulary = np.unique(np.array([r[1] for r in found], np.uint64))
+    ranks = np.full((len(vocabulary) + 1, len(langs)), -1, np.int32)  # the last row: an n-gram that no profile has
     for lang, gram, rank in found:
-        learned[lang][gram] = rank - 1
-    langs = sorted(learned)
-    index = {g: i for i, g in enumerate(sorted({g for p in learned.values() for g in p}))}
-    ranks = np.full((len(index) + 1, len(langs)), -1, np.int32)  # the last row: an n-gram that no profile has
-    for j, lang in enumerate(langs):
-        for g, r in learned[lang].items():
-            ranks[index[g], j] = r
+        ranks[np.searchsorted(vocabulary, np.uint64(gram)), langs.index(lang)] = rank - 1
     place = np.arange(k, dtype=np.int32)
 
     def run(batches):
         for b in batches:
             pred, score = [], []
             for text in b.column(b.num_columns - 1):
-                words = _WORD.findall((text.as_py() or "").lower())
-                if not words or not langs:
+                keys, counts = gram_counts(text.as_py() or "")
+                if not len(keys) or not langs:
                     pred.append("und"), score.append(0.0)
                     continue
-                best = top(gram_counts(Counter(words)), k)
-                rows = ranks[[index.get(g, -1) for g in best]]
+                best = top(keys, counts, k)
+                at = np.minimum(np.searchsorted(vocabulary, best), len(vocabulary) - 1)
+                rows = ranks[np.where(vocabulary[at] == best, at, -1)]
                 apart = np.where(rows < 0, k, np.abs(rows - place[: len(best), None])).sum(0)
                 j = int(apart.argmin())
                 pred.append(langs[j]), score.append(1.0 - float(apart[j]) / (k * len(best)))
