@@ -44,6 +44,36 @@ def remove(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidied(run, *forget):
+    """A mapInArrow function that ends by calling `forget` (module-level functions) and giving free memory back.
+
+    Python workers outlive their tasks and serve later stages, where what a task has left behind would count.
+    """
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for f in forget:
+                f()
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 # --------------------------------------------------------------------------- fixed-size membership filter
 FILTER_BITS = 1 << 23  # 1 MB in all, whatever the input
 
@@ -179,7 +209,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     a, b = edges.columns[:2]
     cur = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    cur = materialize(cur.mapInArrow(_forest, "u long, v long"))
+    cur = materialize(cur.mapInArrow(tidied(_forest), "u long, v long"))
     before = None
     for _ in range(max_rounds):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))

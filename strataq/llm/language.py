@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataq.llm.common import load
+from strataq.llm.common import load, tidied
 
 PROFILE = 400  # n-grams in a profile
 PIECE = 1 << 20  # characters of a text that are counted at once
@@ -83,7 +83,7 @@ def train_profiles(docs: DataFrame, text_col: str, lang_col: str, k: int = PROFI
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col)
-    counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidied(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= k).select("lang", "gram", "rank")
 
@@ -132,7 +132,7 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col), *[e.alias(n) for n, e in (carry or {}).items()], F.col(text_col).alias("__text"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [id_col, *names]) + ", lang_pred string, score double"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def op6_language(spark, sf_dir):

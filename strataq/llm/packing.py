@@ -8,13 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import load, materialize
+from strataq.llm.common import load, materialize, tidied
 
 MAX_TOKENS = 2048
 BLOCK = 8192  # pieces that one task packs together
 #: Outside this range (and for a few letters within) a text goes to the tokenizer whole, see Encoder.
 _EXOTIC = re.compile("[^\\t-\\r\\x20-\\x7e\\u00a1-\\u012f\\u0131-\\u02af\\u2010-\\u2027\\u2030-\\u205e\\u20ac]")
-_CACHE = 300_000  # entries of one generation of a cache
+_CACHE = 250_000  # entries of one generation of a cache
 _READY: dict = {}
 
 
@@ -99,6 +99,12 @@ def encoder(path: str) -> Encoder:
     return _READY[path]
 
 
+def forget() -> None:
+    for e in _READY.values():
+        e.chunks.clear()
+        e.chunks.old = {}
+
+
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, max_tokens: int = MAX_TOKENS,
                  with_ids: bool = False, end_id: int = 0) -> DataFrame:
     """(id, row, piece, start, length, ids_crc32 [, ids]): every document as ids plus the end id, in pieces of max_tokens.
@@ -127,7 +133,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, ma
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                        F.monotonically_increasing_id().alias("row"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run, forget), schema)
 
 
 def _batch(cols, with_ids):

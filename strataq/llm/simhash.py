@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataq.llm.common import bit_filter, connected_components, load, lookup, materialize, with_membership
+from strataq.llm.common import bit_filter, connected_components, load, lookup, materialize, tidied, with_membership
 
 SHINGLE = 5  # words
 SIMILARITY = (8, 10)  # Jaccard of shingle sets, as a fraction
@@ -38,7 +38,7 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     words = _WORD.findall((text or "").lower())
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_HASHES) > 200_000:
+    if len(_HASHES) > 100_000:
         _HASHES.clear()
     data = []
     for w in words:
@@ -54,6 +54,10 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(_mix(h))
 
 
+def forget() -> None:
+    _HASHES.clear()
+
+
 def fingerprint(s: np.ndarray) -> np.ndarray:
     """The SimHash of a shingle set as packed bits: by coordinate, the majority of the shingles' hash bits."""
     counts = np.zeros(64 * len(_KEYS), np.int64)
@@ -159,7 +163,7 @@ def candidate_edges(classes: DataFrame, tables: int = TABLES, bits: int = BITS,
     classes: (id, print). A bucket of more than `bucket` rows takes additional bits, from one of four words of other
     coordinates, in as many repetitions as keep its recall above 0.99 (each repetition is a table of its own).
     """
-    rows = classes.mapInArrow(_tables(tables, bits), "bucket long, id long, f0 long, f1 long, f2 long, f3 long")
+    rows = classes.mapInArrow(tidied(_tables(tables, bits)), "bucket long, id long, f0 long, f1 long, f2 long, f3 long")
     rows = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("bucket")))
     more = F.when(F.col("n") > bucket, F.ceil(F.log2(F.col("n") / bucket))).otherwise(0).cast("int")
     more = F.least(more, F.lit(12))
@@ -171,7 +175,7 @@ def candidate_edges(classes: DataFrame, tables: int = TABLES, bits: int = BITS,
     extra = F.call_function("shiftrightunsigned", word, shift).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("more")) - 1)
     sub = F.when(F.col("more") > 0, F.lit(1) + F.col("rep") * 4096 + extra).otherwise(F.lit(0)).cast("long")
     return (rows.withColumn("sub", sub).select("bucket", "sub", "id", "f0", "f1", "f2", "f3")
-            .sortWithinPartitions("bucket", "sub").mapInArrow(_near(distance), "u long, v long"))
+            .sortWithinPartitions("bucket", "sub").mapInArrow(tidied(_near(distance)), "u long, v long"))
 
 
 def linked(sets: list[np.ndarray], similarity=SIMILARITY) -> np.ndarray:
@@ -260,7 +264,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     its text equals another's. Extra columns are ignored; an empty table gives an empty result.
     """
     prints = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-                         .mapInArrow(_fingerprints, "id long, sig string, print binary"))
+                         .mapInArrow(tidied(_fingerprints, forget), "id long, sig string, print binary"))
     classes = materialize(prints.where("sig is not null and id is not null").groupBy("sig")
                           .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("print").alias("print")))
     edges = candidate_edges(classes.select("id", "print"), tables, bits, bucket, distance)

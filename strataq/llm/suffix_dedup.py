@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import bit_filter, load, materialize, running_sum, with_membership
+from strataq.llm.common import bit_filter, load, materialize, running_sum, tidied, with_membership
 
 LENGTH = 100  # bytes of a passage
 GRAM = 32  # bytes of an anchor
@@ -446,17 +446,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         numbered = materialize(numbered.select(F.col("n").cast("long").alias("n"), "id", "text"))
         base, back = numbered.select(F.col("n").alias("id"), "text"), numbered.select(F.col("n").alias("__n"), F.col("id").alias("__id"))
     base = base.select(F.col("id").cast("long").alias("id"), "text")
-    grouped = (base.mapInArrow(_anchors(buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_group, _OUT))
+    grouped = (base.mapInArrow(tidied(_anchors(buckets)), "bucket int, blob binary").groupBy("bucket").applyInArrow(_group, _OUT))
     grouped = materialize(grouped)
     asked = grouped.where("kind = 1").groupBy("id").agg(F.collect_list("blob").alias("blobs"))
     texts = with_membership(base, bit_filter(asked, F.col("id")), F.col("id"), "maybe").where("maybe").drop("maybe")
-    compared = (texts.join(asked, "id").select("id", "text", "blobs").mapInArrow(_contexts(buckets), "bucket int, blob binary")
+    compared = (texts.join(asked, "id").select("id", "text", "blobs").mapInArrow(tidied(_contexts(buckets)), "bucket int, blob binary")
                 .groupBy("bucket").applyInArrow(_compare, _OUT))
     spans = materialize(grouped.where("kind = 0").union(compared))
     per_doc = spans.groupBy("id").agg(F.collect_list("blob").alias("blobs"))
     flagged = with_membership(base, bit_filter(spans, F.col("id")), F.col("id"), "maybe")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text
-    cut = (flagged.where("maybe").drop("maybe").join(per_doc, "id", "left").select("id", "text", "blobs").mapInArrow(_cut(with_text), schema))
+    cut = (flagged.where("maybe").drop("maybe").join(per_doc, "id", "left").select("id", "text", "blobs").mapInArrow(tidied(_cut(with_text)), schema))
     zero = F.lit(0).cast("long")
     whole = flagged.where("not maybe").select("id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
                                               F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), *([F.col("text").cast("binary").alias("kept_bytes")] * with_text))

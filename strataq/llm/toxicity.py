@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import load, materialize
+from strataq.llm.common import load, materialize, tidied
 
 MAX_ROWS = 12_000  # labelled rows that the chain is fitted on
 FEATURES = 600  # kept for each category
@@ -59,7 +59,7 @@ def choose_features(sample: DataFrame, categories: list[str], k: int, min_docs:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *[pa.array([c[i] for c in seen.values()], pa.int64()) for i in range(cats + 1)]],
                                          ["f", "n", *[f"n_{c}" for c in categories]])
 
-    counts = (sample.select("text", *[f"y_{c}" for c in categories]).mapInArrow(run, "f string, n long, " + ", ".join(f"n_{c} long" for c in categories))
+    counts = (sample.select("text", *[f"y_{c}" for c in categories]).mapInArrow(tidied(run), "f string, n long, " + ", ".join(f"n_{c} long" for c in categories))
               .groupBy("f").agg(F.sum("n").alias("n"), *[F.sum(f"n_{c}").alias(f"n_{c}") for c in categories]).where(F.col("n") >= min_docs))
     counts = materialize(counts)
     total = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"y_{c}").alias(c) for c in categories]).first()
@@ -137,7 +137,7 @@ class Chain:
     def places(self, token: str) -> tuple:
         got = self.cache.get(token)
         if got is None:
-            if len(self.cache) > 200_000:
+            if len(self.cache) > 100_000:
                 self.cache.clear()
             got = tuple(i for f in features_of(token) if (i := self.index.get(f)) is not None)
             if len(token) < 64:
@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
                                              ["id", "at", *[f"y_{c}" for c in names]])
 
     got = (sample.select(F.col("id").cast("long").alias("id"), "text", *[f"y_{c}" for c in names])
-           .mapInArrow(run, "id long, at array<int>, " + ", ".join(f"y_{c} int" for c in names)).orderBy("id").toArrow())  # max_rows rows
+           .mapInArrow(tidied(run), "id long, at array<int>, " + ", ".join(f"y_{c} int" for c in names)).orderBy("id").toArrow())  # max_rows rows
     x = np.zeros((got.num_rows, len(feats)), np.float32)
     for i, at in enumerate(got["at"].to_pylist()):
         x[i, at] = 1
@@ -201,7 +201,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", keep: list[str]
 
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{n}` double" for n in names)]))
+    return rows.mapInArrow(tidied(run), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{n}` double" for n in names)]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5,
