@@ -91,21 +91,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     are ignored unless named in `keep`; an empty table gives an empty result. A hot source is split by shuffle
     position; only one row per source, and one per partition, ever meet in a task.
     """
-    bounds = mix_bounds(docs, id_col, text_col, source_col, weights)
     names = keep or [id_col]
+    out = _with_plan(docs, names, id_col, text_col, source_col, weights)
+    return out.select(*[F.col(f"k_{c}").alias(c) for c in names], "size", "source_size", "target", "taken")
+
+
+def _with_plan(docs: DataFrame, names: list[str], id_col: str, text_col: str, source_col: str, weights) -> DataFrame:
+    """k_<name> of every row with size, source_size, target and taken: one look-up of the source's bounds, no shuffle of texts."""
+    bounds = mix_bounds(docs, id_col, text_col, source_col, weights)
     base = docs.select(*[F.col(c).alias(f"k_{c}") for c in names], source_key(F.col(source_col)).alias("sk"),
                        shuffle_key(F.col(id_col)).alias("pos"), words(F.col(text_col)).alias("size"))
     out = lookup(base, bounds, "sk", "source_size", F.col("pos"), check=True)
     n = sum((F.when(F.col("pos") <= F.col(f"end{e}"), 1).otherwise(0) for e in range(EPOCHS)), F.lit(0))
-    return out.select(*[F.col(f"k_{c}").alias(c) for c in names], "size", "source_size", "target",
-                      (F.col("size") * n).cast("long").alias("taken"))
+    return out.withColumn("times", F.when(F.col("size") > 0, n).otherwise(0).cast("int")).withColumn("taken", F.col("size") * F.col("times").cast("long"))
 
 
-def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3)) -> DataFrame:
     """The mix itself: the columns of docs, each document as often as it is taken."""
-    return (mix(docs, keep=docs.columns, **kw).where("taken > 0")
-            .withColumn("__n", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
-            .select(*docs.columns))
+    out = _with_plan(docs, docs.columns, id_col, text_col, source_col, weights).where("times > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*[F.col(f"k_{c}").alias(c) for c in docs.columns])
 
 
 def op1_mixing(spark, sf_dir):
