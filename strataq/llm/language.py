@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataq.llm.common import load, tidied
+from strataq.llm.common import bounded_batches, load, tidied
 
 PROFILE = 400  # n-grams in a profile
 PIECE = 1 << 20  # characters of a text that are counted at once
@@ -99,6 +99,7 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
     rows are judged each; extra columns are ignored. Profiles hold at most max_languages x k rows (else it raises)
     and are the only thing that is sent to all tasks. Very long texts are counted whole.
     """
+    bounded_batches(docs.sparkSession)
     names = list(carry or {})
     profiles = train_profiles(docs.where(train), text_col, lang_col, k)
     found = profiles.limit(max_languages * k + 1).collect()  # bounded: k rows a language

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import load, materialize, tidied
+from strataq.llm.common import bounded_batches, load, materialize, tidied
 
 MAX_TOKENS = 2048
 BLOCK = 8192  # pieces that one task packs together
@@ -111,6 +111,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, ma
 
     `row` tells apart input rows that share an id. Only documents longer than max_tokens are cut.
     """
+    bounded_batches(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
     schema = "id long, row long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataq.llm.common import bit_filter, connected_components, load, lookup, materialize, tidied, with_membership
+from strataq.llm.common import bit_filter, bounded_batches, connected_components, load, lookup, materialize, tidied, with_membership
 
 SHINGLE = 5  # words
 SIMILARITY = (8, 10)  # Jaccard of shingle sets, as a fraction
@@ -263,6 +263,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ones too) is a class of its own. Rows that repeat an id share that id's class; a null id is null's own class unless
     its text equals another's. Extra columns are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     prints = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
                          .mapInArrow(tidied(_fingerprints, forget), "id long, sig string, print binary"))
     classes = materialize(prints.where("sig is not null and id is not null").groupBy("sig")

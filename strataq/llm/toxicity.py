@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import load, materialize, tidied
+from strataq.llm.common import bounded_batches, load, materialize, tidied
 
 MAX_ROWS = 12_000  # labelled rows that the chain is fitted on
 FEATURES = 600  # kept for each category
@@ -190,6 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", keep: list[str] | None = None, prefix: str = "p_") -> DataFrame:
     """The `keep` columns and <prefix><category> for every document, over its whole text."""
+    bounded_batches(docs.sparkSession)
     keep = keep or docs.columns
     names = [f"{prefix}{c}" for c in chain.names]
 
