@@ -7,13 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import bit_filter, load, materialize, running_sum, tidied, with_membership
+from strataq.llm.common import bit_filter, bounded_batches, load, materialize, running_sum, tidied, with_membership
 
 LENGTH = 100  # bytes of a passage
 GRAM = 32  # bytes of an anchor
 REACH = LENGTH - GRAM  # an anchor lies at most so far behind a passage's start
 RUN = 1 << 18  # bytes hashed at once
 OVERLAP = 4 * LENGTH
+HOT = 20_000  # contexts of one gram that a task sorts; beyond, its passages are grouped one by one
 BUCKET_BYTES = 16 << 20  # text that one bucket of anchors stands for
 _RNG = np.random.default_rng(4)
 _LETTER = [_RNG.integers(1, 2**63, 256, dtype=np.uint64) for _ in range(2)]
@@ -85,6 +86,15 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, docs_lo: np.
     return a, s, h[a], left, right, ctx
 
 
+def _shares(which: np.ndarray):
+    """(bucket, places) of each bucket that occurs; which: bucket numbers, the order within a bucket is kept."""
+    order = np.argsort(which, kind="stable")
+    w = which[order]
+    starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else np.zeros(0, np.int64)
+    for a, b in zip(starts, np.r_[starts[1:], len(w)]):
+        yield int(w[a]), order[a:b]
+
+
 def _text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     col = col.cast(pa.large_string())
     buffers = col.buffers()
@@ -155,19 +165,17 @@ def _anchors(buckets: int):
             full = again & ~twice & (left + right >= LENGTH)
             which = (h % np.uint64(buckets)).astype(np.int64)
             use = np.flatnonzero(~again | full)
-            use = use[np.lexsort((pos[use], doc[use], which[use]))]
-            cuts = np.searchsorted(which[use], np.arange(buckets + 1))
+            use = use[np.lexsort((pos[use], doc[use]))]
             rows, blobs = [], []
-            for k in range(buckets):
-                mine = use[cuts[k]: cuts[k + 1]]
-                if len(mine):
-                    one, cov = mine[~again[mine]], mine[again[mine]]
-                    here, back = np.unique(doc[mine], return_inverse=True)
-                    rows.append(k)
-                    new = ~again[mine]
-                    blobs.append(_pack(ids[here].astype("<i8"), back[new].astype("<u4"), pos[one].astype("<u4"), left[one].astype("<u1"), right[one].astype("<u1"),
-                                       h[one].astype("<u8"), ctx[one].astype("<u8"), back[~new].astype("<u4"),
-                                       (pos[cov] - left[cov]).astype("<u4"), (pos[cov] + right[cov]).astype("<u4")))
+            for k, at in _shares(which[use]):
+                mine = use[at]
+                one, cov = mine[~again[mine]], mine[again[mine]]
+                here, back = np.unique(doc[mine], return_inverse=True)
+                rows.append(k)
+                new = ~again[mine]
+                blobs.append(_pack(ids[here].astype("<i8"), back[new].astype("<u4"), pos[one].astype("<u4"), left[one].astype("<u1"), right[one].astype("<u1"),
+                                   h[one].astype("<u8"), ctx[one].astype("<u8"), back[~new].astype("<u4"),
+                                   (pos[cov] - left[cov]).astype("<u4"), (pos[cov] + right[cov]).astype("<u4")))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
@@ -190,8 +198,9 @@ def _table(parts) -> pa.Table:
     return pa.table([pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["id", "kind", "blob"])
 
 
-def _group(t: pa.Table) -> pa.Table:
-    """A bucket: spans covered whole (kind 0) and, of grams with several contexts, the anchors whose bytes are wanted (kind 1)."""
+def _group(t: pa.Table, hot: int = HOT) -> pa.Table:
+    """A bucket: spans covered whole (kind 0) and, of grams with several contexts, the anchors whose bytes are wanted (kind 1; kind 2
+    where the gram has more than `hot` contexts)."""
     ids, pos, left, right, h, ctx, cid, clo, chi = ([] for _ in range(9))
     for blob in t["blob"].to_pylist():
         d, i, p, lf, r, g, c, ci, lo, hi = _unpack(blob, _ANCHOR)
@@ -215,7 +224,10 @@ def _group(t: pa.Table) -> pa.Table:
     same = h[first][1:] == h[first][:-1] if len(first) else np.zeros(0, bool)
     several = np.r_[False, same] | np.r_[same, False] if len(first) else np.zeros(0, bool)
     ask = first[several]
-    return _table([spans, _by_document(ids[ask], 1, pos[ask].astype("<u4"), h[ask].astype("<u8"))])
+    start = np.flatnonzero(np.r_[True, h[ask][1:] != h[ask][:-1]]) if len(ask) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[start, len(ask)])
+    many = np.repeat(size > hot, size)
+    return _table([spans, *[_by_document(ids[x], kind, pos[x].astype("<u4"), h[x].astype("<u8")) for kind, x in ((1, ask[~many]), (2, ask[many]))]])
 
 
 _CONTEXT = ("<i8", "<u4", "<u1", "<u1", "<u8", "<u1")
@@ -223,42 +235,104 @@ _WIDE = REACH + LENGTH
 
 
 def _contexts(buckets: int):
-    """(id, text, blobs of requests) -> (bucket, blob): the bytes about the anchors asked for."""
+    """(id, text, requests) -> (bucket, hot, blob): the bytes about the anchors asked for; about anchors of hot grams, their passages' hashes."""
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy()
             data, offs = _text_bytes(b.column(1))
             data = np.concatenate([np.zeros(_WIDE, np.uint8), data, np.zeros(_WIDE, np.uint8)])
-            docs, poss, grams = [], [], []
-            for k, blobs in enumerate(b.column(2).to_pylist()):
-                for blob in blobs:
-                    p, g = _unpack(blob, ("<u4", "<u8"))
-                    docs.append(np.full(len(p), k)), poss.append(p.astype(np.int64)), grams.append(g)
-            if not docs:
-                continue
-            doc, pos, gram = np.concatenate(docs), np.concatenate(poss), np.concatenate(grams)
-            which = (gram % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(which, kind="stable")
-            doc, pos, gram, which = doc[order], pos[order], gram[order], which[order]
-            cuts = np.searchsorted(which, np.arange(buckets + 1))
+            asked = {1: ([], [], []), 2: ([], [], [])}
+            for k, requests in enumerate(b.column(2).to_pylist()):
+                for r in requests:
+                    p, g = _unpack(r["blob"], ("<u4", "<u8"))
+                    for into, v in zip(asked[r["kind"]], (np.full(len(p), k), p.astype(np.int64), g)):
+                        into.append(v)
             rows, blobs = [], []
-            for k in range(buckets):
-                s = slice(cuts[k], cuts[k + 1])
-                if cuts[k] == cuts[k + 1]:
+            for kind, (docs, poss, grams) in asked.items():
+                if not docs:
                     continue
-                d, p = doc[s], pos[s]
-                left, right = np.minimum(p, REACH), np.minimum(offs[d + 1] - offs[d] - p, LENGTH)
-                at = (offs[d] + p + _WIDE - REACH)[:, None] + np.arange(_WIDE)
-                ctx = data[at]
-                ctx[np.arange(_WIDE) < (REACH - left)[:, None]] = 0
-                ctx[np.arange(_WIDE) >= (REACH + right)[:, None]] = 0
-                rows.append(k)
-                blobs.append(_pack(ids[d].astype("<i8"), p.astype("<u4"), left.astype("<u1"), right.astype("<u1"), gram[s], ctx.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+                doc, pos, gram = np.concatenate(docs), np.concatenate(poss), np.concatenate(grams)
+                left, right = np.minimum(pos, REACH), np.minimum(offs[doc + 1] - offs[doc] - pos, LENGTH)
+
+                def bytes_about(s, doc=doc, pos=pos, left=left, right=right):
+                    ctx = data[(offs[doc[s]] + pos[s] + _WIDE - REACH)[:, None] + np.arange(_WIDE)]
+                    ctx[np.arange(_WIDE) < (REACH - left[s])[:, None]] = 0
+                    ctx[np.arange(_WIDE) >= (REACH + right[s])[:, None]] = 0
+                    return ctx
+
+                if kind == 2:
+                    made = _passages(ids, doc, pos, left, right, bytes_about, buckets)
+                    rows += [(k, True) for k, _ in made]
+                    blobs += [x for _, x in made]
+                    continue
+                which = (gram % np.uint64(buckets)).astype(np.int64)
+                for k, s in _shares(which):
+                    rows.append((k, False))
+                    blobs.append(_pack(ids[doc[s]].astype("<i8"), pos[s].astype("<u4"), left[s].astype("<u1"), right[s].astype("<u1"), gram[s], bytes_about(s).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([h for _, h in rows], pa.bool_()), pa.array(blobs, pa.binary())], ["bucket", "hot", "blob"])
 
     return run
 
 
+_PASSAGE = ("<i8", "<u4", "<u4", "<u8", "<u8", "<u4", "<u4", "<u4")
+
+
+def _passages(ids, doc, pos, left, right, bytes_about, buckets: int) -> list[tuple[int, bytes]]:
+    """All passages about the anchors of hot grams, by two hashes: the first of equals in this batch goes to a bucket by its hash,
+    the others are covered. So a passage that very many documents share sends one entry a batch, and no task sees them all."""
+    parts = [[] for _ in range(4)]
+    for at in range(0, len(doc), 2000):
+        s = np.arange(at, min(at + 2000, len(doc)))
+        ctx = bytes_about(s)
+        hashes = []
+        for w in (0, 1):
+            prefix = np.zeros((len(s), _WIDE + 1), np.uint64)
+            np.cumsum(_LETTER[w][ctx] * _powers(w, _WIDE)[0][:_WIDE], axis=1, out=prefix[:, 1:])
+            inv = _powers(w, _WIDE)[1]
+            hashes.append(_mix((prefix[:, LENGTH:] - prefix[:, : _WIDE - LENGTH + 1]) * inv[: _WIDE - LENGTH + 1]))
+        back = REACH - np.arange(REACH + 1)  # column c starts `back` bytes before the anchor
+        fits = (left[s][:, None] >= back) & (right[s][:, None] >= LENGTH - back)
+        r, c = np.nonzero(fits)
+        for into, v in zip(parts, (s[r], pos[s[r]] - back[c], hashes[0][r, c], hashes[1][r, c])):
+            into.append(v)
+    anchor, start, h0, h1 = (np.concatenate(x) for x in parts)
+    order = np.lexsort((start, ids[doc[anchor]], h1, h0))
+    anchor, start, h0, h1 = anchor[order], start[order], h0[order], h1[order]
+    d = doc[anchor]
+    again = np.r_[False, (h0[1:] == h0[:-1]) & (h1[1:] == h1[:-1])] if len(h0) else np.zeros(0, bool)
+    twice = again & np.r_[False, (d[1:] == d[:-1]) & (start[1:] == start[:-1])] if len(h0) else again
+    cov = again & ~twice
+    # the covered passages of an anchor overlap, so they are one span
+    low, high = np.full(len(doc), 2**62), np.full(len(doc), -1)
+    np.minimum.at(low, anchor[cov], start[cov])
+    np.maximum.at(high, anchor[cov], start[cov] + LENGTH)
+    hit = np.flatnonzero(high >= 0)
+    firsts = np.flatnonzero(~again)
+    out = []
+    for n, (k, at) in enumerate(_shares((h0[firsts] % np.uint64(buckets)).astype(np.int64))):
+        new, c = firsts[at], hit if n == 0 else hit[:0]  # the spans travel with the first
+        here, back = np.unique(np.concatenate([d[new], doc[c]]), return_inverse=True)
+        out.append((k, _pack(ids[here].astype("<i8"), back[: len(new)].astype("<u4"), start[new].astype("<u4"), h0[new], h1[new],
+                             back[len(new):].astype("<u4"), low[c].astype("<u4"), high[c].astype("<u4"))))
+    return out
+
+
+def _first_passages(t: pa.Table) -> pa.Table:
+    parts = [[] for _ in range(7)]
+    for blob in t["blob"].to_pylist():
+        d, i, s, a, b, ci, lo, hi = _unpack(blob, _PASSAGE)
+        for into, v in zip(parts, (d[i], s, a, b, d[ci], lo, hi)):
+            into.append(v)
+    ids, start, h0, h1, cid, lo, hi = (np.concatenate(p) for p in parts)
+    order = np.lexsort((start, ids, h1, h0))
+    ids, start, h0, h1 = ids[order], start[order], h0[order], h1[order]
+    again = np.r_[False, (h0[1:] == h0[:-1]) & (h1[1:] == h1[:-1])] if len(h0) else np.zeros(0, bool)
+    if len(h0):
+        again &= ~np.r_[False, (ids[1:] == ids[:-1]) & (start[1:] == start[:-1])]
+    ids, start = ids[again], start[again]
+    return _table([_by_document(np.concatenate([cid, ids]), 0, np.concatenate([lo, start]).astype("<u4"), np.concatenate([hi, start.astype(np.int64) + LENGTH]).astype("<u4"))])
+
+
 def suffix_sort(group: np.ndarray, rows: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, common): rows sorted within their groups, and what each has in common with the one before it (-1: a new group).
 
@@ -354,7 +428,9 @@ def _repeats(group, ctx, left, right) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(t: pa.Table) -> pa.Table:
-    """A bucket of contexts -> spans (kind 0). Equal grams are told by their bytes."""
+    """A bucket of contexts -> spans (kind 0). Equal grams are told by their bytes. Buckets of hot grams hold passages."""
+    if t["hot"][0].as_py():
+        return _first_passages(t)
     parts = [[] for _ in range(6)]
     for blob in t["blob"].to_pylist():
         for into, v in zip(parts, _unpack(blob, _CONTEXT)):
@@ -419,7 +495,7 @@ def _cut(with_text: bool):
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False,
-                 bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                 bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes): the text without every byte that a
     100-byte string covers which also starts earlier (smaller id, or same document and earlier start).
 
@@ -434,8 +510,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null text is empty. Rows that repeat an id, and null ids, are ordered by id (null first), then text hash; rows equal in
     both are ordered arbitrarily, but each is a document. Extra columns are ignored; an empty table gives an empty result.
     Very long texts are hashed piece by piece, with overlaps. Equal contexts are combined before the shuffle, so a hot passage sends one anchor
-    a batch, and its spans spread over the documents.
+    a batch. A gram with more than `hot` contexts (the edges of a passage in very many documents) is not sorted in one task: its
+    passages are grouped one by one by their hashes, again combined before the shuffle.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(8, -(-total // bucket_bytes))
@@ -446,12 +524,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         numbered = materialize(numbered.select(F.col("n").cast("long").alias("n"), "id", "text"))
         base, back = numbered.select(F.col("n").alias("id"), "text"), numbered.select(F.col("n").alias("__n"), F.col("id").alias("__id"))
     base = base.select(F.col("id").cast("long").alias("id"), "text")
-    grouped = (base.mapInArrow(tidied(_anchors(buckets)), "bucket int, blob binary").groupBy("bucket").applyInArrow(_group, _OUT))
+    grouped = (base.mapInArrow(tidied(_anchors(buckets)), "bucket int, blob binary").groupBy("bucket").applyInArrow(lambda t: _group(t, hot), _OUT))
     grouped = materialize(grouped)
-    asked = grouped.where("kind = 1").groupBy("id").agg(F.collect_list("blob").alias("blobs"))
+    asked = grouped.where("kind > 0").groupBy("id").agg(F.collect_list(F.struct("kind", "blob")).alias("blobs"))
     texts = with_membership(base, bit_filter(asked, F.col("id")), F.col("id"), "maybe").where("maybe").drop("maybe")
-    compared = (texts.join(asked, "id").select("id", "text", "blobs").mapInArrow(tidied(_contexts(buckets)), "bucket int, blob binary")
-                .groupBy("bucket").applyInArrow(_compare, _OUT))
+    compared = (texts.join(asked, "id").select("id", "text", "blobs").mapInArrow(tidied(_contexts(buckets)), "bucket int, hot boolean, blob binary")
+                .groupBy("bucket", "hot").applyInArrow(_compare, _OUT))
     spans = materialize(grouped.where("kind = 0").union(compared))
     per_doc = spans.groupBy("id").agg(F.collect_list("blob").alias("blobs"))
     flagged = with_membership(base, bit_filter(spans, F.col("id")), F.col("id"), "maybe")

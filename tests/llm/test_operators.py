@@ -218,6 +218,9 @@ def test_suffix_dedup(spark, seed, monkeypatch):
     got = suffix_dedup.suffix_dedup(df, bucket_bytes=20_000, with_text=True).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
     assert all(hashlib.sha256(r["kept_bytes"]).hexdigest() == r["kept_sha256"] for r in got)
+    for hot in (0, 4):  # all grams, or those of more than four contexts, by their passages
+        got = suffix_dedup.suffix_dedup(df, bucket_bytes=20_000, hot=hot).collect()
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
 
 
 def test_suffix_dedup_of_repeated_and_null_ids(spark):
