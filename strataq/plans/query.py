@@ -114,6 +114,21 @@ class Query:
         df = self.frame().limit(most + 1)
         return df.limit(most), df.count() <= most
 
+    def explain(self, mode: str = "formatted") -> str:
+        """The plan as text, nothing run."""
+        jdf = self.frame()._jdf
+        return jdf.sparkSession().sessionState().executePlan(jdf.queryExecution().logical(), jdf.queryExecution().mode()).explainString(
+            self.df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+
+    def explain_analyze(self) -> dict:
+        """Run it and tell rows, seconds and the plan that ran."""
+        import time
+
+        df = self.frame()
+        began = time.time()
+        rows = df.count()
+        return {"rows": rows, "seconds": time.time() - began, "plan": df._jdf.queryExecution().executedPlan().toString()}
+
     def join(self, other: DataFrame, on, how: str = "inner") -> Query:
         return self._with(df=self.df.join(other, on, how))
 

@@ -11,6 +11,7 @@ from strataq.plans.query import Query
 class Engine:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.catalog = spark, Catalog(spark, folder)
+        self.commands: dict = {}
 
     def table(self, name: str) -> DataFrame:
         return self.catalog.load(name)
@@ -35,3 +36,19 @@ class Engine:
         from strataq.sparql.engine import run
 
         return run(quads, text)
+
+    def register_source(self, name: str, make) -> None:
+        """A logical source: make(engine) -> DataFrame, visible to SQL under its name."""
+        make(self).createOrReplaceTempView(name)
+
+    def register_command(self, name: str, f) -> None:
+        """A named operation f(engine, **params), such as a custom operator or a write command."""
+        self.commands[name] = f
+
+    def run(self, name: str, **params):
+        return self.commands[name](self, **params)
+
+    def statistics(self, name: str, columns: list[str]) -> DataFrame:
+        from strataq.operators.records import column_stats
+
+        return column_stats(self.table(name), columns)

@@ -135,3 +135,16 @@ def test_text_utilities(spark):
     r = spark.range(1).select(T.ascii_fold(F.lit("Straße Éa")).alias("a"), T.damerau_levenshtein(F.lit("ab"), F.lit("ba")).alias("d"), F.round(T.jaro_winkler(F.lit("martha"), F.lit("marhta")), 3).alias("j"),
                               T.snowball_tokens(F.array(F.lit("running"), F.lit("happily"), F.lit("nationally"), F.lit("generously"))).alias("s")).first()
     assert (r["a"], r["d"], r["j"], r["s"]) == ("Strasse Ea", 1, 0.961, ["run", "happili", "nation", "generous"])
+
+
+def test_engine_extensions_and_explain(spark, sf):
+    from strataq.session import Engine
+
+    e = Engine(spark, sf)
+    e.register_source("big_nations", lambda x: x.table("nation").where("n_nationkey > 20"))
+    assert e.spark.sql("SELECT count(*) AS n FROM big_nations").first()["n"] == 4
+    e.register_command("count", lambda x, table: x.table(table).count())
+    assert e.run("count", table="region") == 5
+    q = e.query("orders").where("o_totalprice > 1000")
+    assert "PushedFilters" in q.explain() and q.explain_analyze()["rows"] == q.count()
+    assert e.statistics("nation", ["n_nationkey"]).first()["n_nationkey_distinct"] == 25
