@@ -14,7 +14,7 @@ MAX_TOKENS = 2048
 BLOCK = 8192  # pieces that one task packs together
 #: Outside this range (and for a few letters within) a text goes to the tokenizer whole, see Encoder.
 _EXOTIC = re.compile("[^\\t-\\r\\x20-\\x7e\\u00a1-\\u012f\\u0131-\\u02af\\u2010-\\u2027\\u2030-\\u205e\\u20ac]")
-_CACHE = 250_000  # entries of one generation of a cache
+_CACHE = 100_000  # entries of one generation of a cache
 _READY: dict = {}
 
 
@@ -100,9 +100,7 @@ def encoder(path: str) -> Encoder:
 
 
 def forget() -> None:
-    for e in _READY.values():
-        e.chunks.clear()
-        e.chunks.old = {}
+    _READY.clear()
 
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, max_tokens: int = MAX_TOKENS,
