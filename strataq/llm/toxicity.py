@@ -74,17 +74,21 @@ def choose_features(sample: DataFrame, categories: list[str], k: int, min_docs:
     return sorted(out)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 2e-4, rounds: int = 250) -> np.ndarray:
-    """Weights (bias last) of a linear model with logistic loss; accelerated gradient descent, deterministic."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, use: np.ndarray | None = None, l2: float = 2e-5, rounds: int = 400) -> np.ndarray:
+    """Weights (bias last) of a linear model with logistic loss over the rows in `use` (0/1); accelerated gradient descent, deterministic.
+
+    The rows left out only get no weight, so that no copy of x is made.
+    """
     n, d = x.shape
+    use = np.ones(n, np.float32) if use is None else use.astype(np.float32)
+    total = float(use.sum())
     w, v = np.zeros(d + 1, np.float32), np.zeros(d + 1, np.float32)
-    step = 4.0 / (1.0 + float((x * x).sum(1).max(initial=0)))  # 1 / (a bound of the curvature)
-    step = max(step, 1.0 / (0.25 * _norm(x) + l2))
+    step = 1.0 / (0.25 * _norm(x) * n / total + l2)
     t = 1.0
     for _ in range(rounds):
         z = x @ v[:-1] + v[-1]
-        g = 1.0 / (1.0 + np.exp(-z)) - y
-        grad = np.append(x.T @ g / n + l2 * v[:-1], g.mean()).astype(np.float32)
+        g = (1.0 / (1.0 + np.exp(-z)) - y) * use
+        grad = np.append(x.T @ g / total + l2 * v[:-1], g.sum() / total).astype(np.float32)
         new = v - step * grad
         u = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, w, t = new + (t - 1) / u * (new - w), new, u
@@ -114,14 +118,14 @@ def fit_chain(x: np.ndarray, ys: list[np.ndarray], folds: int = FOLDS) -> list[n
     fold = np.arange(len(x)) % folds
     out, links = [], np.zeros((len(x), 0), np.float32)
     for i, y in enumerate(ys):
-        xi = np.hstack([x, links])
+        xi = np.hstack([x, links]) if links.shape[1] else x
         out.append(fit_logistic(xi, y))
         if i + 1 < len(ys):
             p = np.zeros(len(x), np.float32)
             for f in range(folds):
                 a, b = fold != f, fold == f
                 if b.any():
-                    p[b] = _p(xi[b], fit_logistic(xi[a], y[a])) if a.any() else 0.5
+                    p[b] = _p(xi[b], fit_logistic(xi, y, a)) if a.any() else 0.5
             links = np.hstack([links, p[:, None]])
     return out
 
