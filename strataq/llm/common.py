@@ -1,14 +1,15 @@
-"""What the operators of this subpackage share: the shared folder, size-bounded filters, prefix sums,
+"""What the operators of this subpackage share: the shared folder, size-bounded filters,
 skew-safe look-ups and connected components."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from strataq.plans.lineage import shared_folder
+from strataq.plans.prefix import running_sum  # noqa: F401  used by the operators
 
 WS = "[\\x20\\x09-\\x0D]"
 NON_WS = "[^\\x20\\x09-\\x0D]+"
@@ -18,19 +19,10 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="strataq-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strataq-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/strataq-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -164,24 +156,6 @@ def keep_decided(df: DataFrame, decided: DataFrame, keys: dict[str, Column]) ->
     return flagged.where(~F.col("__maybe")).select(*out).union(rest.select(*out))
 
 
-# --------------------------------------------------------------------------- running sums without one big task
-def running_sum(df: DataFrame, order: list[Column], value: str, name: str, parts: int | None = None) -> DataFrame:
-    """Running sum of `value` over the global order: range-partition, sum each partition, add the offsets.
-
-    Only one row per partition goes through a single task. `order` should be total for a reproducible result.
-    """
-    spark = df.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-                         .withColumn("__part", F.spark_partition_id()))
-    sums = ranged.groupBy("__part").agg(F.sum(value).alias("__s"))
-    offs = sums.select("__part", (F.sum("__s").over(W.orderBy("__part")) - F.col("__s")).alias("__off"))
-    w = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return (ranged.withColumn(name, F.sum(value).over(w))
-            .join(F.broadcast(offs), "__part")  # one row per partition
-            .withColumn(name, F.col(name) + F.col("__off")).drop("__part", "__off"))
-
-
 # --------------------------------------------------------------------------- connected components
 def _forest(batches):
     """Replace the edges of one partition by a forest with the same components (stars about the smallest id)."""
