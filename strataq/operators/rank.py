@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strataq.plans.prefix import running_sum
+
 
 class Rank:
     """By score, descending; equal scores by id, descending (the scan runs backwards)."""
@@ -37,9 +39,9 @@ class Rank:
         return self.df.agg(F.coalesce(greater, F.lit(0)).alias("rank"), F.count(F.lit(1)).alias("total"))
 
     def all_ranks(self) -> DataFrame:
-        """Rank of every row as the number of greater scores: counted per distinct score, so the window sees scores only."""
+        """Rank of every row as the number of greater scores: counted per distinct score and summed up by range partitions."""
         per = self.df.groupBy(self.score).agg(F.count(F.lit(1)).alias("__c"))
-        ranks = per.withColumn("rank", F.sum("__c").over(W.orderBy(F.desc(self.score)).rowsBetween(W.unboundedPreceding, 0)) - F.col("__c")).drop("__c")
+        ranks = running_sum(per, [F.desc(self.score)], "__c", "rank").withColumn("rank", F.col("rank") - F.col("__c")).drop("__c")
         return self.df.join(ranks, self.score)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataq.functions import text as T
+from strataq.plans.prefix import number_rows
 
 
 class FullText:
@@ -151,11 +152,15 @@ def boosted_score(tree: dict) -> Column:
 
 
 # fusion of ranked lists
-def ranked(df: DataFrame, id_col: str, score: Column, source: str, best: str = "desc") -> DataFrame:
-    """(id, source, score, rank0) of a list. The order is total: ties by id."""
+def ranked(df: DataFrame, id_col: str, score: Column, source: str, best: str = "desc", top: int | None = None) -> DataFrame:
+    """(id, source, score, rank0) of a list, or of its first `top` rows. The order is total: ties by id."""
     df = df.select(F.col(id_col).alias("id"), score.cast("double").alias("score"))
-    w = W.orderBy(F.desc("score") if best == "desc" else F.asc("score"), F.asc("id"))
-    return df.withColumn("source", F.lit(source)).withColumn("rank0", F.row_number().over(w) - 1)
+    order = [F.desc("score") if best == "desc" else F.asc("score"), F.asc("id")]
+    if top is not None:
+        df = df.orderBy(*order).limit(top).withColumn("rank0", F.row_number().over(W.orderBy(*order)) - 1)
+    else:
+        df = number_rows(df, order, "rank0")
+    return df.withColumn("source", F.lit(source))
 
 
 def fuse(lists: list[DataFrame], how: str = "rrf", k: int = 60, weights: list[float] | None = None, limit: int | None = None, intersect: bool = False) -> DataFrame:
@@ -176,18 +181,19 @@ def fuse(lists: list[DataFrame], how: str = "rrf", k: int = 60, weights: list[fl
     return out if limit is None else out.orderBy(F.desc("score"), "id").limit(limit)
 
 
-def min_max(distance: str) -> Column:
-    """Nearest 1, farthest 0; all equal: 1. Over one row of statistics (a window without order)."""
-    w = W.partitionBy()
-    low, high = F.min(distance).over(w), F.max(distance).over(w)
-    return F.when(high == low, 1.0).otherwise((high - F.col(distance)) / (high - low))
+def min_max(df: DataFrame, distance: str) -> DataFrame:
+    """Add score: the nearest 1, the farthest 0; all equal: 1. The bounds are one row."""
+    d = F.col(distance)
+    out = df.join(F.broadcast(df.agg(F.min(d).alias("__lo"), F.max(d).alias("__hi"))))
+    return out.withColumn("score", F.when(F.col("__hi") == F.col("__lo"), 1.0).otherwise((F.col("__hi") - d) / (F.col("__hi") - F.col("__lo")))).drop("__lo", "__hi")
 
 
-def by_farthest(distance: str) -> Column:
-    high = F.max(distance).over(W.partitionBy())
-    return F.when(high == 0, 1.0).otherwise(1 - F.col(distance) / high)
+def by_farthest(df: DataFrame, distance: str) -> DataFrame:
+    out = df.join(F.broadcast(df.agg(F.max(distance).alias("__hi"))))  # one row
+    return out.withColumn("score", F.when(F.col("__hi") == 0, 1.0).otherwise(1 - F.col(distance) / F.col("__hi"))).drop("__hi")
 
 
-def by_rank(order: list[Column]) -> Column:
-    n, i = F.count(F.lit(1)).over(W.partitionBy()), F.row_number().over(W.orderBy(*order)) - 1
-    return F.when(n == 1, 1.0).otherwise(1 - i / (n - 1))
+def by_rank(df: DataFrame, order: list[Column]) -> DataFrame:
+    n = df.agg(F.count(F.lit(1)).alias("__n"))
+    out = number_rows(df, order, "__i").join(F.broadcast(n))  # one row
+    return out.withColumn("score", F.when(F.col("__n") == 1, 1.0).otherwise(1 - F.col("__i") / (F.col("__n") - 1))).drop("__i", "__n")

@@ -8,14 +8,21 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
-    """Write df as a table and read it again; `old`, a table made by an earlier cut that nothing needs any more, is deleted."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """spark.checkpoint.dir; where it is unset, a temporary folder, which only a local session may use."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="strataq-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """Write df as a table and read it again; `old`, a table made by an earlier cut that nothing needs any more, is deleted."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if old is not None:
         for f in {p.rsplit("/", 1)[0] for p in old.inputFiles()}:

@@ -8,10 +8,10 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from strataq.errors import UnsupportedQueryError
-from strataq.plans.semantics import order, two_valued
+from strataq.plans.prefix import number_rows
+from strataq.plans.semantics import order
 
 
 class Query:
@@ -27,10 +27,10 @@ class Query:
         q.__dict__.update(kw)
         return q
 
-    # predicates: a null field makes every comparison false
+    # a condition that is unknown drops the row, as a false one does; it goes to the scan as it is. For negations
+    # that should hold for nulls see plans.semantics.not_two_valued
     def where(self, cond: Column | str) -> Query:
-        cond = F.expr(cond) if isinstance(cond, str) else cond
-        return self._with(df=self.df.where(two_valued(cond)))
+        return self._with(df=self.df.where(cond))
 
     def partition(self, column: str, value) -> Query:
         return self._with(df=self.df.where(F.col(column) == value))
@@ -92,7 +92,8 @@ class Query:
         return rows, base64.b64encode(json.dumps({"mark": mark, "at": start + size}).encode()).decode()
 
     def numbered(self, name: str = "position") -> DataFrame:
-        return self.df.withColumn(name, F.row_number().over(W.orderBy(*self._order())))
+        """0-based position in the query's order, numbered by range partitions."""
+        return number_rows(self.df, self._order(), name)
 
     def select(self, *cols) -> DataFrame:
         return self.frame().select(*cols)

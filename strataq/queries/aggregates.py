@@ -37,26 +37,27 @@ query("a6_min_max", "SELECT o_orderpriority, min(o_totalprice) AS lo, max(o_tota
 query("a7_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_returnflag")(lambda e: _agg(e).group_by("l_returnflag").distinct("l_partkey", "n").frame())
 query("a7_distinct_sketch", "SELECT true AS close FROM events LIMIT 1")(
     lambda e: e.table("events").agg(F.hll_sketch_estimate(F.hll_sketch_agg("user_id", F.lit(14))).alias("a"), F.count_distinct(col("user_id")).alias("n")).select((F.abs(col("a") - col("n")) <= 0.03 * col("n")).alias("close")))
-query("a8_percentile", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.9) AS p90 FROM lineitem GROUP BY l_returnflag")(lambda e: _agg(e).group_by("l_returnflag").percentile("l_extendedprice", 0.9, "p90").frame())
+query("a8_percentile", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY l_returnflag")(
+    lambda e: _agg(e).group_by("l_returnflag").percentile("l_extendedprice", 0.9, "p").frame().select("l_returnflag", F.round("p", 4).alias("p90")))
 query("a8_percentile_sketch", "SELECT true AS close FROM events LIMIT 1")(
     lambda e: A.percentile_state(e.table("events"), [], "value").select(F.kll_sketch_get_quantile_double("sketch", F.lit(0.5)).alias("a")).join(
         F.broadcast(e.table("events").agg(F.percentile("value", F.lit(0.47)).alias("lo"), F.percentile("value", F.lit(0.53)).alias("hi")))).select(col("a").between(col("lo"), col("hi")).alias("close")))
-query("a9_cdf", "SELECT count(*) FILTER (value <= 50) / count(value)::DOUBLE AS cdf, count(value) AS count, min(value) AS min, max(value) AS max, quantile_cont(value, 0.5) AS median FROM events")(
-    lambda e: A.cdf(e.table("events"), "value", 50))
+query("a9_cdf", "SELECT count(*) FILTER (value <= 50) / count(value)::DOUBLE AS cdf, count(value) AS count, min(value) AS min, max(value) AS max, round(quantile_cont(value, 0.5), 6) AS median FROM events")(
+    lambda e: A.cdf(e.table("events"), "value", 50).withColumn("median", F.round("median", 6)))
 query("a10_null_group", "SELECT nullif(o_orderstatus, 'P') AS st, count(*) AS n FROM orders GROUP BY 1")(
     lambda e: A.Aggregate(e.table("orders").select(F.nullif("o_orderstatus", F.lit("P")).alias("st"))).group_by("st").count("n").frame())
 query("a10_global_empty", "SELECT count(*) AS n, sum(o_totalprice) AS s FROM orders WHERE o_orderkey < 0")(lambda e: e.query("orders").where("o_orderkey < 0").aggregate().count("n").sum("o_totalprice", "s").frame())
 query("a11_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")(lambda e: _agg(e, "orders").group_by("o_custkey").count("n").having(col("n") > 12).frame())
 
 
-@query("a12_incremental", "SELECT event_type, count(*) AS count, count(value) AS count_not_null, sum(value)::DOUBLE AS sum, avg(value) AS avg FROM events WHERE NOT (event_id % 10 = 3) GROUP BY event_type")
+@query("a12_incremental", "SELECT event_type, count(*) AS count, count(value) AS count_not_null, round(sum(value)::DOUBLE, 4) AS sum, round(avg(value), 6) AS avg FROM events WHERE NOT (event_id % 10 = 3) GROUP BY event_type")
 def incremental(e):
     """A state built from the first part, merged with later inserts and with removals."""
     ev, keys = e.table("events"), ["event_type"]
     old = A.state(ev.where("event_id % 2 = 0"), keys, "value")
     new = A.state(ev.where("event_id % 2 = 1"), keys, "value")
     gone = A.state(ev.where("event_id % 10 = 3"), keys, "value", F.lit(-1))
-    return A.read_state(A.merge_states(old, new, gone, keys=keys), keys)
+    return A.read_state(A.merge_states(old, new, gone, keys=keys), keys).withColumns({"sum": F.round("sum", 4), "avg": F.round("avg", 6)})
 
 
 @query("a12_extremes_after_removal", "SELECT event_type, min(value) AS lo, max(value) AS hi FROM events WHERE value BETWEEN 5 AND 95 GROUP BY event_type")
@@ -75,7 +76,7 @@ def sketch_merge(e):
     return m.join(n, "event_type").select("event_type", (F.abs(col("estimate") - col("n")) <= 0.03 * col("n") + 1).alias("close"))
 
 
-both("a19_sql_group_by", "SELECT o_orderstatus, o_orderpriority, count(DISTINCT o_custkey) AS customers, sum(o_totalprice) AS total FROM orders GROUP BY o_orderstatus, o_orderpriority HAVING count(*) > 10")
+both("a19_sql_group_by", "SELECT o_orderstatus, o_orderpriority, count(DISTINCT o_custkey) AS customers, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus, o_orderpriority HAVING count(*) > 10")
 query("a20_array_agg", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")(
     lambda e: e.table("nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), "|").alias("names")))
 both("a20_group_concat", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey",

@@ -16,14 +16,14 @@ col = F.col
 
 
 @query("flagship_nation_orders", """
-SELECT n_name, count(*) AS n_orders, sum(o_totalprice) AS total, avg(o_totalprice) AS mean FROM orders
+SELECT n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean FROM orders
 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 1000
 GROUP BY n_name HAVING count(*) >= 2 ORDER BY total DESC, n_name LIMIT 10""")
 def flagship(e):
     """Filter, two joins, group, having, top-k: the dimension tables are broadcast by their measured size, if at all."""
     q = e.query("orders").where(col("o_totalprice") > 1000).join(e.table("customer"), col("o_custkey") == col("c_custkey")).join(e.table("nation"), col("c_nationkey") == col("n_nationkey"))
     a = q.aggregate().group_by("n_name").count("n_orders").sum("o_totalprice", "total").avg("o_totalprice", "mean").having("n_orders >= 2")
-    return a.frame().orderBy(F.desc("total"), "n_name").limit(10)
+    return a.frame().select("n_name", "n_orders", F.round("total", 2).alias("total"), F.round("mean", 4).alias("mean")).orderBy(F.desc("total"), "n_name").limit(10)
 
 
 # ---- sources
@@ -162,7 +162,7 @@ both("o11_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey
 query("o12_dedupe", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")(lambda e: e.table("lineitem").select("l_returnflag", "l_linestatus").dropDuplicates())
 both("o13_window_functions", """SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS rk,
 lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev,
-sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS moving FROM orders""")
+round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving FROM orders""")
 query("o14_row_budget", "SELECT s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 5")(lambda e: e.query("supplier").order_by("s_suppkey").capped(5)[0].select("s_suppkey"))
 
 # ---- DML as final states
@@ -195,10 +195,10 @@ def formats(e):
     """The same rows through CSV, JSON, ORC and Parquet files."""
     import uuid
 
-    from strataq.plans.lineage import cut
+    from strataq.plans.lineage import shared_folder
 
-    base = cut(e.table("nation").select("n_nationkey", "n_name"))
-    root = base.inputFiles()[0].rsplit("/", 2)[0] + f"/formats-{uuid.uuid4().hex}"
+    base = e.table("nation").select("n_nationkey", "n_name")
+    root = f"{shared_folder(e.spark)}/formats-{uuid.uuid4().hex}"
     every = None
     for fmt in ("csv", "json", "orc", "parquet"):
         sources.write(base, f"{root}/{fmt}", fmt)

@@ -169,9 +169,9 @@ query("f_intersect_limit", f"{_LISTS} SELECT id FROM (SELECT l1.id, 1.0::DOUBLE
     lambda e: X.fuse(_lists(e), limit=10, intersect=True).select("id"))
 query("f4_similar_score", f"""WITH d AS (SELECT vec_id, list_distance(embedding::DOUBLE[], q) AS d FROM embeddings, {_Q} ORDER BY d, vec_id LIMIT 20)
 SELECT vec_id, round(((SELECT max(d) FROM d) - d) / ((SELECT max(d) FROM d) - (SELECT min(d) FROM d)), 6) AS score FROM d""")(
-    lambda e: knn(e.table("embeddings"), "vec_id", "embedding", _q(e), 20, "euclidean").select("vec_id", F.round(X.min_max("distance"), 6).alias("score")))
+    lambda e: X.min_max(knn(e.table("embeddings"), "vec_id", "embedding", _q(e), 20, "euclidean"), "distance").select("vec_id", F.round("score", 6).alias("score")))
 query("f5_nearby_score", f"WITH d AS (SELECT c_custkey, {_HAV.format(a=10.0, b=20.0)} AS d FROM {_GEO} WHERE {_HAV.format(a=10.0, b=20.0)} <= 2000000) SELECT c_custkey, round(1 - d / (SELECT max(d) FROM d), 6) AS score FROM d")(
-    lambda e: _geo(e).within_radius((10.0, 20.0), 2_000_000).select("c_custkey", F.round(X.by_farthest("distance"), 6).alias("score")))
+    lambda e: X.by_farthest(_geo(e).within_radius((10.0, 20.0), 2_000_000), "distance").select("c_custkey", F.round("score", 6).alias("score")))
 query("f6_rank_score", "SELECT s_suppkey, round(1 - (row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1) / (count(*) OVER () - 1)::DOUBLE, 6) AS score FROM supplier")(
-    lambda e: e.table("supplier").select("s_suppkey", F.round(X.by_rank([F.desc("s_acctbal"), F.asc("s_suppkey")]), 6).alias("score")))
+    lambda e: X.by_rank(e.table("supplier").select("s_suppkey", "s_acctbal"), [F.desc("s_acctbal"), F.asc("s_suppkey")]).select("s_suppkey", F.round("score", 6).alias("score")))
 query("f7_filter_score", "SELECT s_suppkey, 1.0::DOUBLE AS score FROM supplier WHERE s_nationkey = 2")(lambda e: e.table("supplier").where("s_nationkey = 2").select("s_suppkey", F.lit(1.0).alias("score")))

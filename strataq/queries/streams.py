@@ -37,16 +37,15 @@ def dedup(e):
     return S.run_available(S.deduplicate(_events(e), ["user_id", "event_type", "ts"], "ts", "3650 days")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_maintained_aggregate", "SELECT event_type, count(*) AS count, sum(value)::DOUBLE AS sum FROM events GROUP BY event_type")
+@query("stream_maintained_aggregate", "SELECT event_type, count(*) AS count, round(sum(value)::DOUBLE, 4) AS sum FROM events GROUP BY event_type")
 def maintained(e):
-    import tempfile
     import uuid
 
     from strataq.operators.aggregate import read_state
+    from strataq.plans.lineage import shared_folder
 
-    base = e.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strataq-stream-")
-    path = f"{base.rstrip('/')}/maintained-{uuid.uuid4().hex}"
+    path = f"{shared_folder(e.spark)}/maintained-{uuid.uuid4().hex}"
     q = S.maintain(_events(e), ["event_type"], "value", path + "/table", path + "/log")
     q.awaitTermination()
     last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return read_state(e.spark.read.parquet(f"{path}/table/{last}"), ["event_type"]).select("event_type", "count", "sum")
+    return read_state(e.spark.read.parquet(f"{path}/table/{last}"), ["event_type"]).select("event_type", "count", F.round("sum", 4).alias("sum"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.operators.aggregate import merge_states, state
+from strataq.plans.lineage import shared_folder
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int = 1) -> DataFrame:
@@ -44,10 +45,7 @@ def deduplicate(df: DataFrame, keys: list[str], ts: str, late: str = "1 hour") -
 def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and return its output (a parquet sink, or for complete and update mode the last state)."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strataq-stream-")
-    import uuid
-
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = df.writeStream.outputMode("append").format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
         q.awaitTermination()
