@@ -152,7 +152,9 @@ def keep_decided(df: DataFrame, decided: DataFrame, keys: dict[str, Column]) ->
     bits = bit_filter(decided, F.xxhash64(*names))
     flagged = with_membership(df.withColumns({f"__{k}": e for k, e in keys.items()}), bits, F.xxhash64(*[f"__{k}" for k in names]), "__maybe")
     rest = flagged.where("__maybe").join(decided.select(*[F.col(k).alias(f"__{k}") for k in names], F.col("kept").alias("__kept")), [f"__{k}" for k in names], "left")
-    rest = rest.where(F.coalesce("__kept", F.lit(True))).dropDuplicates([f"__{k}" for k in names])
+    # rows that the filter let through without a decision are told apart, so that none of them goes
+    rest = rest.where(F.coalesce("__kept", F.lit(True))).withColumn("__own", F.when(F.col("__kept").isNull(), F.monotonically_increasing_id()))
+    rest = rest.dropDuplicates([*(f"__{k}" for k in names), "__own"])
     return flagged.where(~F.col("__maybe")).select(*out).union(rest.select(*out))
 
 

@@ -76,6 +76,16 @@ def test_running_sum_and_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_keep_decided(spark, monkeypatch):
+    from strataq.llm import common
+
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (3, "d"), (4, "e")], "i long, t string")
+    decided = spark.createDataFrame([(1, True), (2, False)], "i long, kept boolean")
+    for bits in (common.FILTER_BITS, 1):  # with one bit every row passes the filter
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        assert result(common.keep_decided(df, decided, {"i": F.col("i")}), "i", "t") == [(1, "a"), (3, "c"), (3, "d"), (4, "e")]
+
+
 # ---- 1
 def test_mixing(spark, corpus):
     rows = {r["doc_id"]: r for r in mixing.mix(table(spark, corpus)).collect()}
