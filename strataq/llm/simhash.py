@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,9 +14,11 @@ from strataq.llm.common import bit_filter, bounded_batches, connected_components
 
 SHINGLE = 5  # words
 SIMILARITY = (8, 10)  # Jaccard of shingle sets, as a fraction
-SAMPLED = 256  # coordinates that the tables sample from
-CHECKED = 256  # other coordinates, on which distances are checked
 TABLES, BITS = 48, 14
+SAMPLED = -(-TABLES * BITS // 64) * 64  # coordinates that the tables sample from, no two tables the same one
+CHECKED = 256  # other coordinates, on which distances are checked
+SHORT = 64  # shingles of a set whose candidates are found by common shingles, not by coordinates
+SHORT_DISTANCE = 96  # of CHECKED, for these: sets of 4 and 5 shingles differ in 48 on average, with a deviation of 6.2
 DISTANCE = 64  # of CHECKED: 4.5 standard deviations above the mean at the similarity
 BUCKET = 4096  # rows of a bucket before additional bits split it
 COMPONENT = 500  # texts of a candidate component that one task holds from either side
@@ -70,19 +73,36 @@ def fingerprint(s: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(s))
 
 
-def _fingerprints(batches):
-    for b in batches:
-        ids, sigs, prints = [], [], []
-        for i, t in enumerate(b.column(1)):
-            s = shingles(t.as_py())
-            sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
-            prints.append(fingerprint(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.string()), pa.array(prints, pa.binary())], ["id", "sig", "print"])
+def prefix(s: np.ndarray, similarity=SIMILARITY) -> np.ndarray:
+    """The smallest hashes of a set, as many as it takes for two sets that are similar enough to have one in common."""
+    return s[: len(s) + 1 + -len(s) * similarity[0] // similarity[1]]
+
+
+def _fingerprints(similarity):
+    def run(batches):
+        for b in batches:
+            sigs, prints, firsts = [], [], []
+            for t in b.column(1):
+                s = shingles(t.as_py())
+                sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
+                prints.append(fingerprint(s).tobytes() if len(s) else None)
+                firsts.append(prefix(s, similarity).view(np.int64) if 0 < len(s) <= SHORT else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.string()), pa.array(prints, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["id", "sig", "print", "first"])
+
+    return run
 
 
 def _samples(tables: int, bits: int) -> np.ndarray:
+    """Coordinates by table; as long as SAMPLED suffices, no two tables share one."""
     rng = np.random.default_rng(79)
-    return np.stack([rng.choice(SAMPLED, bits, replace=False) for _ in range(tables)])
+    each = SAMPLED // bits
+    return np.concatenate([rng.permutation(SAMPLED)[: each * bits].reshape(each, bits) for _ in range(-(-tables // each))])[:tables]
+
+
+def _words(prints: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of packed fingerprints: all bytes, and the checked coordinates as words."""
+    raw = np.frombuffer(b"".join(prints.to_pylist()), np.uint8).reshape(len(prints), -1)
+    return raw, np.ascontiguousarray(raw[:, SAMPLED // 8:]).view(np.int64)
 
 
 def _tables(tables: int, bits: int):
@@ -93,9 +113,8 @@ def _tables(tables: int, bits: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            raw, words = _words(b.column(1))
             bit = np.unpackbits(raw, axis=1)
-            words = np.ascontiguousarray(raw[:, SAMPLED // 8:]).view(np.int64)
             rest = [pa.array(words[:, k]) for k in range(CHECKED // 64)]
             for t in range(tables):
                 key = bit[:, samples[t]].astype(np.int64) @ powers + (t << 48)
@@ -104,6 +123,16 @@ def _tables(tables: int, bits: int):
     return run
 
 
+def _short(batches):
+    """A row for every hash of the prefixes."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        first, (_, words) = b.column(2), _words(b.column(1))
+        at = pc.list_parent_indices(first)
+        yield pa.RecordBatch.from_arrays([pc.list_flatten(first), b.column(0).take(at), *[pa.array(words[:, k]).take(at) for k in range(CHECKED // 64)]], ["bucket", "id", "f0", "f1", "f2", "f3"])
+
+
 def _near(distance: int):
     """Over rows sorted by bucket: a forest of the pairs of a bucket within the distance."""
     def forest(rows):
@@ -143,7 +172,7 @@ def _near(distance: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            key = b.column(0).to_numpy() * 64 + b.column(1).to_numpy()
+            key = b.column(0).to_numpy() * 64 + b.column(1).to_numpy()  # may wrap around: equal keys of different buckets only add pairs
             now = [key, b.column(2).to_numpy(), np.stack([b.column(k).to_numpy().view(np.uint64) for k in range(3, 7)])]
             if held is not None:
                 now = [np.concatenate([held[0], now[0]]), np.concatenate([held[1], now[1]]), np.concatenate([held[2], now[2]], 1)]
@@ -160,10 +189,11 @@ def _near(distance: int):
 def candidate_edges(classes: DataFrame, tables: int = TABLES, bits: int = BITS, bucket: int = BUCKET, distance: int = DISTANCE) -> DataFrame:
     """(u, v): within every bucket, a forest of the pairs whose checked coordinates differ in at most `distance`.
 
-    classes: (id, print). A bucket of more than `bucket` rows takes additional bits, from one of four words of other
+    classes: (id, print, first). Sets of at most SHORT shingles are in the buckets of the hashes of their prefix too: a pair of
+    them that is similar enough always shares a bucket, and is checked at a distance it keeps but for one in 10^11. A bucket of more than `bucket` rows takes additional bits, from one of four words of other
     coordinates, in as many repetitions as keep its recall above 0.99 (each repetition is a table of its own).
     """
-    rows = classes.mapInArrow(tidied(_tables(tables, bits)), "bucket long, id long, f0 long, f1 long, f2 long, f3 long")
+    rows = classes.select("id", "print").mapInArrow(tidied(_tables(tables, bits)), "bucket long, id long, f0 long, f1 long, f2 long, f3 long")
     rows = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("bucket")))
     more = F.when(F.col("n") > bucket, F.ceil(F.log2(F.col("n") / bucket))).otherwise(0).cast("int")
     more = F.least(more, F.lit(12))
@@ -174,8 +204,11 @@ def candidate_edges(classes: DataFrame, tables: int = TABLES, bits: int = BITS,
     shift = (F.floor(F.col("rep") / 4) * 3).cast("int")
     extra = F.call_function("shiftrightunsigned", word, shift).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("more")) - 1)
     sub = F.when(F.col("more") > 0, F.lit(1) + F.col("rep") * 4096 + extra).otherwise(F.lit(0)).cast("long")
-    return (rows.withColumn("sub", sub).select("bucket", "sub", "id", "f0", "f1", "f2", "f3")
-            .sortWithinPartitions("bucket", "sub").mapInArrow(tidied(_near(distance)), "u long, v long"))
+    edges = (rows.withColumn("sub", sub).select("bucket", "sub", "id", "f0", "f1", "f2", "f3")
+             .sortWithinPartitions("bucket", "sub").mapInArrow(tidied(_near(distance)), "u long, v long"))
+    short = classes.where("first is not null").select("id", "print", "first").mapInArrow(tidied(_short), "bucket long, id long, f0 long, f1 long, f2 long, f3 long")
+    return edges.union(short.select("bucket", F.lit(0).cast("long").alias("sub"), "id", "f0", "f1", "f2", "f3").repartition("bucket")
+                       .sortWithinPartitions("bucket").mapInArrow(tidied(_near(max(distance, SHORT_DISTANCE))), "u long, v long"))
 
 
 def linked(sets: list[np.ndarray], similarity=SIMILARITY) -> np.ndarray:
@@ -254,10 +287,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: id, class_id (the smallest id of its class), class_size and kept (id = class_id).
 
     Classes are the components of links: Jaccard of five-word shingle sets at least 0.8. Documents of equal shingle sets
-    are one class at once. The others' fingerprints (512 coordinates) go to 48 tables keyed by 14 sampled coordinates;
-    pairs in a bucket are checked on 256 other coordinates; the texts of candidate components are compared exactly.
-    A link of similarity exactly 0.8 is a candidate with probability of about 0.99, above 0.85 practically always;
-    everything after is exact, and nothing is capped.
+    are one class at once. The others' fingerprints (928 coordinates) go to 48 tables keyed by 14 coordinates of their own;
+    pairs in a bucket are checked on 256 other coordinates; the texts of candidate components are compared exactly. Sets of at
+    most 64 shingles also meet by common shingles (prefix filter), so that pairs of them are candidates for certain. Of longer
+    ones a link of similarity exactly 0.8 is a candidate with a probability of about 0.994, of 0.85 of about 0.999; everything
+    after is exact, and nothing is capped.
 
     Words are lower-cased runs of \\w; a text of fewer than five words is one shingle; a text without words (null and empty
     ones too) is a class of its own. Rows that repeat an id share that id's class; a null id is null's own class unless
@@ -265,10 +299,10 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     bounded_batches(docs.sparkSession)
     prints = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-                         .mapInArrow(tidied(_fingerprints, forget), "id long, sig string, print binary"))
+                         .mapInArrow(tidied(_fingerprints(similarity), forget), "id long, sig string, print binary, first array<long>"))
     classes = materialize(prints.where("sig is not null and id is not null").groupBy("sig")
-                          .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("print").alias("print")))
-    edges = candidate_edges(classes.select("id", "print"), tables, bits, bucket, distance)
+                          .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("print").alias("print"), F.min("first").alias("first")))
+    edges = candidate_edges(classes.select("id", "print", "first"), tables, bits, bucket, distance)
     members = connected_components(edges)
     kept = verified_edges(docs.where(F.col(id_col).isNotNull()), members, id_col, text_col, similarity, component)
     roots = connected_components(kept)

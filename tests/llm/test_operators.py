@@ -353,6 +353,31 @@ def test_simhash_buckets_split_by_more_bits(spark):
     assert sum(got[1000 + i] == i for i in range(50)) >= 49
 
 
+def test_simhash_tables_share_no_coordinate():
+    samples = simhash._samples(simhash.TABLES, simhash.BITS)
+    assert samples.shape == (simhash.TABLES, simhash.BITS) and len(np.unique(samples)) == samples.size and samples.max() < simhash.SAMPLED
+    more = simhash._samples(70, 20)
+    assert more.shape == (70, 20) and all(len(set(s)) == 20 for s in more.tolist())
+
+
+def test_simhash_prefixes_meet():
+    rng = np.random.default_rng(2)
+    for n in range(1, 65):
+        for m in range(n, min(64, n * 10 // 8) + 1):
+            c = next((c for c in range(n + 1) if 10 * c >= 8 * (n + m - c)), None)
+            for _ in range(5 if c else 0):
+                a = np.unique(rng.integers(0, 2**64, n + m - c, dtype=np.uint64, endpoint=False))
+                rng.shuffle(a)
+                assert len(np.intersect1d(simhash.prefix(np.sort(a[:n])), simhash.prefix(np.sort(a[n - c:]))))
+
+
+def test_simhash_links_all_short_pairs(spark):
+    rows = [(2 * i + k, " ".join(f"w{i}x{j}" for j in range(8 + k)), "en", "a") for i in range(600) for k in (0, 1)]  # 4 of 5 shingles
+    rows += [(2000 + 2 * i + k, " ".join(f"v{i}x{j}" for j in range(16 + 3 * k)), "en", "a") for i in range(200) for k in (0, 1)]  # 12 of 15
+    got = {r["doc_id"]: r["class_id"] for r in simhash.simhash_dedup(table(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i, *_ in rows}
+
+
 def test_simhash_counts_majorities():
     rng = np.random.default_rng(1)
     s = rng.integers(1, 2**62, 9000, dtype=np.uint64)
