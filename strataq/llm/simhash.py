@@ -20,7 +20,7 @@ CHECKED = 256  # other coordinates, on which distances are checked
 SHORT = 64  # shingles of a set whose candidates are found by common shingles, not by coordinates
 SHORT_DISTANCE = 96  # of CHECKED, for these: sets of 4 and 5 shingles differ in 48 on average, with a deviation of 6.2
 DISTANCE = 64  # of CHECKED: 4.5 standard deviations above the mean at the similarity
-BUCKET = 4096  # rows of a bucket before additional bits split it
+BUCKET = 4096  # rows of a bucket, or of a part of it, that one task compares
 COMPONENT = 500  # texts of a candidate component that one task holds from either side
 _WORD = re.compile(r"\w+")
 _KEYS = np.random.default_rng(77).integers(1, 2**63, (SAMPLED + CHECKED) // 64, dtype=np.uint64)
@@ -134,81 +134,96 @@ def _short(batches):
 
 
 def _near(distance: int):
-    """Over rows sorted by bucket: a forest of the pairs of a bucket within the distance."""
+    """Over rows sorted by bucket and pair of parts: a forest of the pairs within the distance."""
     def forest(rows):
-        bucket, ids, prints = rows[0], rows[1], rows[2]
-        n = len(ids)
-        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        key, ids, prints = rows
+        n = key.shape[1]
+        starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
         ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
-        parent: dict[int, int] = {}
-
-        def find(x):
-            while (p := parent.setdefault(x, x)) != x:
-                parent[x] = parent.setdefault(p, p)
-                x = p
-            return x
-
+        names, who = np.unique(ids, return_inverse=True)
+        root = np.arange(len(names))
         at, step = np.arange(n), 1
         while True:
             at = at[at + step < ends[at]]
             if not len(at):
                 break
-            d = np.bitwise_count(prints[0][at] ^ prints[0][at + step])
-            near = at[d <= distance]
-            far = d[d <= distance].astype(np.int64)
-            for k in range(1, len(prints)):
+            near = at[root[who[at]] != root[who[at + step]]]  # pairs that are linked already need no comparison
+            far = np.zeros(len(near), np.int64)
+            for k in range(len(prints)):
                 far = far + np.bitwise_count(prints[k][near] ^ prints[k][near + step])
                 near, far = near[far <= distance], far[far <= distance]
-            for u, v in zip(ids[near].tolist(), ids[near + step].tolist()):
-                u, v = find(u), find(v)
-                if u != v:
-                    parent[max(u, v)] = min(u, v)
+            if len(near):
+                parent: dict[int, int] = {}
+
+                def find(x):
+                    while (p := parent.get(x, x)) != x:
+                        parent[x] = parent.get(p, p)
+                        x = p
+                    return x
+
+                for u, v in zip(root[who[near]].tolist(), root[who[near + step]].tolist()):
+                    u, v = find(u), find(v)
+                    if u != v:
+                        parent[max(u, v)] = min(u, v)
+                to = np.arange(len(names))
+                to[list(parent)] = [find(x) for x in list(parent)]
+                root = to[root]
             step += 1
-        out = [(x, r) for x in parent if (r := find(x)) != x]
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([r for _, r in out], pa.int64())], ["u", "v"])
+        out = np.flatnonzero(root != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[out]), pa.array(names[root[out]])], ["u", "v"])
 
     def run(batches):
         held = None
         for b in batches:
             if not b.num_rows:
                 continue
-            key = b.column(0).to_numpy() * 64 + b.column(1).to_numpy()  # may wrap around: equal keys of different buckets only add pairs
-            now = [key, b.column(2).to_numpy(), np.stack([b.column(k).to_numpy().view(np.uint64) for k in range(3, 7)])]
+            key = np.stack([b.column(k).to_numpy() for k in range(3)])
+            now = [key, b.column(3).to_numpy(), np.stack([b.column(k).to_numpy().view(np.uint64) for k in range(4, 8)])]
             if held is not None:
-                now = [np.concatenate([held[0], now[0]]), np.concatenate([held[1], now[1]]), np.concatenate([held[2], now[2]], 1)]
-            cut = int(np.flatnonzero(now[0] == now[0][-1])[0])  # the last bucket may go on in the next batch
+                now = [np.concatenate([held[0], now[0]], 1), np.concatenate([held[1], now[1]]), np.concatenate([held[2], now[2]], 1)]
+            cut = int(np.flatnonzero((now[0] == now[0][:, -1:]).all(0))[0])  # the last bucket may go on in the next batch
             if cut:
-                yield forest([now[0][:cut], now[1][:cut], now[2][:, :cut]])
-            held = [now[0][cut:], now[1][cut:], now[2][:, cut:]]
+                yield forest([now[0][:, :cut], now[1][:cut], now[2][:, :cut]])
+            held = [now[0][:, cut:], now[1][cut:], now[2][:, cut:]]
         if held is not None:
             yield forest(held)
 
     return run
 
 
+def _compared(rows: DataFrame, sample: DataFrame, each: int, bucket: int, distance: int) -> DataFrame:
+    """(u, v): forests of the pairs of a bucket within the distance; a bucket over `bucket` rows part by part, each pair of parts in a group of its own.
+
+    sample: the buckets of one row in `each`. At most one bucket in `bucket` rows is large, so their table is broadcast. It decides how many parts there are, not which pairs are compared.
+    """
+    large = sample.groupBy("bucket").agg((F.count(F.lit(1)) * each).alias("n")).where(F.col("n") > bucket)
+    parts = large.select("bucket", F.ceil(F.col("n") / bucket).cast("int").alias("parts"))
+    rows = rows.join(F.broadcast(parts), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("long"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("a"), F.greatest(o, F.col("part")).alias("b")))
+    rows = rows.withColumn("pair", F.explode(pairs)).select("bucket", F.col("pair.a").alias("first"), F.col("pair.b").alias("second"), "id", "f0", "f1", "f2", "f3")
+    return rows.repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second").mapInArrow(tidied(_near(distance)), "u long, v long")
+
+
 def candidate_edges(classes: DataFrame, tables: int = TABLES, bits: int = BITS, bucket: int = BUCKET, distance: int = DISTANCE) -> DataFrame:
     """(u, v): within every bucket, a forest of the pairs whose checked coordinates differ in at most `distance`.
 
     classes: (id, print, first). Sets of at most SHORT shingles are in the buckets of the hashes of their prefix too: a pair of
-    them that is similar enough always shares a bucket, and is checked at a distance it keeps but for one in 10^11. A bucket of more than `bucket` rows takes additional bits, from one of four words of other
-    coordinates, in as many repetitions as keep its recall above 0.99 (each repetition is a table of its own).
+    them that is similar enough always shares a bucket, and is checked at a distance it keeps but for one in 10^11. A bucket
+    of more than `bucket` rows is compared part by part, so no pair of it is left out.
     """
-    rows = classes.select("id", "print").mapInArrow(tidied(_tables(tables, bits)), "bucket long, id long, f0 long, f1 long, f2 long, f3 long")
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("bucket")))
-    more = F.when(F.col("n") > bucket, F.ceil(F.log2(F.col("n") / bucket))).otherwise(0).cast("int")
-    more = F.least(more, F.lit(12))
-    times = F.when(more > 0, F.least(F.lit(60), F.ceil(F.lit(-4.6) / F.log(1 - F.pow(F.lit(0.84), more))))).otherwise(1).cast("int")
-    rows = rows.withColumn("more", more).withColumn("rep", F.explode(F.sequence(F.lit(0), times - 1)))
-    words = F.array("f0", "f1", "f2", "f3")
-    word = F.element_at(words, (F.col("rep") % 4 + 1).cast("int"))
-    shift = (F.floor(F.col("rep") / 4) * 3).cast("int")
-    extra = F.call_function("shiftrightunsigned", word, shift).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("more")) - 1)
-    sub = F.when(F.col("more") > 0, F.lit(1) + F.col("rep") * 4096 + extra).otherwise(F.lit(0)).cast("long")
-    edges = (rows.withColumn("sub", sub).select("bucket", "sub", "id", "f0", "f1", "f2", "f3")
-             .sortWithinPartitions("bucket", "sub").mapInArrow(tidied(_near(distance)), "u long, v long"))
-    short = classes.where("first is not null").select("id", "print", "first").mapInArrow(tidied(_short), "bucket long, id long, f0 long, f1 long, f2 long, f3 long")
-    return edges.union(short.select("bucket", F.lit(0).cast("long").alias("sub"), "id", "f0", "f1", "f2", "f3").repartition("bucket")
-                       .sortWithinPartitions("bucket").mapInArrow(tidied(_near(max(distance, SHORT_DISTANCE))), "u long, v long"))
+    schema = "bucket long, id long, f0 long, f1 long, f2 long, f3 long"
+    each = max(1, bucket // 256)
+    some = classes.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(each)) == 0)
+
+    def rows(df):
+        return df.select("id", "print").mapInArrow(tidied(_tables(tables, bits)), schema)
+
+    def short(df):
+        return df.where("first is not null").select("id", "print", "first").mapInArrow(tidied(_short), schema)
+
+    return (_compared(rows(classes), rows(some), each, bucket, distance)
+            .union(_compared(short(classes), short(some), each, bucket, max(distance, SHORT_DISTANCE))))
 
 
 def linked(sets: list[np.ndarray], similarity=SIMILARITY) -> np.ndarray:

@@ -378,6 +378,21 @@ def test_simhash_links_all_short_pairs(spark):
     assert got == {i: i - i % 2 for i, *_ in rows}
 
 
+def test_simhash_large_buckets_lose_no_pair(spark):
+    rng = np.random.default_rng(4)
+    prints = rng.integers(0, 2**64, (120, 4), dtype=np.uint64, endpoint=False)  # at a distance of about 128
+    far = prints.copy()
+    for k in range(4):
+        for bit in range(14):  # in all, 56 of 256
+            far[:, k] ^= np.uint64(1) << rng.permutation(64)[bit].astype(np.uint64)
+    head = bytes(simhash.SAMPLED // 8)  # every row in the same bucket of every table
+    data = [(2 * i + k, head + p[i].tobytes(), None) for i in range(120) for k, p in enumerate((prints, far))]
+    classes = spark.createDataFrame(data, "id long, print binary, first array<long>")
+    for kw in ({"bucket": 7}, {}):
+        found = connected_components(simhash.candidate_edges(classes, tables=1, **kw))
+        assert {r["node"]: r["component"] for r in found.collect()} == {2 * i + k: 2 * i for i in range(120) for k in (0, 1)}
+
+
 def test_simhash_counts_majorities():
     rng = np.random.default_rng(1)
     s = rng.integers(1, 2**62, 9000, dtype=np.uint64)
