@@ -17,7 +17,7 @@ INT = f"^^<{SE.XSD}integer>"
 DEC = f"^^<{SE.XSD}double>"
 
 
-def quads(e, customers: int = 200):
+def quads(e):
     def iri(kind, c):
         return F.concat(F.lit(f"<urn:{kind}/"), col(c).cast("string"), F.lit(">"))
 
@@ -27,7 +27,7 @@ def quads(e, customers: int = 200):
     def n(c, t=INT):
         return F.concat(F.lit('"'), col(c).cast("string"), F.lit('"' + t))
 
-    c, na, r, su = e.table("customer").where(col("c_custkey") <= customers), e.table("nation"), e.table("region"), e.table("supplier").where("s_suppkey <= 50")
+    c, na, r, su = e.table("customer"), e.table("nation"), e.table("region"), e.table("supplier")
 
     def rows(df, subj, items, g=None):
         arr = F.array(*[F.struct(F.lit(f"<{p}>" if not p.startswith("<") else p).alias("p"), o.alias("o")) for p, o in items])
