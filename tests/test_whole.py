@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from strataq.queries import rdf
+from strataq.queries import rdf, registry
 from strataq.sparql import engine as SE
 
 
@@ -29,3 +29,11 @@ def test_quads_hold_all_customers_and_suppliers(tables):
     assert got == {f"<urn:nation/{n}>": f'"{k}"{rdf.INT}' for n, k in Counter(c % 7 for c in range(1, 501)).items()}
     assert {r["s"] for r in run("SELECT ?g ?s WHERE { GRAPH ?g { ?s a e:Supplier } }")} == {f"<urn:supplier/{s}>" for s in range(1, 121)}
     assert {r["focus"] for r in rdf._shape(e, segment={"minCount": 1}).collect()} == {f"<urn:customer/{c}>" for c in range(1, 501) if c % 3 == 0}
+
+
+def test_snowball_stems_whole_texts(spark, tmp_path):
+    registry.load_all()
+    words = [f"w{k}" for k in range(300)]
+    spark.createDataFrame([(1, " ".join(words) + " jumping")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    stems = registry.QUERIES["t14_snowball"](spark, str(tmp_path)).collect()[0]["stems"].split()
+    assert len(stems) == 301 and stems[-1] == "jump"
