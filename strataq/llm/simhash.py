@@ -304,7 +304,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Classes are the components of links: Jaccard of five-word shingle sets at least 0.8. Documents of equal shingle sets
     are one class at once. The others' fingerprints (928 coordinates) go to 48 tables keyed by 14 coordinates of their own;
     pairs in a bucket are checked on 256 other coordinates; the texts of candidate components are compared exactly. Sets of at
-    most 64 shingles also meet by common shingles (prefix filter), so that pairs of them are candidates for certain. Of longer
+    most 64 shingles also meet by common shingles (prefix filter), so that pairs of them are missed with a probability below 10^-11. Of longer
     ones a link of similarity exactly 0.8 is a candidate with a probability of about 0.994, of 0.85 of about 0.999; everything
     after is exact, and nothing is capped.
 
