@@ -48,10 +48,12 @@ class Encoder:
     The vocabulary's pre-tokenizer never joins across white space and its normaliser lower-cases, so the ids of a text
     are those of its lower-cased chunks in order, and those of a chunk are those of its words. Chunks and words are
     looked up in a bounded cache; the tokenizer's merges run for unknown words only. Texts with characters for which
-    letter case, classes or white space could differ between libraries go to the tokenizer as they are.
+    letter case, classes or white space could differ between libraries go to the tokenizer as they are, and so do texts
+    that hold the string of an added token: as the file has it, such a string is that token. With `special_as_text` it
+    is ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         import os
         import unicodedata
 
@@ -60,7 +62,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         table = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
@@ -88,15 +92,16 @@ class Encoder:
     def __call__(self, text) -> bytes:
         if not text:
             return b""
-        if _EXOTIC.search(text):
+        if _EXOTIC.search(text) or self.added and self.added.search(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.chunks.__getitem__, text.lower().split()))
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _READY:
-        _READY[path] = Encoder(path)
-    return _READY[path]
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    key = (path, special_as_text)
+    if key not in _READY:
+        _READY[key] = Encoder(*key)
+    return _READY[key]
 
 
 def forget() -> None:
@@ -104,7 +109,7 @@ def forget() -> None:
 
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, max_tokens: int = MAX_TOKENS,
-                 with_ids: bool = False, end_id: int = 0) -> DataFrame:
+                 with_ids: bool = False, end_id: int = 0, special_as_text: bool = False) -> DataFrame:
     """(id, row, piece, start, length, ids_crc32 [, ids]): every document as ids plus the end id, in pieces of max_tokens.
 
     `row` tells apart input rows that share an id. Only documents longer than max_tokens are cut.
@@ -114,7 +119,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, ma
     schema = "id long, row long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special_as_text)
         for b in batches:
             ids, texts, keys = b.column(0), b.column(1), b.column(2).to_pylist()
             out: list[list] = [[] for _ in range(7)]
@@ -208,13 +213,15 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, max_docs: int | None =
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
-                   max_tokens: int = MAX_TOKENS, with_ids: bool = False, **kw) -> DataFrame:
+                   max_tokens: int = MAX_TOKENS, with_ids: bool = False, special_as_text: bool = False, **kw) -> DataFrame:
     """Tokenise, cut and pack all documents: id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     A null or empty text is its end id alone; rows that share an id are packed each. Very long texts become many full
-    pieces. Extra columns are ignored; an empty table gives an empty result.
+    pieces. The string of a special token in a text is that token, as the tokenizer's file has it, unless
+    `special_as_text`. Pieces of equal length are placed by id, row and number. Extra columns, of whatever name, are
+    ignored; an empty table gives an empty result. The id must be an integer or a string of one.
     """
-    pieces = token_pieces(docs, id_col, text_col, tokenizer or default_tokenizer(), max_tokens, with_ids)
+    pieces = token_pieces(docs, id_col, text_col, tokenizer or default_tokenizer(), max_tokens, with_ids, special_as_text=special_as_text)
     cols = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
     return pack(pieces, max_tokens, **kw).select(F.col("id").alias(id_col), *cols)
 
@@ -223,4 +230,4 @@ def op9_packing(spark, sf_dir):
     return pack_documents(load(spark, sf_dir, "documents"))
 
 
-SQL = None  # tested against the tokenizer and the capacity bounds
+SQL = None  # tested against the tokenizer as its file has it, and against a brute-force version of the placement rule

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from strataq.llm import embedding_dedup, exact_dedup, language, mixing, packing, secrets, simhash, suffix_dedup, toxicity, url_filter
 from strataq.llm.common import connected_components, running_sum
@@ -437,7 +438,8 @@ def test_trigram_queries_are_necessary():
 
 # ---- 9
 def test_packing_round_trip(spark, corpus):
-    tok = packing.encoder(packing.default_tokenizer()).tok
+    corpus = [*corpus, (90, "hello <|endoftext|>world", None, None), (91, "<|startoftext|>" * 1500, None, None)]
+    tok = Tokenizer.from_file(packing.default_tokenizer())
     rows = [r["doc_id"] for r in packing.pack_documents(table(spark, corpus)).select("doc_id").collect()]
     assert set(rows) == {r[0] for r in corpus}
     got = packing.pack_documents(table(spark, corpus), with_ids=True).collect()
@@ -467,10 +469,13 @@ def test_packing_round_trip(spark, corpus):
 
 
 def test_encoder_equals_the_tokenizer():
-    enc = packing.Encoder(packing.default_tokenizer())
-    odd = ["ΣΑΣ İstanbul ﬁ", "a\x1cb c", "it's I'LL don't 's'll", "<|endoftext|> x", "é ́x É", "日本語 text", "a b 12 345%%%&&& ''ll", "ẞß ŉ ǆ Ǆ", "x y", "don't,stop.", "don't, stop. a.b", "’s ‘x’ — …", "ªº² 1½"]
-    for t in odd * 2:
-        assert np.frombuffer(enc(t), "<u4").tolist() == enc.tok.encode(t, add_special_tokens=False).ids, t
+    odd = ["hello <|endoftext|>world", "A<|STARTOFTEXT|>b <|startoftext|>c", "<|endoftext|>", "<|endoftext", "e\u0301<|endoftext|>'S", "ΣΑΣ İstanbul ﬁ", "a\x1cb c", "it's I'LL don't 's'll", "<|endoftext|> x", "é ́x É", "日本語 text", "a b 12 345%%%&&& ''ll", "ẞß ŉ ǆ Ǆ", "x y", "don't,stop.", "don't, stop. a.b", "’s ‘x’ — …", "ªº² 1½"]
+    for as_text in (False, True):
+        enc, plain = packing.Encoder(packing.default_tokenizer(), as_text), Tokenizer.from_file(packing.default_tokenizer())
+        plain.encode_special_tokens = as_text
+        for t in odd * 2:
+            assert np.frombuffer(enc(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    assert np.frombuffer(packing.Encoder(packing.default_tokenizer())("hello <|endoftext|>world"), "<u4").tolist() == [3306, 49407, 1002]
 
 
 @pytest.mark.parametrize("rule", ["norm", "dot"])
@@ -485,6 +490,41 @@ def test_best_fit_respects_every_capacity(rule):
         assert sorted(offs[bins == b]) == sorted(np.cumsum([0, *[x for _, x in sorted(zip(offs[bins == b], m))]])[:-1])
 
 
+def brute_best_fit(lengths, cap, rule):
+    """Bins as lists of what is left: every piece, longest first, looks at every bin that was ever opened."""
+    left = []
+    for i in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+        need = (lengths[i], 1, lengths[i] ** 2)
+        fits = [b for b, r in enumerate(left) if all(x >= y for x, y in zip(r, need))]
+
+        def score(b):
+            if rule == "norm":
+                return sum(((x - y) / c) ** 2 for x, y, c in zip(left[b], need, cap))
+            return -sum(x * y / c ** 2 for x, y, c in zip(left[b], need, cap))
+
+        if not fits:
+            left.append(list(cap))
+            fits = [len(left) - 1]
+        best = min(map(score, fits))
+        yield i, {b for b in fits if score(b) <= best + 1e-12}, left
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("cap", [(100, 100, 10000), (100, 4, 4000)])
+def test_best_fit_against_brute_force(rule, cap):
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 7, 200):
+        lengths = rng.integers(1, 60, n)
+        bins, offs = packing.best_fit(lengths, cap, rule=rule)
+        label = {}
+        for i, best, left in brute_best_fit(lengths.tolist(), cap, rule):  # a bin of the best score, at the end of what it holds
+            b = label.setdefault(int(bins[i]), max(best) if len(label) == len(left) - 1 and int(bins[i]) not in label else None)
+            assert b in best
+            assert offs[i] == cap[0] - left[b][0]
+            for k, x in enumerate((lengths[i], 1, lengths[i] ** 2)):
+                left[b][k] -= int(x)
+
+
 # ---- 10
 def test_url_filter(spark):
     urls = ["https://A.Example.ORG/es/x", "http://example.org/en/12?x#y", "http://sub.example.org/en/2", "https://x.com/fr/1", "https://x.com/de/", "https://com/de", "http://notexample.org/es/", "ftp://casino.net/", "http://mycasino.net/",
