@@ -7,6 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+WATCHERS: list[list[str]] = []  # each collects the tables that are made while it is entered
+
+
+def made(path: str) -> str:
+    for w in WATCHERS:
+        w.append(path)
+    return path
+
+
+def delete(spark, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
 
 def shared_folder(spark) -> str:
     """spark.checkpoint.dir; where it is unset, a temporary folder, which only a local session may use."""
@@ -24,9 +37,9 @@ def cut(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made(path)
     if old is not None:
         for f in {p.rsplit("/", 1)[0] for p in old.inputFiles()}:
             if "/cut-" in f:
-                p = spark._jvm.org.apache.hadoop.fs.Path(f)
-                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+                delete(spark, f)
     return spark.read.schema(df.schema).parquet(path)
