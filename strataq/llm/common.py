@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.plans.lineage import shared_folder
+from strataq.plans.lineage import WATCHERS, delete, made, shared_folder
 from strataq.plans.prefix import running_sum  # noqa: F401  used by the operators
 
 WS = "[\\x20\\x09-\\x0D]"
@@ -24,16 +24,28 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/strataq-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(df: DataFrame) -> None:
     """Delete a table made by materialize once nothing reads it any more."""
-    spark = df.sparkSession
     for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
         if "/strataq-" in f:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(df.sparkSession, f)
+
+
+def settled(spark: SparkSession, make) -> DataFrame:
+    """The frame that make() returns, as a table; all tables that were made on the way are deleted."""
+    seen: list[str] = []
+    WATCHERS.append(seen)
+    try:
+        out = materialize(make())
+    finally:
+        WATCHERS[:] = [w for w in WATCHERS if w is not seen]
+    for path in seen[:-1]:
+        delete(spark, path)
+    return out
 
 
 BATCH_ROWS = 4000
@@ -76,30 +88,39 @@ def give_back() -> None:
         pass
 
 
-# --------------------------------------------------------------------------- fixed-size membership filter
-FILTER_BITS = 1 << 23  # 1 MB in all, whatever the input
+# ---- membership filters of bounded size
+FILTER_BITS = 1 << 23  # 1 MB where nothing is known of the number of keys
+MAX_FILTER_BITS = 1 << 30  # 128 MB
+BITS_A_KEY = 16
 
 
-def bit_filter(keys: DataFrame, key: Column) -> DataFrame:
-    """A one-hash Bloom filter of `key` as 256 rows (slot, bits) of 4 KB: at most 1 MB, so it may be broadcast.
+class BitFilter:
+    """A one-hash Bloom filter as rows (slot, bits) of 4 KB each."""
 
-    It can only say "perhaps" or "no"; when it fills up it passes everything, and results stay whole because
-    an exact step always follows. Null keys are not entered.
-    """
-    h = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    return (
-        keys.where(key.isNotNull())
-        .select(h.alias("h"))
-        .select((F.col("h") / 32768).cast("int").alias("slot"), (F.col("h") % 32768).alias("p"))
-        .groupBy("slot")
-        .agg(F.bitmap_construct_agg("p").alias("bits"))
-    )
+    def __init__(self, rows: DataFrame, size: int):
+        self.rows, self.size = rows, size
 
 
-def with_membership(df: DataFrame, bits: DataFrame, key: Column, name: str) -> DataFrame:
-    """Add boolean `name`: whether `key` may be in the filter. The filter is broadcast (1 MB at most)."""
-    h = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    b = bits.select(F.col("slot").alias("__slot"), F.col("bits").alias("__bits"))
+def bit_filter(keys: DataFrame, key: Column, n: int | None = None) -> BitFilter:
+    """A filter of `key`, of BITS_A_KEY bits for each of its n entries, at most MAX_FILTER_BITS (128 MB), so it may be broadcast.
+
+    n: the number of keys, where it is known. The filter can only say "perhaps" or "no"; beyond 2^30 / 16 keys it passes more
+    and more, and results stay whole because an exact step always follows. Null keys are not entered.
+    """
+    size = FILTER_BITS if n is None else max(FILTER_BITS, min(MAX_FILTER_BITS, 1 << max(n * BITS_A_KEY - 1, 1).bit_length()))
+    h = F.pmod(F.xxhash64(key), F.lit(size))
+    rows = (keys.where(key.isNotNull())
+            .select(h.alias("h"))
+            .select((F.col("h") / 32768).cast("int").alias("slot"), (F.col("h") % 32768).alias("p"))
+            .groupBy("slot")
+            .agg(F.bitmap_construct_agg("p").alias("bits")))
+    return BitFilter(rows, size)
+
+
+def with_membership(df: DataFrame, bits: BitFilter, key: Column, name: str) -> DataFrame:
+    """Add boolean `name`: whether `key` may be in the filter. The filter is broadcast; its size is bounded, see bit_filter."""
+    h = F.pmod(F.xxhash64(key), F.lit(bits.size))
+    b = bits.rows.select(F.col("slot").alias("__slot"), F.col("bits").alias("__bits"))
     at = ((h % 32768) / 8).cast("int") + 1
     byte = F.conv(F.hex(F.substring(F.col("__bits"), at, F.lit(1))), 16, 10).cast("int")
     hit = F.call_function("shiftright", byte, (h % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
@@ -111,17 +132,17 @@ def with_membership(df: DataFrame, bits: DataFrame, key: Column, name: str) -> D
     )
 
 
-# --------------------------------------------------------------------------- look-ups under skew
+# ---- look-ups under skew
 HEAVY = 1024  # rows of a look-up table that are broadcast
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, weight: str, salt: Column, check: bool = False) -> DataFrame:
-    """Left join df with table (unique in `key`), where a few keys may hold most rows of df.
+    """Left join df with table (unique in `key`), where a few keys, or null, may hold most rows of df.
 
-    The HEAVY keys of largest `weight` are broadcast (their number is fixed); rows they serve take a random join
-    key, so that no task gets a hot key. df keeps its rows: each gets its one match or nulls.
-    With `check` the table is counted first, and broadcast as a whole if it has at most HEAVY rows, so that wide
-    rows of df need no shuffle at all.
+    The HEAVY keys of largest `weight` are broadcast (their number is fixed). Rows that they serve, and rows whose key is
+    null and so can have no match, take a random join key, so that no task gets a hot key. df keeps its rows: each gets
+    its one match or nulls. With `check` the table is counted first, and broadcast as a whole if it has at most HEAVY
+    rows, so that wide rows of df need no shuffle at all.
     """
     values = [c for c in table.columns if c != key]
     if check and table.limit(HEAVY + 1).count() <= HEAVY:
@@ -130,11 +151,11 @@ def lookup(df: DataFrame, table: DataFrame, key: str, weight: str, salt: Column,
         return out.select(*[F.col(c) for c in df.columns], *[F.col(f"__v_{v}").alias(v) for v in values])
     heavy = table.orderBy(F.desc(weight), key).limit(HEAVY).select(
         F.col(key).alias("__hk"), F.struct(*values).alias("__hv"))
-    rest = table.select(F.col(key).cast("string").alias("__jk"), F.struct(*values).alias("__rv"))
+    rest = table.select(F.concat(F.lit("="), F.col(key).cast("string")).alias("__jk"), F.struct(*values).alias("__rv"))
     out = (
         df.join(F.broadcast(heavy), F.col(key) == F.col("__hk"), "left")
-        .withColumn("__jk", F.when(F.col("__hk").isNotNull(), F.concat(F.lit("\u0000"), salt.cast("string")))
-                    .otherwise(F.col(key).cast("string")))
+        .withColumn("__jk", F.when(F.col("__hk").isNotNull() | F.col(key).isNull(), F.concat(F.lit("~"), salt.cast("string")))
+                    .otherwise(F.concat(F.lit("="), F.col(key).cast("string"))))
         .join(rest, "__jk", "left")
     )
     return out.select(*[F.col(c) for c in df.columns],
@@ -144,12 +165,12 @@ def lookup(df: DataFrame, table: DataFrame, key: str, weight: str, salt: Column,
 def keep_decided(df: DataFrame, decided: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """The rows of df without those that `decided` (the columns `keys`, unique, and boolean kept) rejects.
 
-    Only rows that a fixed-size filter lets through are shuffled; the others have no decision and stay where they are.
-    keys: expressions over df, none null. Rows equal in all keys that are decided on stay once.
+    Only rows that a filter of bounded size lets through are shuffled; the others have no decision and stay where they
+    are. decided should be a table: it is read more than once. keys: expressions over df, none null. Rows equal in all keys that are decided on stay once.
     """
     names = list(keys)
     out = df.columns
-    bits = bit_filter(decided, F.xxhash64(*names))
+    bits = bit_filter(decided, F.xxhash64(*names), decided.count())
     flagged = with_membership(df.withColumns({f"__{k}": e for k, e in keys.items()}), bits, F.xxhash64(*[f"__{k}" for k in names]), "__maybe")
     rest = flagged.where("__maybe").join(decided.select(*[F.col(k).alias(f"__{k}") for k in names], F.col("kept").alias("__kept")), [f"__{k}" for k in names], "left")
     # rows that the filter let through without a decision are told apart, so that none of them goes
@@ -158,7 +179,7 @@ def keep_decided(df: DataFrame, decided: DataFrame, keys: dict[str, Column]) ->
     return flagged.where(~F.col("__maybe")).select(*out).union(rest.select(*out))
 
 
-# --------------------------------------------------------------------------- connected components
+# ---- connected components
 def _forest(batches):
     """Replace the edges of one partition by a forest with the same components (stars about the smallest id)."""
     import pyarrow as pa

@@ -20,37 +20,42 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Group documents whose normalised texts are identical and choose one of each group.
 
     Three refinements, each of which only sees what the last could not tell apart: length; length and hash of the
-    first 64 characters; SHA-256 of the whole text. Texts never pass a shuffle: the first two levels leave a
-    membership filter of fixed size, and the last scan hashes whole texts only for rows it lets through.
+    first 64 characters; SHA-256 of the whole text. The first scan writes a narrow table of lengths and prefix hashes; what
+    repeats in it becomes a membership filter of bounded size, and the second scan hashes whole texts only for rows that
+    it lets through. Texts never pass a shuffle.
 
-    Of a group the row with most code points in the original text stays, then the smallest id. Returns one row per
-    input row: id_col, keep_id, group_size, kept, and the columns of `carry` (expressions over the input row).
-    Null text is empty text; empty texts are equal to each other. Repeated ids are rows like any other; of rows equal
-    in text and id every one says kept (they cannot be told apart), group_size counts all. Null ids sort first.
-    Extra columns are ignored; an empty table gives an empty result. A hot group is pre-aggregated on the map side
-    and looked up by broadcast (see common.lookup).
+    Of a group the row with most code points in the original text stays, then the smallest id (null first), then the smallest
+    hash of the text, then any one of rows that are equal in all of these. Returns one row per input row: id_col, keep_id,
+    group_size, kept (true for exactly one row of a group), and the columns of `carry` (expressions over the input row).
+    Null text is empty text; empty texts are equal to each other. Repeated ids are rows like any other. Very long texts are
+    hashed whole. Extra columns are ignored; an empty table gives an empty result. A hot group is pre-aggregated on the map
+    side and looked up by broadcast; rows without a group are spread at random (see common.lookup).
     """
     norm = normalised(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("id"), norm.alias("norm"),
-                       F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("cp"),
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).alias("id"), norm.alias("norm"), F.length(text).cast("long").alias("cp"), F.xxhash64(text).alias("x"),
                        *[e.alias(f"__c_{k}") for k, e in (carry or {}).items()])
-    slim = base.select("norm", F.length("norm").alias("n"))
-    lengths = slim.groupBy("n").count().where("count > 1")
-    by_length = bit_filter(lengths, F.col("n"))
+    base = base.withColumn("n", F.length("norm"))
     prefix = F.xxhash64(F.col("n"), F.substring("norm", 1, PREFIX))
-    level2 = with_membership(slim, by_length, F.col("n"), "maybe").where("maybe").select(prefix.alias("p"))
-    by_prefix = bit_filter(level2.groupBy("p").count().where("count > 1"), F.col("p"))
-    level3 = with_membership(base.withColumn("n", F.length("norm")).withColumn("p", prefix), by_prefix, F.col("p"), "maybe")
+    slim = materialize(base.select("n", prefix.alias("p")))
+    lengths = materialize(slim.groupBy("n").count().where("count > 1"))
+    by_length = bit_filter(lengths, F.col("n"), lengths.count())
+    prefixes = with_membership(slim, by_length, F.col("n"), "maybe").where("maybe").groupBy("p").count().where("count > 1")
+    prefixes = materialize(prefixes)
+    by_prefix = bit_filter(prefixes, F.col("p"), prefixes.count())
+    level3 = with_membership(base.withColumn("p", prefix), by_prefix, F.col("p"), "maybe")
     extra = [f"__c_{k}" for k in carry or {}]
-    rows = materialize(level3.select("id", "cp", F.when(F.col("maybe"), F.sha2("norm", 256)).alias("h"), *extra))
+    rows = level3.select("id", "cp", "x", F.when(F.col("maybe"), F.sha2("norm", 256)).alias("h"),
+                         F.when(F.col("maybe"), F.monotonically_increasing_id()).alias("r"), *extra)
+    rows = materialize(rows)
     groups = (rows.where("h is not null").groupBy("h")
-              .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct((-F.col("cp")).alias("c"), F.col("id"))).alias("best"))
-              .where("size > 1").select("h", "size", F.col("best.id").alias("best"), F.lit(True).alias("grouped")))
-    out = lookup(rows, groups, "h", "size", F.xxhash64("id", "cp"))
-    keep = F.when(F.col("grouped"), F.col("best")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), keep.alias("keep_id"),
+              .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct((-F.col("cp")).alias("c"), F.col("id"), F.col("x"), F.col("r"))).alias("best"))
+              .where("size > 1").select("h", "size", F.col("best.id").alias("best"), F.col("best.r").alias("best_r"), F.lit(True).alias("grouped")))
+    out = lookup(rows, groups, "h", "size", F.xxhash64("id", "cp", "x"))
+    grouped = F.coalesce("grouped", F.lit(False))
+    return out.select(F.col("id").alias(id_col), F.when(grouped, F.col("best")).otherwise(F.col("id")).alias("keep_id"),
                       F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-                      F.col("id").eqNullSafe(keep).alias("kept"), *[F.col(f"__c_{k}").alias(k) for k in carry or {}])
+                      (~grouped | (F.col("r") == F.col("best_r"))).alias("kept"), *[F.col(f"__c_{k}").alias(k) for k in carry or {}])
 
 
 def op5_exact_dedup(spark, sf_dir):

@@ -87,6 +87,38 @@ def test_keep_decided(spark, monkeypatch):
         assert result(common.keep_decided(df, decided, {"i": F.col("i")}), "i", "t") == [(1, "a"), (3, "c"), (3, "d"), (4, "e")]
 
 
+def test_lookup_spreads_hot_keys_and_nulls(spark):
+    from strataq.llm.common import lookup
+
+    df = spark.range(40_000).select(F.when(F.col("id") % 100 == 0, F.col("id")).when(F.col("id") % 3 == 0, F.lit(7)).alias("k"), F.col("id").alias("v"))
+    table = spark.range(0, 40_000, 100).select(F.col("id").alias("k"), F.lit(1).alias("n")).union(spark.createDataFrame([(7, 9)], "k long, n int"))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        out = lookup(df, table, "k", "n", F.col("v"))
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 16 and max(sizes) < 2 * 40_000 / 16
+        got = {(r["k"], r["n"]) for r in out.collect()}
+        assert out.count() == 40_000 and {k for k, _ in got} == {None, 7, *range(0, 40_000, 100)}
+        assert {n for k, n in got if k is None} == {None} and all(n for k, n in got if k is not None)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_bit_filters_have_no_misses(spark, monkeypatch):
+    from strataq.llm import common
+
+    keys = spark.range(0, 5000, 5)
+    for n, low in ((None, 1 << 23), (10**6, 1 << 24), (10**12, common.MAX_FILTER_BITS)):
+        bits = common.bit_filter(keys, F.col("id"), n)
+        assert bits.size == low
+        got = [r["id"] for r in common.with_membership(spark.range(5000), bits, F.col("id"), "in").where("in").collect()]
+        assert set(range(0, 5000, 5)) <= set(got) and len(got) < 1010
+
+
 # ---- 1
 def test_mixing(spark, corpus):
     rows = {r["doc_id"]: r for r in mixing.mix(table(spark, corpus)).collect()}
@@ -271,6 +303,9 @@ def test_exact_dedup(spark, corpus):
             assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"], got[i]["kept2"]) == (keep, len(g), i == keep, "clash")
     twice = exact_dedup.exact_dedup(table(spark, [(1, "a", None, None), (1, "a", None, None), (None, "a ", None, None)]))
     assert result(twice, "doc_id", "keep_id", "group_size") == [(1, None, 3), (1, None, 3), (None, None, 3)]
+    assert sum(r["kept"] for r in twice.collect()) == 1
+    shared = exact_dedup.exact_dedup(table(spark, [(1, "a b", None, None), (1, "ab", None, None), (3, "ab", None, None), (4, "x" * 70_000, None, None), (5, "x " * 70_000, None, None)]))
+    assert result(shared, "doc_id", "keep_id", "group_size", "kept") == [(1, 1, 3, False), (1, 1, 3, True), (3, 1, 3, False), (4, 5, 2, False), (5, 5, 2, True)]
     assert exact_dedup.exact_dedup(table(spark, corpus).limit(0)).count() == 0
 
 

@@ -44,3 +44,17 @@ def test_run_and_odd_rows(spark, sf):
     for _, stage in P.STAGES[:-1]:
         none = P.materialize(stage(spark, none, sf))
     assert none.count() == 0
+
+
+def test_copies_under_one_id_do_not_stay(spark, sf):
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3), (1, "ab", "en", "s", 2), (3, "ab", "en", "s", 2), (4, "c", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r["doc_id"], r["text"]) for r in P.drop_copies(spark, docs, sf).collect()) == [(1, "a b"), (4, "c")]
+
+
+def test_run_leaves_only_what_its_result_reads(spark, sf):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    P.run(spark, sf).count()
+    assert len(set(os.listdir(folder)) - before) <= 2
