@@ -13,7 +13,7 @@ from strataq.llm import mixing as _mixing
 from strataq.llm import packing as _packing
 from strataq.llm import simhash as _simhash
 from strataq.llm import toxicity as _toxicity
-from strataq.llm.common import keep_decided, load, materialize
+from strataq.llm.common import keep_decided, load, materialize, remove, settled
 
 THRESHOLD = 0.5
 
@@ -30,10 +30,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal normalised texts. Rows equal in id and text stay once."""
+    """One document of each group of equal normalised texts, whatever their ids: that with most code points, then the smallest
+    id (null first). Null and empty texts are one group. Rows equal in id and text stay once. An empty table stays empty."""
     h = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = materialize(_exact.exact_dedup(docs, carry={"h": h}).where("group_size > 1"))
-    decided = found.select(_id(F.col("doc_id")).alias("i"), "h", "kept").groupBy("i", "h").agg(F.max("kept").alias("kept"))
+    found = _exact.exact_dedup(docs, carry={"__h": h}).where("group_size > 1")
+    decided = materialize(found.select(_id(F.col("doc_id")).alias("i"), F.col("__h").alias("h"), "kept").groupBy("i", "h").agg(F.max("kept").alias("kept")))
     return keep_decided(docs, decided, {"i": _id(F.col("doc_id")), "h": h})
 
 
@@ -61,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. Each but the last is written; what it read is deleted then."""
     docs = load(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, settled(spark, lambda: stage(spark, docs, sf_dir))  # noqa: B023  called at once
+        if k:
+            remove(before)
     return STAGES[-1][1](spark, docs, sf_dir)
