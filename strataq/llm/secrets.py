@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import load
+from strataq.llm.common import bit_filter, load, lookup, materialize, with_membership
 
 #: (kind, regex, group whose length counts, least length). Spans are leftmost non-overlapping matches of each kind.
 BASE_RULES = [
@@ -105,12 +105,12 @@ class TrigramIndex:
         return low.select("id", F.explode(hits).alias("gram"))
 
     def candidates(self, postings: DataFrame) -> DataFrame:
-        """(id, one boolean c_<kind> a rule with a query): intersections and unions of postings, as bit masks by id.
+        """(id, postings __n, one boolean c_<kind> a rule with a query): intersections and unions of postings, as bit masks by id.
 
         Masks are combined on the map side, so a document costs one narrow row in the shuffle.
         """
         words = range(-(-len(self.grams) // 60))
-        masks = postings.groupBy("id").agg(*[
+        masks = postings.groupBy("id").agg(F.count(F.lit(1)).alias("__n"), *[
             F.bit_or(F.when(F.floor(F.col("gram") / 60) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("gram") % 60).cast("int")))
                      .otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in words])
 
@@ -128,7 +128,7 @@ class TrigramIndex:
                 out = out | has(s)
             return out
 
-        found = masks.select("id", *[selects(q).alias(f"c_{k}") for k, q in self.queries.items() if q])
+        found = masks.select("id", "__n", *[selects(q).alias(f"c_{k}") for k, q in self.queries.items() if q])
         some = F.lit(False)
         for k, q in self.queries.items():
             if q:
@@ -164,21 +164,30 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rules with mandatory trigrams are matched only in documents that the index selects; the others scan every text.
     Null text is empty. The candidates' ids are unique, so a repeated id keeps its rows; a null id isn't indexed and
-    is scanned by every rule. Extra columns are ignored; an empty table gives an empty result; very long texts are
-    scanned whole. One shuffle brings the candidate flags to the texts; a hot id is left to the adaptive skew join.
+    is scanned by every rule. Matches that start at the same place are told apart by the rules' order. Extra columns, of
+    whatever name, are ignored; an empty table gives an empty result; very long texts are scanned whole. Texts that a
+    membership filter of the candidates' ids rules out stay in their scan; only the others are joined with the
+    candidates' flags (a hot id by broadcast, see common.lookup).
     """
     index = TrigramIndex(rules)
-    chosen = index.candidates(index.postings(docs, id_col, text_col))
+    chosen = materialize(index.candidates(index.postings(docs, id_col, text_col)))
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = base.join(chosen, "id", "left")
-    spans = []
-    for number, (kind, pattern, group, least) in enumerate(rules):
-        found = find_spans(F.col("text"), number, pattern, group, least)
-        if index.queries[kind]:
-            none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-            found = F.when(F.coalesce(F.col(f"c_{kind}"), F.lit(False)) | F.col("id").isNull(), found).otherwise(none)
-        spans.append(found)
-    return rows.select(F.col("id").alias(id_col), F.array_sort(F.concat(*spans)).alias("found"))
+    base = with_membership(base, bit_filter(chosen, F.col("id"), chosen.count()), F.col("id"), "maybe")
+    kinds = [k for k, q in index.queries.items() if q]
+    picked = lookup(base.where("maybe"), chosen, "id", "__n", F.xxhash64("text")).drop("__n")
+    rest = base.where("not maybe").select("*", *[F.col("id").isNull().alias(f"c_{k}") for k in kinds])
+
+    def found(rows: DataFrame) -> DataFrame:
+        spans = []
+        for number, (kind, pattern, group, least) in enumerate(rules):
+            at = find_spans(F.col("text"), number, pattern, group, least)
+            if kind in kinds:
+                none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+                at = F.when(F.coalesce(F.col(f"c_{kind}"), F.lit(False)), at).otherwise(none)
+            spans.append(at)
+        return rows.select(F.col("id").alias(id_col), F.array_sort(F.concat(*spans)).alias("found"))
+
+    return found(picked).union(found(rest))
 
 
 def joined(spans: Column, rules=RULES) -> Column:
