@@ -78,17 +78,20 @@ def vocabulary_verdict(strict=STRICT, soft=SOFT, limit: int = SOFT_LIMIT):
     return verdict
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, strict=STRICT, soft=SOFT,
+                limit: int = SOFT_LIMIT) -> DataFrame:
     """One row per page: id, host, path, rule (null if none fits) and verdict (the rule's, else the vocabulary's).
 
     A null url, or one without ://, has empty host and path; a null url is allowed, for it holds no term. Repeated
-    rows are judged each; extra columns are ignored; an empty table gives an empty result. No shuffle.
+    rows are judged each; of rules of equal length the later in code point order wins; very long urls are read whole;
+    extra columns, of whatever name, are ignored; an empty table gives an empty result. No shuffle. The vocabulary is only
+    asked about urls that no rule decides.
     """
     host, path = url_parts(F.col(url_col))
     base = pages.select(F.col(id_col), F.col(url_col).alias("__u"), host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    return (base.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("__v"),
-                        vocabulary_verdict()(F.col("__u")).alias("__w"))
+    own = vocabulary_verdict(strict, soft, limit)(F.when(F.col("__v").isNull(), F.col("__u")))
+    return (base.select(id_col, "host", "path", "__u", rule.alias("rule"), verdict.alias("__v")).select("*", own.alias("__w"))
             .select(id_col, "host", "path", "rule", F.coalesce("__v", "__w").alias("verdict")))
 
 
