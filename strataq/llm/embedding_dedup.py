@@ -5,10 +5,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import connected_components, load, lookup, materialize
+from strataq.llm.common import bounded_batches, connected_components, load, lookup, materialize, tidied
 
 COSINE = 0.98
-BLOCKS = 8
+DIMS = 8  # of a block, and of its grid at most
 CHUNK = 8_000  # vectors of a cell that one task holds from either side
 SEED = 20_240_501
 
@@ -21,8 +21,13 @@ def _halves(x: np.ndarray) -> np.ndarray:
     return x[:, 0]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that the largest component is about 1 and squares neither over- nor underflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def rotate(x: np.ndarray) -> np.ndarray:
-    """Unit vectors turned by random signs, a permutation and a Hadamard transform (an orthogonal map of the padded space)."""
+    """Scaled vectors as unit vectors, turned by random signs, a permutation and a Hadamard transform (an orthogonal map of the padded space)."""
     d = 1 << max(3, (x.shape[1] - 1).bit_length())
     rng = np.random.default_rng(SEED)
     out = np.zeros((len(x), d))
@@ -44,7 +49,7 @@ def _encode(x: np.ndarray) -> list[bytes]:
 
 
 def _decode(col, dim: int) -> np.ndarray:
-    return np.stack([np.frombuffer(v, "<f4" if len(v) == 4 * dim else "<f8").astype(float) for v in col.to_pylist()])
+    return np.stack([np.frombuffer(v, "<f4" if len(v) == 4 * dim else "<f8").astype(float) for v in col])
 
 
 def _usable(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
@@ -55,9 +60,30 @@ def _usable(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Da
             .select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v")))
 
 
-def _cells(blocks: int, cosine: float):
-    """Rows of (label, block, cell, home, id, size, vector): a vector goes to its own cell of every block, and, not at
-    home, to the neighbours along the block's two first axes that the block's distance budget reaches."""
+def _blocks(d: int, dims: int) -> tuple[int, int]:
+    """(number, size) of the blocks of rotated vectors of d components, a power of two of at least 8."""
+    m = min(dims, d // 2)
+    return d // m, m
+
+
+def _grid(levels: int, m: int) -> list[int]:
+    """Sides of the grid's cells along the first axes of a block, in reaches. A level halves the cells, about: one axis more, at
+    four reaches, then, when a block has no more axes, two reaches along an axis."""
+    levels = max(0, min(levels, 2 * m))
+    return [2 if a < levels - m else 4 for a in range(min(levels, m))]
+
+
+def _levels(n: int, chunk: int) -> int:
+    return max(0, -(-n // chunk) - 1).bit_length()
+
+
+def _cells(dims: int, cosine: float, chunk: int, with_vectors: bool = True):
+    """Rows of (label, dim, block, cell, away, id, size, vector) from (id, label, v, size, of the label's vectors).
+
+    A vector goes to its own cell of every block's grid, and along each axis to the cell below too if vectors there are
+    within reach. So two vectors within reach along all axes meet in the cell that is the lower of theirs along every
+    axis; there, along each axis one of them at least is at home. `away`: the axes, as bits, along which it is not.
+    """
     limit = 2 - 2 * cosine + 1e-9
 
     def run(batches):
@@ -65,146 +91,211 @@ def _cells(blocks: int, cosine: float):
             if not b.num_rows:
                 continue
             raw = b.column(2).to_pylist()
-            for dim in sorted({len(v) for v in raw}):
-                at = np.array([i for i, v in enumerate(raw) if len(v) == dim])
+            kind = [(len(v), _levels(n, chunk)) for v, n in zip(raw, b.column(4).to_pylist())]
+            for dim, levels in sorted(set(kind)):
+                at = np.array([i for i, k in enumerate(kind) if k == (dim, levels)])
                 x = np.array([raw[i] for i in at])
-                r = rotate(x)
-                m = r.shape[1] // min(blocks, r.shape[1] // 2)
+                r = rotate(scaled(x))
+                count, m = _blocks(r.shape[1], dims)
                 reach = np.sqrt(limit * m / r.shape[1])
-                side = 4 * reach
-                labels, ids, sizes = b.column(1).take(pa.array(at)), b.column(0).take(pa.array(at)), b.column(3).take(pa.array(at))
-                data = pa.array(_encode(x), pa.binary())
-                for block in range(r.shape[1] // m):
-                    a, c = r[:, block * m], r[:, block * m + 1]
-                    lo_a, hi_a = np.floor((a - reach) / side), np.floor((a + reach) / side)
-                    lo_c, hi_c = np.floor((c - reach) / side), np.floor((c + reach) / side)
-                    home_a, home_c = np.floor(a / side), np.floor(c / side)
-                    for i in range(2):
-                        for j in range(2):
-                            p, q = (hi_a if i else lo_a), (hi_c if j else lo_c)
-                            keep = np.flatnonzero(((i == 0) | (hi_a > lo_a)) & ((j == 0) | (hi_c > lo_c)))
-                            take = pa.array(keep)
-                            n = len(keep)
-                            yield pa.RecordBatch.from_arrays([
-                                labels.take(take), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, block, np.int32)),
-                                pa.array((p[keep] + 1000).astype(np.int64) * 100_000 + (q[keep] + 1000).astype(np.int64)),
-                                pa.array((p[keep] == home_a[keep]) & (q[keep] == home_c[keep])), ids.take(take), sizes.take(take), data.take(take),
-                            ], ["label", "dim", "block", "cell", "home", "id", "size", "v"])
+                labels, ids, sizes = (b.column(k).take(pa.array(at)) for k in (1, 0, 3))
+                data = pa.array(_encode(x), pa.binary()) if with_vectors else None
+                for block in range(count):
+                    who, cell, away = np.arange(len(at)), np.zeros(len(at), np.int64), np.zeros(len(at), np.int32)
+                    for a, side in enumerate(_grid(levels, m)):
+                        c = r[:, block * m + a]
+                        home, low = (np.floor(v / (side * reach)).astype(np.int64) for v in (c, c - reach))
+                        lower = np.flatnonzero((low < home)[who])
+                        cell, below = cell * 1_000_003 + home[who], cell[lower] * 1_000_003 + low[who[lower]]  # wraps around: a hash
+                        who, cell, away = np.r_[who, who[lower]], np.r_[cell, below], np.r_[away, away[lower] | 1 << a]
+                    take, n = pa.array(who), len(who)
+                    cols = [labels.take(take), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, block, np.int32)), pa.array(cell)]
+                    names = ["label", "dim", "block", "cell"]
+                    if with_vectors:
+                        cols += [pa.array(away), ids.take(take), sizes.take(take), data.take(take)]
+                        names += ["away", "id", "size", "v"]
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
-def _joiner(blocks: int, cosine: float):
-    """One cell (or one pair of its chunks): verified links as counts and a spanning forest.
+class _Forest:
+    """Union-find over 0..n-1 whose roots are the smallest members."""
 
-    A candidate lies within the block's budget; it is taken in the first block that lets it through and where the
-    vector of smaller id is at home, so a link is found once however many blocks and cells show it.
-    """
-    limit = 2 - 2 * cosine + 1e-9
-    schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
-
-    def run(t: pa.Table) -> pa.Table:
-        dim, block = t["dim"][0].as_py(), t["block"][0].as_py()
-        ids = t["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        x = np.concatenate([_decode(c, dim) for c in t["v"].chunks])[order]
-        sizes, home = t["size"].to_numpy()[order], t["home"].to_numpy()[order]
-        part = t["part"].to_numpy()[order]
-        one, two = t["first"][0].as_py(), t["second"][0].as_py()
-        r = rotate(x)
-        m = r.shape[1] // min(blocks, r.shape[1] // 2)
-        budget = limit * m / r.shape[1]
-        norm = np.sqrt(_halves(x * x))
-        links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, p: np.ndarray, q: np.ndarray) -> None:
+        u, v = self.root[p], self.root[q]
+        apart = u != v
+        if not apart.any():
+            return
+        pairs = np.unique(np.stack([u[apart], v[apart]]), axis=1)
+        parent: dict[int, int] = {}
 
         def find(k):
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
+            while (up := parent.get(k, k)) != k:
+                parent[k] = parent.get(up, up)
+                k = up
             return k
 
-        # sort by the third axis of the block and slide a window of the reach over it
-        axis = r[:, block * m + (2 if m > 2 else 0)]
-        line = np.argsort(axis, kind="stable")
-        ends = np.searchsorted(axis[line], axis[line] + np.sqrt(budget), side="right")
-        own = r[:, block * m: (block + 1) * m]
-        for a in range(0, len(line), 512):
-            b = min(a + 512, len(line))
-            widths = ends[a:b] - np.arange(a, b) - 1
-            if widths.sum() <= 0:
-                continue
-            # pairs of the window, a bounded number at a time
-            left = np.repeat(np.arange(a, b), widths)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(widths) - widths, widths)
-            i, j = line[left], line[right]
-            i, j = np.minimum(i, j), np.maximum(i, j)
-            d = own[i, 0] - own[j, 0]
-            near = d * d
-            for k in range(1, m):
-                ok = near <= budget
-                i, j, near = i[ok], j[ok], near[ok]
-                d = own[i, k] - own[j, k]
-                near = near + d * d
-            ok = (near <= budget) & home[i]
-            if one != two:
-                ok &= part[i] != part[j]
-            i, j = i[ok], j[ok]
+        for u, v in pairs.T.tolist():
+            u, v = find(u), find(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+        to = np.arange(len(self.root))
+        to[list(parent)] = [find(k) for k in list(parent)]
+        self.root = to[self.root]
+
+
+def _joined(dim: int, block: int, split: bool, part, away, ids, sizes, x, dims: int, cosine: float):
+    """(id, links, smallest id reached) of one cell (or one pair of its parts).
+
+    A candidate lies within the block's share of the distance; it is taken in the first block that lets it through and in
+    one cell of it (see _cells), so a link is found once however many blocks and cells show it. Single-precision products
+    find candidates with a margin; double precision decides on the block's distance and on the cosine.
+    """
+    limit = 2 - 2 * cosine + 1e-9
+    order = np.argsort(ids, kind="stable")
+    part, away, ids, sizes, x = part[order], away[order], ids[order], sizes[order], scaled(x[order])
+    r = rotate(x)
+    _, m = _blocks(r.shape[1], dims)
+    budget = limit * m / r.shape[1]
+    norm = np.sqrt(_halves(x * x))
+    unit = x / norm[:, None]
+    links, forest = np.zeros(len(ids), np.int64), _Forest(len(ids))
+    own = r[:, block * m: (block + 1) * m]
+
+    def share(p, q, e):
+        d = r[p, e * m] - r[q, e * m]
+        s = d * d
+        for k in range(1, m):
+            d = r[p, e * m + k] - r[q, e * m + k]
+            s = s + d * d
+        return s
+
+    line = np.argsort(own[:, m - 1], kind="stable")  # the grid takes this axis last
+    axis, flat = own[line, m - 1], own[line].astype(np.float32)
+    square = (flat * flat).sum(1)
+    ends = np.searchsorted(axis, axis + np.sqrt(budget), side="right")
+    for a in range(0, len(line), 512):
+        b, top = min(a + 512, len(line)), int(ends[min(a + 512, len(line)) - 1])
+        near = square[a:b, None] + square[None, a:top] - 2 * (flat[a:b] @ flat[a:top].T) <= np.float32(budget + 1e-5)
+        left, right = np.nonzero(near)
+        keep = right > left
+        left, right = left[keep], right[keep]
+        if not len(left):
+            continue
+        cos = None
+        if len(left) > 4 * (b - a):  # dense: all cosines at once, those at the limit again as below
+            cos = (unit[line[a:b]] @ unit[line[a:top]].T)[left, right]
+        i, j = line[a + left], line[a + right]
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        for s in range(0, len(i), 100_000):
+            p, q = i[s: s + 100_000], j[s: s + 100_000]
+            c = None if cos is None else cos[s: s + 100_000]
+            ok = (away[p] & away[q]) == 0
+            if split:
+                ok &= part[p] != part[q]
+            if c is not None:
+                ok &= c >= cosine - 1e-9
+            p, q, c = p[ok], q[ok], None if c is None else c[ok]
+            ok = share(p, q, block) <= budget
             for e in range(block):  # an earlier block has it
-                if not len(i):
-                    break
-                d = r[i, e * m] - r[j, e * m]
-                s = d * d
-                for k in range(1, m):
-                    d = r[i, e * m + k] - r[j, e * m + k]
-                    s = s + d * d
-                late = s > budget
-                i, j = i[late], j[late]
-            if not len(i):
+                ok[ok] = share(p[ok], q[ok], e) > budget
+            p, q, c = p[ok], q[ok], None if c is None else c[ok]
+            unsure = np.ones(len(p), bool) if c is None else c < cosine + 1e-9
+            u, v = p[unsure], q[unsure]
+            sure = ~unsure
+            sure[unsure] = _halves(x[u] * x[v]) / (norm[u] * norm[v]) >= cosine
+            p, q = p[sure], q[sure]
+            np.add.at(links, p, sizes[q])
+            np.add.at(links, q, sizes[p])
+            forest.join(p, q)
+    hit = np.flatnonzero(links)
+    return ids[hit], links[hit], ids[forest.root[hit]]
+
+
+def _joiner(dims: int, cosine: float):
+    """Over rows sorted by cell and pair of parts: (id, links, to) of each cell."""
+    names = ["id", "links", "to"]
+
+    def out(rows):
+        (label, dim, block, cell, first, second), (part, away, ids, sizes), v = rows
+        n = len(ids)
+        new = np.ones(n, bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in (label, dim, block, cell, first, second)])
+        starts = np.flatnonzero(new)
+        found = []
+        for s, e in zip(starts, np.r_[starts[1:], n]):
+            if e - s > 1:
+                d = int(dim[s])
+                found.append(_joined(d, int(block[s]), first[s] != second[s], part[s:e], away[s:e], ids[s:e], sizes[s:e], _decode(v[s:e], d), dims, cosine))
+        cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+
+    def run(batches):
+        held: list = []
+        for b in batches:
+            if not b.num_rows:
                 continue
-            for s in range(0, len(i), 100_000):
-                p, q = i[s: s + 100_000], j[s: s + 100_000]
-                ok = _halves(x[p] * x[q]) / (norm[p] * norm[q]) >= cosine
-                p, q = p[ok], q[ok]
-                np.add.at(links, p, sizes[q])
-                np.add.at(links, q, sizes[p])
-                for u, v in zip(p.tolist(), q.tolist()):
-                    u, v = find(u), find(v)
-                    if u != v:
-                        parent[max(u, v)] = min(u, v)
-        hit = np.flatnonzero(links)
-        return pa.table([pa.array(ids[hit]), pa.array(links[hit]), pa.array([int(ids[find(k)]) for k in hit], pa.int64())], schema=schema)
+            key = [b.column(0).to_numpy(zero_copy_only=False), *(b.column(k).to_numpy() for k in range(1, 6))]
+            now = [key, [b.column(k).to_numpy() for k in range(6, 10)], b.column(10).to_pylist()]
+            last = int(np.flatnonzero(~np.logical_and.reduce([k == k[-1] for k in key]))[-1]) + 1 if not all((k == k[-1]).all() for k in key) else 0
+            if held and any(h[-1] != k[0] for h, k in zip(held[-1][0], key)):
+                yield out(_merged(held))
+                held = []
+            if last:
+                yield out(_merged([*held, [[k[:last] for k in now[0]], [c[:last] for c in now[1]], now[2][:last]]]))
+                held = []
+            held.append([[k[last:] for k in now[0]], [c[last:] for c in now[1]], now[2][last:]])
+        if held:
+            yield out(_merged(held))
 
     return run
 
 
+def _merged(parts):
+    if len(parts) == 1:
+        return parts[0]
+    return [[np.concatenate(c) for c in zip(*(p[k] for p in parts))] for k in (0, 1)] + [[v for p in parts for v in p[2]]]
+
+
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
-                    cosine: float = COSINE, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+                    cosine: float = COSINE, dims: int = DIMS, chunk: int = CHUNK) -> DataFrame:
     """One row per vector: id, n_links (other vectors of equal label with cosine >= `cosine`), component_id (smallest
     id reachable by links) and kept (id = component_id).
 
-    Unit vectors of cosine c are 2-2c apart squared; cut into equal blocks, one block is within its share (pigeonhole).
-    A range join finds such pairs block by block: a grid on two axes of the block shares out the work, a sorted third
-    axis bounds each task's pairs, the whole block's budget is tested next, and the exact cosine decides. Equal
-    vectors are one class first, so copies cost nothing; tasks return counts and forests, never pairs. A cell of more
-    than `chunk` vectors is joined chunk by chunk, each pair of chunks in a task of its own.
+    Unit vectors of cosine c are 2-2c apart squared; cut into blocks of `dims` rotated components, one block is within its
+    share (pigeonhole). A range join finds such pairs block by block: a grid on as many axes of the block as the label's
+    vectors ask for (none for at most `chunk`, one more for each doubling) shares out the work, a sorted axis and one product
+    of matrices a strip find pairs within the whole block's share, and the exact cosine decides. Equal vectors are one class
+    first, so copies cost nothing; tasks return counts and forests, never pairs. A cell of more than `chunk` vectors is
+    joined part by part, each pair of parts in a group of its own. The grid and the parts decide where pairs meet, not
+    which.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label link with
-    nothing: each is its own component. Vectors of different lengths never link. Rows that repeat an id count as
-    separate vectors for n_links, and share a component. Extra columns are ignored; an empty table gives an empty result.
+    nothing: each is its own component. Very large and very small components are scaled first. Vectors of different lengths
+    never link. Rows that repeat an id count as separate vectors for n_links, and share a component. Extra columns are
+    ignored; an empty table gives an empty result. The id must be an integer or a string of one.
     """
+    bounded_batches(vectors.sparkSession)
     every = vectors.select(F.col(id_col), F.col(vec_col), F.col(label_col))
     classes = materialize(_usable(every, id_col, vec_col, label_col).groupBy("label", "v")
                           .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size")).where("id is not null"))
-    cells = classes.select("id", "label", "v", "size").mapInArrow(
-        _cells(blocks, cosine), "label string, dim int, block int, cell long, home boolean, id long, size long, v binary")
+    of_label = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    wide = lookup(classes, of_label, "label", "n", F.xxhash64("id"), check=True).select("id", "label", "v", "size", "n")
     key = ["label", "dim", "block", "cell"]
-    counts = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = counts.withColumn("parts", F.ceil(F.col("n") / chunk).cast("int")).drop("n")
-    rows = cells.join(parts, key).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    places = "label string, dim int, block int, cell long"
+    large = wide.mapInArrow(tidied(_cells(dims, cosine, chunk, False)), places).groupBy(F.xxhash64(*key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    large = materialize(large.where(F.col("n") > chunk).select("k", "n", F.ceil(F.col("n") / chunk).cast("int").alias("parts")))
+    cells = wide.mapInArrow(tidied(_cells(dims, cosine, chunk)), places + ", away int, id long, size long, v binary").withColumn("k", F.xxhash64(*key))
+    rows = lookup(cells, large, "k", "n", F.xxhash64("id"), check=True).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("a"), F.greatest(o, F.col("part")).alias("b")))
-    rows = rows.withColumn("pair", F.explode(pairs)).select(*key, "home", "id", "size", "v", "part", F.col("pair.a").alias("first"), F.col("pair.b").alias("second"))
-    found = materialize(rows.groupBy(*key, "first", "second").applyInArrow(_joiner(blocks, cosine), "id long, links long, to long"))
+    rows = rows.withColumn("pair", F.explode(pairs)).select(*key, F.col("pair.a").alias("first"), F.col("pair.b").alias("second"), "part", "away", "id", "size", "v")
+    group = [*key, "first", "second"]
+    found = materialize(rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(tidied(_joiner(dims, cosine)), "id long, links long, to long"))
     comps = connected_components(found.where("id <> to").select("id", "to")).withColumnRenamed("node", "id").withColumnRenamed("component", "root")
     per_class = found.groupBy("id").agg(F.sum("links").alias("links")).join(comps, "id", "left")
     table = (classes.select("label", "v", "id", "size").join(per_class, "id", "left")

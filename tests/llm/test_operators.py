@@ -154,7 +154,8 @@ def test_mixing(spark, corpus):
 
 
 # ---- 2
-def test_embedding_dedup(spark):
+@pytest.mark.parametrize("chunk", [5, 30, 8000])  # a grid of many axes and parts, of three axes, none
+def test_embedding_dedup(spark, chunk):
     rng = np.random.default_rng(5)
     rows, k = [], 0
     for label in (1, 2, None):
@@ -167,8 +168,14 @@ def test_embedding_dedup(spark):
         rows.append((k, rows[-1][1], label))
         k += 1
     rows += [(900, None, 1), (901, [0.0] * 24, 1), (902, [float("nan")] * 24, 1), (903, [float("inf")] + [1.0] * 23, 1), (904, [], 1), (905, [1.0, None], 1), (906, [1.0, 2.0], 1), (907, [2.0, 4.0], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("id", F.lit("clash"))
-    got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(df, chunk=30).collect()}
+    rows += [(910 + 2 * i + k, [x, x * (1 + 1e-4 * k)], 3 + i) for i, x in enumerate((1e200, 1e-200, 5e-324, 1.7e308)) for k in (0, 1)]  # two by two
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for c in ("id", "n", "k", "size", "root", "cell", "v"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(df, chunk=chunk).collect()}
+    for i in (910, 912, 914, 916):
+        assert [(got[i + k]["n_links"], got[i + k]["component_id"]) for k in (0, 1)] == [(1, i), (1, i)]
+    rows = [r for r in rows if r[0] < 910]
     ok = [(i, np.array(v, float), lab) for i, v, lab in rows if lab is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     links, parent = Counter(), {i: i for i, _, _ in rows}
 
@@ -191,6 +198,17 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_a_dense_group(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal(40)
+    rows = [(i, [float(x) for x in v + rng.standard_normal(40) * 0.145], 1) for i in range(400)]
+    x = np.array([r[1] for r in rows])
+    c = (x / np.linalg.norm(x, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T >= 0.98
+    assert 10_000 < c.sum() < 150_000
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), chunk=64).collect()}
+    assert got == {i: int(c[i].sum()) - 1 for i in range(400)}
+
+
 # ---- 3
 def test_toxicity(spark):
     rng = random.Random(9)
