@@ -48,6 +48,21 @@ def settled(spark: SparkSession, make) -> DataFrame:
     return out
 
 
+def unique_ids(rows: DataFrame, nulls_first: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """(rows, back): rows with a unique long `id`. They have columns id and text, and perhaps others.
+
+    Where no id is null or repeats, rows are returned as they are and back is None. Else every row is numbered in the order of
+    id, then text hash (equal rows in any order), and back is (id, own): the numbers and the ids that they stand for.
+    """
+    if not rows.groupBy("id").count().where("count > 1 or id is null").limit(1).count():
+        return rows, None
+    by_id = F.col("id").asc_nulls_first() if nulls_first else F.col("id").asc_nulls_last()
+    order = [by_id, F.xxhash64("text"), F.col("__m")]
+    out = running_sum(rows.withColumns({"__m": F.monotonically_increasing_id(), "__one": F.lit(1).cast("long")}), order, "__one", "__n").drop("__m", "__one")
+    out = materialize(out)
+    return out.withColumn("id", F.col("__n")).drop("__n"), out.select(F.col("__n").alias("id"), F.col("id").alias("own"))
+
+
 BATCH_ROWS = 4000
 
 

@@ -7,10 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataq.llm.common import bit_filter, bounded_batches, connected_components, load, lookup, materialize, tidied, with_membership
+from strataq.llm.common import bit_filter, bounded_batches, connected_components, load, lookup, materialize, tidied, unique_ids, with_membership
 
 SHINGLE = 5  # words
 SIMILARITY = (8, 10)  # Jaccard of shingle sets, as a fraction
@@ -21,6 +20,8 @@ SHORT = 64  # shingles of a set whose candidates are found by common shingles, n
 SHORT_DISTANCE = 96  # of CHECKED, for these: sets of 4 and 5 shingles differ in 48 on average, with a deviation of 6.2
 DISTANCE = 64  # of CHECKED: 4.5 standard deviations above the mean at the similarity
 BUCKET = 4096  # rows of a bucket, or of a part of it, that one task compares
+AGREEMENT, LOST = 0.848, 0.01  # of a coordinate, of pairs at the similarity; of such pairs, what additional bits may cost a table
+PIVOTS = 8  # texts of a component that each of its parts is compared with
 COMPONENT = 500  # texts of a candidate component that one task holds from either side
 _WORD = re.compile(r"\w+")
 _KEYS = np.random.default_rng(77).integers(1, 2**63, (SAMPLED + CHECKED) // 64, dtype=np.uint64)
@@ -78,7 +79,8 @@ def prefix(s: np.ndarray, similarity=SIMILARITY) -> np.ndarray:
     return s[: len(s) + 1 + -len(s) * similarity[0] // similarity[1]]
 
 
-def _fingerprints(similarity):
+def _fingerprints(similarity, names):
+    """(id, text, *carried) -> (id, *carried, sig, print, first)."""
     def run(batches):
         for b in batches:
             sigs, prints, firsts = [], [], []
@@ -87,7 +89,8 @@ def _fingerprints(similarity):
                 sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
                 prints.append(fingerprint(s).tobytes() if len(s) else None)
                 firsts.append(prefix(s, similarity).view(np.int64) if 0 < len(s) <= SHORT else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.string()), pa.array(prints, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["id", "sig", "print", "first"])
+            made = [pa.array(sigs, pa.string()), pa.array(prints, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(k) for k in range(2, b.num_columns)), *made], ["id", *names, "sig", "print", "first"])
 
     return run
 
@@ -123,6 +126,46 @@ def _tables(tables: int, bits: int):
     return run
 
 
+def _windows(table: int, bits: int, extra: int, samples: np.ndarray) -> np.ndarray:
+    """The additional coordinates by repetition: of those that the table itself does not sample, `extra` at a time, none twice
+    before all have had a turn. As many repetitions as it takes for a pair that agrees on a coordinate with a probability
+    of AGREEMENT to agree on all of one repetition's but for one in LOST."""
+    rng = np.random.default_rng([80, table])
+    others = np.setdiff1d(np.arange(SAMPLED), samples[table])
+    repeats = 1 if extra == 0 else int(np.ceil(np.log(1 / LOST) / -np.log1p(-(AGREEMENT ** extra))))
+    each = max(1, len(others) // max(extra, 1))
+    out: list = []
+    while len(out) < repeats:
+        out += list(rng.permutation(others)[: each * extra].reshape(each, extra)) if extra <= len(others) else [rng.permutation(others)]
+    return np.array(out[:repeats], np.int64).reshape(repeats, -1)
+
+
+def _more_bits(tables: int, bits: int):
+    """(bucket, id, extra, print) -> a row for every repetition, in a bucket told by the additional coordinates too."""
+    samples = _samples(tables, bits)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bucket, extra = b.column(0).to_numpy(), b.column(2).to_numpy()
+            raw, words = _words(b.column(3))
+            bit = np.unpackbits(raw, axis=1)
+            kind = np.stack([bucket >> 48, extra])
+            for t, e in np.unique(kind, axis=1).T.tolist():
+                at = np.flatnonzero((kind[0] == t) & (kind[1] == e))
+                ids = b.column(1).take(pa.array(at))
+                rest = [pa.array(words[at, k]) for k in range(CHECKED // 64)]
+                for r, window in enumerate(_windows(t, bits, e, samples)):
+                    key = _mix(bucket[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r))
+                    for w in range(0, len(window), 48):
+                        part = window[w: w + 48]
+                        key = _mix(key ^ (bit[at][:, part].astype(np.uint64) @ (np.uint64(1) << np.arange(len(part), dtype=np.uint64))))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids, *rest], ["bucket", "id", "f0", "f1", "f2", "f3"])
+
+    return run
+
+
 def _short(batches):
     """A row for every hash of the prefixes."""
     for b in batches:
@@ -191,14 +234,38 @@ def _near(distance: int):
     return run
 
 
-def _compared(rows: DataFrame, sample: DataFrame, each: int, bucket: int, distance: int) -> DataFrame:
-    """(u, v): forests of the pairs of a bucket within the distance; a bucket over `bucket` rows part by part, each pair of parts in a group of its own.
+_ROW = "bucket long, id long, f0 long, f1 long, f2 long, f3 long"
 
-    sample: the buckets of one row in `each`. At most one bucket in `bucket` rows is large, so their table is broadcast. It decides how many parts there are, not which pairs are compared.
-    """
-    large = sample.groupBy("bucket").agg((F.count(F.lit(1)) * each).alias("n")).where(F.col("n") > bucket)
-    parts = large.select("bucket", F.ceil(F.col("n") / bucket).cast("int").alias("parts"))
-    rows = rows.join(F.broadcast(parts), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+def _sampled(df: DataFrame, each: int) -> DataFrame:
+    return df.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(each)) == 0)
+
+
+def _large(sample: DataFrame, each: int, bucket: int) -> DataFrame:
+    """(bucket, n) of the buckets that seem to hold more than `bucket` rows, told from the ids of one class in `each`."""
+    return materialize(sample.groupBy("bucket").agg((F.count(F.lit(1)) * each).alias("n")).where(F.col("n") > bucket))
+
+
+def _split(rows: DataFrame, sample: DataFrame, prints: DataFrame, each: int, bucket: int, tables: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """rows and sample, with oversized buckets divided by additional coordinates, several times each (see _windows)."""
+    large = _large(sample, each, bucket)
+    if not large.limit(1).count():
+        return rows, sample
+
+    def divided(df: DataFrame) -> DataFrame:
+        found = lookup(df, large, "bucket", "n", F.xxhash64("id"), check=True)
+        extra = F.ceil(F.log2(F.col("n") / bucket)).cast("int").alias("extra")
+        wide = found.where("n is not null").select("bucket", "id", extra).join(prints, "id").select("bucket", "id", "extra", "print")
+        return found.where("n is null").drop("n").union(wide.mapInArrow(tidied(_more_bits(tables, bits)), _ROW))
+
+    return divided(rows), divided(sample)
+
+
+def _compared(rows: DataFrame, sample: DataFrame, each: int, bucket: int, distance: int) -> DataFrame:
+    """(u, v): forests of the pairs of a bucket within the distance. A bucket of more than `bucket` rows is compared part by
+    part, each pair of parts in a group of its own: the parts decide where pairs are compared, not which."""
+    parts = _large(sample, each, bucket).select("bucket", "n", F.ceil(F.col("n") / bucket).cast("int").alias("parts"))
+    rows = lookup(rows, parts, "bucket", "n", F.xxhash64("id"), check=True).withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("long"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("a"), F.greatest(o, F.col("part")).alias("b")))
     rows = rows.withColumn("pair", F.explode(pairs)).select("bucket", F.col("pair.a").alias("first"), F.col("pair.b").alias("second"), "id", "f0", "f1", "f2", "f3")
@@ -208,22 +275,24 @@ def _compared(rows: DataFrame, sample: DataFrame, each: int, bucket: int, distan
 def candidate_edges(classes: DataFrame, tables: int = TABLES, bits: int = BITS, bucket: int = BUCKET, distance: int = DISTANCE) -> DataFrame:
     """(u, v): within every bucket, a forest of the pairs whose checked coordinates differ in at most `distance`.
 
-    classes: (id, print, first). Sets of at most SHORT shingles are in the buckets of the hashes of their prefix too: a pair of
-    them that is similar enough always shares a bucket, and is checked at a distance it keeps but for one in 10^11. A bucket
-    of more than `bucket` rows is compared part by part, so no pair of it is left out.
+    classes: a table (id, print, first). Buckets of more than `bucket` rows get additional coordinates, one for each
+    doubling, in as many repetitions as keep all but one in a hundred of the pairs at the similarity; so comparisons stay in
+    proportion to rows. What is still oversized then (rows that agree on nearly all coordinates) is compared part by part.
+    Sets of at most SHORT shingles are in the buckets of the hashes of their prefix too: a pair of them that is similar enough
+    always shares one, and is checked at a distance it keeps but for one in 10^11; these buckets are only ever compared
+    part by part, so no pair is left out.
     """
-    schema = "bucket long, id long, f0 long, f1 long, f2 long, f3 long"
     each = max(1, bucket // 256)
-    some = classes.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(each)) == 0)
 
     def rows(df):
-        return df.select("id", "print").mapInArrow(tidied(_tables(tables, bits)), schema)
+        return df.select("id", "print").mapInArrow(tidied(_tables(tables, bits)), _ROW)
 
     def short(df):
-        return df.where("first is not null").select("id", "print", "first").mapInArrow(tidied(_short), schema)
+        return df.where("first is not null").select("id", "print", "first").mapInArrow(tidied(_short), _ROW)
 
-    return (_compared(rows(classes), rows(some), each, bucket, distance)
-            .union(_compared(short(classes), short(some), each, bucket, max(distance, SHORT_DISTANCE))))
+    some = _sampled(classes, each)
+    long_rows = _split(rows(classes), rows(some), classes.select("id", "print"), each, bucket, tables, bits)
+    return _compared(*long_rows, each, bucket, distance).union(_compared(short(classes), short(some), each, bucket, max(distance, SHORT_DISTANCE)))
 
 
 def linked(sets: list[np.ndarray], similarity=SIMILARITY) -> np.ndarray:
@@ -266,69 +335,100 @@ def spanning(ids: np.ndarray, link: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _verify(similarity):
+    """Groups of (id, text, side) -> forest of the pairs that are similar enough and of which one has side 1."""
     def run(t: pa.Table) -> pa.Table:
-        ids = t["id"].to_numpy()
-        sets = [shingles(x.as_py()) for x in t["text"]]
-        link = linked(sets, similarity)
-        if t["first"][0].as_py() != t["second"][0].as_py():
-            part = t["part"].to_numpy()
-            link &= part[:, None] != part[None, :]
+        t = t.sort_by([("id", "ascending"), ("side", "descending")])
+        ids, side = t["id"].to_numpy(), t["side"].to_numpy()
+        one = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        ids, side = ids[one], side[one] == 1
+        link = linked([shingles(t["text"][int(k)].as_py()) for k in one], similarity)
+        if not side.all():
+            link &= side[:, None] | side[None, :]
         out = spanning(ids, link)
         return pa.table([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
 
     return run
 
 
-def verified_edges(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, similarity=SIMILARITY, component: int = COMPONENT) -> DataFrame:
+def verified_edges(rows: DataFrame, members: DataFrame, similarity=SIMILARITY, component: int = COMPONENT) -> DataFrame:
     """(u, v): forests of the pairs of a candidate component whose shingle sets are similar enough.
 
-    members: (node, component). Only the members' texts are moved. Within a task all pairs are counted by one matrix
-    product, and a forest comes out; a component of more than `component` texts is compared part by part, each pair
-    of parts in a group of its own, so no similar pair is left out and no task holds it all.
+    rows: (id, text); members: a table (node, component). Only the members' texts are moved. A component is dealt to parts of
+    about `component` texts; a part's pairs are counted by one matrix product, together with PIVOTS texts that all parts of
+    the component get. Texts that are linked by then need no comparison with each other. So of a component of several
+    parts only those outside its largest class are compared with all others, part by part: nothing is left out, a group
+    of very many near copies costs in proportion to its texts, and no task holds it all.
     """
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    bits = bit_filter(members, F.col("node"))
-    text = with_membership(text, bits, F.col("id"), "maybe").where("maybe").drop("maybe")
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / component).cast("int").alias("parts"))
-    rows = text.join(members.join(sizes, "component").withColumnRenamed("node", "id"), "id")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("a"), F.greatest(o, F.col("part")).alias("b")))
-    rows = rows.withColumn("pair", F.explode(pairs)).select("component", "id", "text", "part", F.col("pair.a").alias("first"), F.col("pair.b").alias("second"))
-    return rows.groupBy("component", "first", "second").applyInArrow(_verify(similarity), "u long, v long")
+    n = F.count(F.lit(1))
+    text = with_membership(rows, bit_filter(members, F.col("node"), members.count()), F.col("id"), "maybe").where("maybe").drop("maybe")
+    sizes = materialize(members.groupBy("component").agg(n.alias("n")).where(F.col("n") > component).withColumn("parts", F.ceil(F.col("n") / component).cast("int")))
+    at = lookup(members.withColumnRenamed("node", "id"), sizes, "component", "n", F.xxhash64("id"), check=True).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    at = at.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    held = text.join(at, "id")
+    pivot = F.pmod(F.xxhash64("id", F.lit(9)), F.col("n")) < PIVOTS
+    everywhere = held.where(F.col("n").isNotNull() & pivot).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = ["component", "part", "id", "text", F.lit(1).alias("side")]
+    found = held.select(*own).union(everywhere.select(*own)).groupBy("component", "part").applyInArrow(_verify(similarity), "u long, v long")
+    if not sizes.limit(1).count():
+        return found
+    found = materialize(found)
+    big = at.where("n is not null")
+    roots = connected_components(found).withColumnRenamed("component", "root")
+    big = materialize(big.join(roots, big["id"] == roots["node"], "left").select("id", "component", "parts", "part", F.coalesce("root", "id").alias("class")))
+    largest = big.groupBy("component", "class").agg(n.alias("n")).groupBy("component").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.sum("n").alias("n"))
+    rest = lookup(big, largest, "component", "n", F.xxhash64("id"), check=True).drop("n").where("class <> largest")
+    shares = rest.groupBy("component").agg(F.ceil(n / component).cast("int").alias("shares"), n.alias("n"))
+    shares = materialize(shares)
+    rest = lookup(rest, shares, "component", "n", F.xxhash64("id"), check=True).withColumn("share", F.pmod(F.xxhash64("id", F.lit(8)), F.col("shares")).cast("int"))
+    every = lookup(big, shares, "component", "n", F.xxhash64("id"), check=True).where("shares is not null")
+    one = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("id", "component", "share", "part", F.lit(1).alias("side"))
+    other = every.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("id", "component", "share", "part", F.lit(0).alias("side"))
+    return found.union(text.join(one.union(other), "id").groupBy("component", "share", "part").applyInArrow(_verify(similarity), "u long, v long"))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity=SIMILARITY, tables: int = TABLES, bits: int = BITS,
-                  bucket: int = BUCKET, distance: int = DISTANCE, component: int = COMPONENT) -> DataFrame:
-    """One row per document: id, class_id (the smallest id of its class), class_size and kept (id = class_id).
+                  bucket: int = BUCKET, distance: int = DISTANCE, component: int = COMPONENT, carry: dict | None = None) -> DataFrame:
+    """One row per document: id, class_id (the smallest id of its class), class_size, kept (of a class, exactly one row) and the
+    columns of `carry` (expressions over the input row).
 
     Classes are the components of links: Jaccard of five-word shingle sets at least 0.8. Documents of equal shingle sets
-    are one class at once. The others' fingerprints (928 coordinates) go to 48 tables keyed by 14 coordinates of their own;
-    pairs in a bucket are checked on 256 other coordinates; the texts of candidate components are compared exactly. Sets of at
-    most 64 shingles also meet by common shingles (prefix filter), so that pairs of them are missed with a probability below 10^-11. Of longer
-    ones a link of similarity exactly 0.8 is a candidate with a probability of about 0.994, of 0.85 of about 0.999; everything
-    after is exact, and nothing is capped.
+    are one class at once. The others' fingerprints (928 coordinates) go to 48 tables keyed by 14 coordinates of their own,
+    oversized buckets get additional ones; pairs in a bucket are checked on 256 other coordinates; the texts of candidate
+    components are compared exactly. Sets of at most 64 shingles also meet by common shingles (prefix filter), so that pairs
+    of them are missed with a probability below 10^-11. Of longer ones a link of similarity exactly 0.8 is a candidate with a
+    probability of about 0.994, of 0.85 of about 0.999; everything after is exact, and nothing is capped.
 
     Words are lower-cased runs of \\w; a text of fewer than five words is one shingle; a text without words (null and empty
-    ones too) is a class of its own. Rows that repeat an id share that id's class; a null id is null's own class unless
-    its text equals another's. Extra columns are ignored; an empty table gives an empty result.
+    ones too) is a class of its own. Very long texts are read whole. Rows that repeat an id, or have none, are documents of
+    their own; the one that is kept is the first by id (null last), then text hash. A class whose ids are all null has a null
+    class_id. Extra columns are ignored; an empty table gives an empty result. The id must be an integer or a string of one.
     """
     bounded_batches(docs.sparkSession)
-    prints = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-                         .mapInArrow(tidied(_fingerprints(similarity), forget), "id long, sig string, print binary, first array<long>"))
-    classes = materialize(prints.where("sig is not null and id is not null").groupBy("sig")
+    names = list(carry or {})
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[e.alias(f"__c_{k}") for k, e in (carry or {}).items()])
+    base, back = unique_ids(base, nulls_first=False)
+    extra = [f"__c_{k}" for k in names]
+    kinds = {f.name: f.dataType.simpleString() for f in base.schema}
+    schema = ", ".join(["id long", *(f"`{c}` {kinds[c]}" for c in extra), "sig string, print binary, first array<long>"])
+    prints = materialize(base.select("id", "text", *extra).mapInArrow(tidied(_fingerprints(similarity, extra), forget), schema))
+    classes = materialize(prints.where("sig is not null").groupBy("sig")
                           .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("print").alias("print"), F.min("first").alias("first")))
     edges = candidate_edges(classes.select("id", "print", "first"), tables, bits, bucket, distance)
-    members = connected_components(edges)
-    kept = verified_edges(docs.where(F.col(id_col).isNotNull()), members, id_col, text_col, similarity, component)
+    members = materialize(connected_components(edges))
+    kept = verified_edges(base.select("id", "text"), members, similarity, component)
     roots = connected_components(kept)
     table = (classes.select("sig", "id", "copies").join(roots.withColumnRenamed("node", "id").withColumnRenamed("component", "root"), "id", "left")
              .select("sig", "copies", F.coalesce("root", "id").alias("root")))
     sized = table.groupBy("root").agg(F.sum("copies").alias("class_size"))
     table = table.join(sized, "root").select("sig", "root", "copies", "class_size")
-    out = lookup(prints.select("id", "sig"), table, "sig", "copies", F.xxhash64("id"))
-    root = F.coalesce("root", "id")
-    return out.select(F.col("id").alias(id_col), root.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-                      F.col("id").eqNullSafe(root).alias("kept"))
+    out = lookup(prints.select("id", *extra, "sig"), table, "sig", "copies", F.xxhash64("id"))
+    out = out.select("id", F.coalesce("root", "id").alias("root"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), *extra)
+    out = out.withColumn("kept", F.col("id") == F.col("root")).withColumn("own", F.col("id"))
+    if back is not None:  # numbers stand for rows
+        own = back.select("id", F.col("own").alias("__own"))
+        roots_of = back.select(F.col("id").alias("root"), F.col("own").alias("__root"))
+        out = out.join(own, "id").join(roots_of, "root").withColumn("own", F.col("__own")).withColumn("root", F.col("__root"))
+    return out.select(F.col("own").alias(id_col), F.col("root").alias("class_id"), "class_size", "kept", *[F.col(f"__c_{k}").alias(k) for k in names])
 
 
 def op7_simhash(spark, sf_dir):

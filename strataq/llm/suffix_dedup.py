@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import bit_filter, bounded_batches, load, materialize, running_sum, tidied, with_membership
+from strataq.llm.common import bit_filter, bounded_batches, load, materialize, tidied, unique_ids, with_membership
 
 LENGTH = 100  # bytes of a passage
 GRAM = 32  # bytes of an anchor
@@ -517,12 +517,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(8, -(-total // bucket_bytes))
-    odd = base.groupBy("id").count().where("count > 1 or id is null").limit(1).count()
-    back = None
-    if odd:  # give every row a number in the order wanted
-        numbered = running_sum(base.withColumn("one", F.lit(1)), [F.col("id").asc_nulls_first(), F.xxhash64("text")], "one", "n")
-        numbered = materialize(numbered.select(F.col("n").cast("long").alias("n"), "id", "text"))
-        base, back = numbered.select(F.col("n").alias("id"), "text"), numbered.select(F.col("n").alias("__n"), F.col("id").alias("__id"))
+    base, back = unique_ids(base)
     base = base.select(F.col("id").cast("long").alias("id"), "text")
     grouped = (base.mapInArrow(tidied(_anchors(buckets)), "bucket int, blob binary").groupBy("bucket").applyInArrow(lambda t: _group(t, hot), _OUT))
     grouped = materialize(grouped)
@@ -540,7 +535,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                               F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), *([F.col("text").cast("binary").alias("kept_bytes")] * with_text))
     out = cut.unionByName(whole)
     if back is not None:
-        out = out.join(back, out["id"] == back["__n"]).drop("id", "__n").withColumnRenamed("__id", "id")
+        out = out.join(back, "id").drop("id").withColumnRenamed("own", "id")
     return out.select(F.col("id").alias(id_col), *[c for c in out.columns if c != "id"])
 
 

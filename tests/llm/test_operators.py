@@ -407,6 +407,54 @@ def test_simhash_buckets_split_by_more_bits(spark):
     assert sum(got[1000 + i] == i for i in range(50)) >= 49
 
 
+def test_simhash_windows():
+    samples = simhash._samples(simhash.TABLES, simhash.BITS)
+    for extra in (1, 4, 12, 30):
+        w = simhash._windows(5, simhash.BITS, extra, samples)
+        assert w.shape[1] == extra and not np.isin(w, samples[5]).any()
+        assert (1 - simhash.AGREEMENT ** extra) ** len(w) <= simhash.LOST * 1.0001
+        head = w[: (simhash.SAMPLED - simhash.BITS) // extra].ravel()
+        assert len(np.unique(head)) == len(head)  # independent: no coordinate twice
+    rng = np.random.default_rng(3)  # as stated, of pairs that agree with that probability one in a hundred is lost
+    w = simhash._windows(0, simhash.BITS, 8, samples)
+    differ = rng.random((20_000, simhash.SAMPLED)) >= simhash.AGREEMENT
+    assert (~differ[:, w].any(2)).any(1).mean() > 0.985
+
+
+@pytest.mark.parametrize("shape", ["star", "chain"])
+def test_simhash_large_components(spark, shape):
+    """A hot group of near copies, and a chain, whose parts must all be compared."""
+    rng = random.Random(5)
+    words = [f"t{k}" for k in range(120)]
+    rows = []
+    for i in range(150):
+        if shape == "chain":
+            words = [*words]
+            words[(3 * i) % 120] = f"c{i}"
+            rows.append((i, " ".join(words)))
+        else:
+            w = [*words]
+            w[rng.randrange(120)] = f"e{i}"
+            rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "id long, text string")
+    members = spark.createDataFrame([(i, 0) for i, _ in rows], "node long, component long")
+    found = connected_components(simhash.verified_edges(docs, members, component=10)).collect()
+    assert {r["node"]: r["component"] for r in found} == {i: 0 for i, _ in rows}
+    sets = [simhash.shingles(t) for _, t in rows]
+    link = simhash.linked(sets)
+    for r in simhash.verified_edges(docs, members, component=10).collect():
+        assert r["u"] != r["v"]
+    assert link.sum() > 150
+
+
+def test_simhash_of_repeated_and_null_ids(spark):
+    t = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, t), (1, t + " end"), (1, "other words that are no copy at all"), (2, t), (None, t), (None, "x"), (None, "x"), (3, None), (None, "")]
+    got = simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), carry={"t": F.col("text")}).collect()
+    assert len(got) == len(rows) and sum(r["kept"] for r in got) == 5
+    assert sorted((r["doc_id"] or 0, r["class_id"] or 0, r["class_size"]) for r in got) == sorted([(1, 1, 4), (1, 1, 4), (1, 1, 1), (2, 1, 4), (0, 1, 4), (0, 0, 2), (0, 0, 2), (3, 3, 1), (0, 0, 1)])
+
+
 def test_simhash_tables_share_no_coordinate():
     samples = simhash._samples(simhash.TABLES, simhash.BITS)
     assert samples.shape == (simhash.TABLES, simhash.BITS) and len(np.unique(samples)) == samples.size and samples.max() < simhash.SAMPLED

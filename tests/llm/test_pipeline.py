@@ -58,3 +58,9 @@ def test_run_leaves_only_what_its_result_reads(spark, sf):
     before = set(os.listdir(folder))
     P.run(spark, sf).count()
     assert len(set(os.listdir(folder)) - before) <= 2
+
+
+def test_near_copies_under_one_id_do_not_stay(spark, sf):
+    t = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, t, "en", "s", 3), (1, t + " end", "en", "s", 2), (3, "x " + t, "en", "s", 2), (4, "c", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in P.drop_near_copies(spark, docs, sf).collect()) == [1, 4]
