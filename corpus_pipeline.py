@@ -39,10 +39,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class. Rows of different texts that share an id are decided on together."""
-    found = materialize(_simhash.simhash_dedup(docs).where("class_size > 1 and doc_id is not null"))
-    decided = found.select(_id(F.col("doc_id")).alias("i"), "kept").groupBy("i").agg(F.max("kept").alias("kept")).where("not kept")
-    return keep_decided(docs, decided, {"i": _id(F.col("doc_id"))})
+    """One document of each near-duplicate class, whatever their ids: the first by id (null last). Texts without words are not
+    each other's copies. Rows equal in id and text stay once. An empty table stays empty."""
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = _simhash.simhash_dedup(docs, carry={"__h": h}).where("class_size > 1")
+    decided = materialize(found.select(_id(F.col("doc_id")).alias("i"), F.col("__h").alias("h"), "kept").groupBy("i", "h").agg(F.max("kept").alias("kept")))
+    return keep_decided(docs, decided, {"i": _id(F.col("doc_id")), "h": h})
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
