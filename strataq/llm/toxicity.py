@@ -1,29 +1,33 @@
 """Operator 3: toxicity by classifier chains with out-of-fold links."""
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.llm.common import bounded_batches, load, materialize, tidied
 
 MAX_ROWS = 12_000  # labelled rows that the chain is fitted on
-FEATURES = 600  # kept for each category
+FEATURES = 800  # kept for each category, see choose_features
+MIN_DOCS = 4  # labelled documents that a feature must occur in
+MOST = 0.05  # rate of a feature in a document beyond which it counts no more in choosing features
 FOLDS = 4
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]{2,}")
 
 
-def features_of(token: str) -> list[str]:
-    """The 5-grams of a token within marks of its start and end; of a shorter one, all of it."""
+def features_of(token: str) -> set[str]:
+    """A token within marks of its start and end, its beginnings of 3 to 7 characters, and its 5-grams."""
     t = f"^{token}$"
-    return [t[i: i + 5] for i in range(len(t) - 4)] if len(t) > 5 else [t]
+    return {t, *(t[:n] for n in range(3, 8)), *(t[i: i + 5] for i in range(len(t) - 4))}
 
 
-def tokens(text: str | None) -> set[str]:
-    return set(_TOKEN.findall((text or "").lower()))
+def tokens(text: str | None) -> dict[str, int]:
+    """How often each token occurs: runs of letters and digits, and runs of two or more other marks."""
+    return Counter(_TOKEN.findall((text or "").lower()))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str, text_col: str, max_rows: int) -> DataFrame:
@@ -41,26 +45,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, st
                        .groupBy("id", *[f"y_{c}" for c in categories]).agg(F.min("text").alias("text")))
 
 
-def choose_features(sample: DataFrame, categories: list[str], k: int, min_docs: int = 4) -> list[str]:
-    """The k features of largest chi-square with each category, over documents that have them."""
+def choose_features(sample: DataFrame, categories: list[str], k: int, min_docs: int = MIN_DOCS) -> list[str]:
+    """For each category the k features whose mean rate differs most between documents with it and without.
+
+    A feature's rate in a document is its occurrences over the document's tokens, at most MOST. The difference of the mean rates is
+    divided by the root of the rate over all documents; ties go by name. Features of fewer than min_docs documents are left out.
+    """
     cats = len(categories)
 
     def run(batches):
-        seen: dict[str, list[int]] = defaultdict(lambda: [0] * (cats + 1))
+        seen: dict[str, list[float]] = defaultdict(lambda: [0.0] * (cats + 2))
         for b in batches:
             ys = list(zip(*[b.column(i + 1).to_pylist() for i in range(cats)]))
             for text, y in zip(b.column(0), ys):
-                got = {f for t in tokens(text.as_py()) for f in features_of(t)}
-                for f in got:
+                for f, rate in rates(text.as_py(), features_of).items():
+                    rate = min(rate, MOST)
                     c = seen[f]
                     c[0] += 1
+                    c[1] += rate
                     for i, v in enumerate(y):
-                        c[i + 1] += v
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *[pa.array([c[i] for c in seen.values()], pa.int64()) for i in range(cats + 1)]],
-                                         ["f", "n", *[f"n_{c}" for c in categories]])
-
-    counts = (sample.select("text", *[f"y_{c}" for c in categories]).mapInArrow(tidied(run), "f string, n long, " + ", ".join(f"n_{c} long" for c in categories))
-              .groupBy("f").agg(F.sum("n").alias("n"), *[F.sum(f"n_{c}").alias(f"n_{c}") for c in categories]).where(F.col("n") >= min_docs))
+                        if v:
+                            c[i + 2] += rate
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *[pa.array([c[i] for c in seen.values()], pa.float64()) for i in range(cats + 2)]],
+                                         ["f", "n", "r", *[f"r_{c}" for c in categories]])
+
+    sums = ["n", "r", *[f"r_{c}" for c in categories]]
+    counts = (sample.select("text", *[f"y_{c}" for c in categories]).mapInArrow(tidied(run), "f string, " + ", ".join(f"{c} double" for c in sums))
+              .groupBy("f").agg(F.sum("n").alias("n"), *[F.round(F.sum(c), 9).alias(c) for c in sums[1:]]).where(F.col("n") >= min_docs))
     counts = materialize(counts)
     total = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"y_{c}").alias(c) for c in categories]).first()
     out: set[str] = set()
@@ -68,12 +79,22 @@ def choose_features(sample: DataFrame, categories: list[str], k: int, min_docs:
         n, pos = total["n"], total[c] or 0
         if not n or pos in (0, n):
             continue
-        p = pos / n
-        chi = (F.col(f"n_{c}") - F.col("n") * p) ** 2 / (F.col("n") * (p * (1 - p)))
-        out |= {r[0] for r in counts.orderBy(F.desc(chi), "f").limit(k).select("f").collect()}  # k rows
+        apart = F.abs(F.col(f"r_{c}") / pos - (F.col("r") - F.col(f"r_{c}")) / (n - pos)) / F.sqrt(F.col("r") / n + 1e-6)
+        out |= {r[0] for r in counts.orderBy(F.desc(F.round(apart, 9)), "f").limit(k).select("f").collect()}  # k rows
     return sorted(out)
 
 
+def rates(text, of) -> dict:
+    """Occurrences, over the text's tokens, of what `of` names for each token."""
+    count = tokens(text)
+    got: dict = defaultdict(int)
+    for t, n in count.items():
+        for f in of(t):
+            got[f] += n
+    every = sum(count.values())
+    return {f: n / every for f, n in got.items()}
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, use: np.ndarray | None = None, l2: float = 2e-5, rounds: int = 400) -> np.ndarray:
     """Weights (bias last) of a linear model with logistic loss over the rows in `use` (0/1); accelerated gradient descent, deterministic.
 
@@ -114,11 +135,14 @@ def _p(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def fit_chain(x: np.ndarray, ys: list[np.ndarray], folds: int = FOLDS) -> list[np.ndarray]:
     """One weight vector a category. Model i sees x and the probabilities of categories before it; in fitting these
-    come from models of the other folds, so that a later model doesn't trust what was learned by heart."""
+    come from models of the other folds, so that a later model doesn't trust what was learned by heart.
+
+    x: the features, and behind them a column for every category but the last, which is filled here.
+    """
     fold = np.arange(len(x)) % folds
-    out, links = [], np.zeros((len(x), 0), np.float32)
+    d, out = x.shape[1] - len(ys) + 1, []
     for i, y in enumerate(ys):
-        xi = np.hstack([x, links]) if links.shape[1] else x
+        xi = x[:, : d + i]
         out.append(fit_logistic(xi, y))
         if i + 1 < len(ys):
             p = np.zeros(len(x), np.float32)
@@ -126,7 +150,7 @@ def fit_chain(x: np.ndarray, ys: list[np.ndarray], folds: int = FOLDS) -> list[n
                 a, b = fold != f, fold == f
                 if b.any():
                     p[b] = _p(xi[b], fit_logistic(xi, y, a)) if a.any() else 0.5
-            links = np.hstack([links, p[:, None]])
+            x[:, d + i] = p
     return out
 
 
@@ -148,13 +172,16 @@ class Chain:
                 self.cache[token] = got
         return got
 
-    def row(self, text) -> list[int]:
-        return sorted({i for t in tokens(text) for i in self.places(t)})
+    def row(self, text) -> tuple[list[int], list[float]]:
+        """(places, values) of a text's features: five times the root of their rates."""
+        got = sorted(rates(text, self.places).items())
+        return [i for i, _ in got], [5 * r ** 0.5 for _, r in got]
 
     def predict(self, text) -> list[float]:
-        at, d, p = self.row(text), len(self.index), []
+        at, value = self.row(text)
+        d, p, value = len(self.index), [], np.array(value)
         for w in self.weights:
-            z = float(w[at].sum()) + float(w[-1]) + sum(float(w[d + j]) * v for j, v in enumerate(p))
+            z = float((w[at] * value).sum()) + float(w[-1]) + sum(float(w[d + j]) * v for j, v in enumerate(p))
             p.append(1.0 / (1.0 + float(np.exp(-max(-60.0, min(60.0, z))))))
         return p
 
@@ -174,14 +201,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
     def run(batches):
         for b in batches:
             rows = [chain.row(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32())), *[b.column(i) for i in range(2, b.num_columns)]],
-                                             ["id", "at", *[f"y_{c}" for c in names]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32())), *[b.column(i) for i in range(2, b.num_columns)]],
+                                             ["id", "at", "value", *[f"y_{c}" for c in names]])
 
     got = (sample.select(F.col("id").cast("long").alias("id"), "text", *[f"y_{c}" for c in names])
-           .mapInArrow(tidied(run), "id long, at array<int>, " + ", ".join(f"y_{c} int" for c in names)).orderBy("id").toArrow())  # max_rows rows
-    x = np.zeros((got.num_rows, len(feats)), np.float32)
-    for i, at in enumerate(got["at"].to_pylist()):
-        x[i, at] = 1
+           .mapInArrow(tidied(run), "id long, at array<int>, value array<float>, " + ", ".join(f"y_{c} int" for c in names)).orderBy("id").toArrow())  # max_rows rows
+    x = np.zeros((got.num_rows, len(feats) + len(names) - 1), np.float32)
+    at, value = got["at"].combine_chunks(), got["value"].combine_chunks()
+    x[pc.list_parent_indices(at).to_numpy(), pc.list_flatten(at).to_numpy()] = pc.list_flatten(value).to_numpy()
     ys = [got[f"y_{c}"].to_numpy().astype(np.float32) for c in names]
     weights = fit_chain(x, ys) if got.num_rows else [np.zeros(len(feats) + i + 1, np.float32) for i in range(len(names))]
     if not got.num_rows:
@@ -215,7 +242,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     A null or empty text gets the probabilities of no feature at all. Repeated rows are scored each; extra columns are
     ignored unless kept; an empty table gives an empty result, and without usable labels nothing is toxic. Very long
-    texts are read whole: a feature counts once however often it occurs. No shuffle of the documents.
+    texts are read whole: a feature counts by its rate among the text's tokens. No shuffle of the documents. The chain is
+    fitted on at most max_rows labelled documents and on `features` features a category that at least MIN_DOCS of these
+    have; everything else is not a feature of it.
     """
     chain = train(docs, labels, id_col=id_col, text_col=text_col, **kw)
     out = score(docs, chain, text_col, keep or [id_col])

@@ -236,12 +236,89 @@ def test_toxicity(spark):
     assert toxicity.toxicity(table(spark, rows).limit(0), lab).count() == 0
 
 
-def test_chain_uses_earlier_categories_out_of_fold():
+def test_chain_uses_earlier_categories_out_of_fold(monkeypatch):
     rng = np.random.default_rng(2)
-    x = (rng.random((400, 6)) < 0.3).astype(np.float32)
-    a = x[:, 0]
+    x = np.zeros((400, 7), np.float32)
+    x[:, :6] = rng.random((400, 6)) < 0.3
+    a = x[:, 0].copy()
+    fits = []
+    fit = toxicity.fit_logistic
+
+    def seen(x, y, use=None, **kw):
+        w = fit(x, y, use, **kw)
+        fits.append((x.shape[1], None if use is None else use.copy(), w))
+        return w
+
+    monkeypatch.setattr(toxicity, "fit_logistic", seen)
     chain = toxicity.fit_chain(x, [a, a])
     assert [len(w) for w in chain] == [7, 8] and chain[1][6] > 0.5  # the link carries weight
+    assert [(d, use is None) for d, use, _ in fits] == [(6, True)] + [(6, False)] * 4 + [(7, True)]
+    covered = np.zeros(400, int)
+    for _, use, w in fits[1:5]:  # a row's link is told by the one model that hasn't seen it
+        out = ~use
+        covered += out
+        assert x[out, 6] == pytest.approx(1 / (1 + np.exp(-(x[out, :6] @ w[:-1] + w[-1]))), abs=1e-6)
+    assert (covered == 1).all()
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = random.Random(19)
+    docs = [(i, " ".join(prose(rng, rng.randint(3, 80)).split() + ["vileterm"] * (i % 4 == 0) + ["!!"] * (i % 3)), "en", "a") for i in range(120)] + [(500, None, "en", "a")]
+    labels = [(i, int(i % 3 != 0), int(i % 4 == 0)) for i in range(0, 120, 2)]
+    chain = toxicity.train(table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), features=40)
+
+    def grams(token):
+        t = "^" + token + "$"
+        return {t} | {t[:n] for n in (3, 4, 5, 6, 7)} | {t[k: k + 5] for k in range(len(t)) if k + 5 <= len(t)}
+
+    def brute(text):
+        found = re.findall(r"[^\W_]+|[^\w\s]{2,}", (text or "").lower())
+        count = Counter(g for w in found for g in grams(w))
+        return {g: n / len(found) for g, n in count.items()}
+
+    texts, y = dict(d[:2] for d in docs), {i: (1 - q, t) for i, q, t in labels}
+    rate = {i: brute(texts[i]) for i in y}
+    feats = set()
+    for c in (0, 1):
+        score = {}
+        for f in {f for r in rate.values() for f in r}:
+            have = [(min(r[f], 0.05), y[i][c]) for i, r in rate.items() if f in r]
+            if len(have) >= 4:
+                pos = sum(v[c] for v in y.values())
+                a, b = sum(v for v, t in have if t), sum(v for v, t in have if not t)
+                score[f] = round(abs(round(a, 9) / pos - (round(a + b, 9) - round(a, 9)) / (len(y) - pos)) / (round(a + b, 9) / len(y) + 1e-6) ** 0.5, 9)
+        feats |= set(sorted(score, key=lambda f: (-score[f], f))[:40])
+    assert set(chain.index) == feats
+    place = {f: k for k, f in enumerate(sorted(feats))}
+    x = np.zeros((len(y), len(feats) + 1), np.float32)
+    for k, i in enumerate(sorted(y)):
+        for f, v in rate[i].items():
+            if f in place:
+                x[k, place[f]] = 5 * v ** 0.5
+    ys = [np.array([y[i][c] for i in sorted(y)], np.float32) for c in (0, 1)]
+    weights = toxicity.fit_chain(x, ys)
+    got = {r["doc_id"]: (r["p_low_quality"], r["p_toxic"]) for r in toxicity.score(table(spark, docs), chain).collect()}
+    for i, t in texts.items():
+        p = []
+        for w in weights:
+            row = np.zeros(len(w) - 1)
+            for f, v in brute(t).items():
+                if f in place:
+                    row[place[f]] = 5 * v ** 0.5
+            row[len(place):] = p
+            p.append(1 / (1 + np.exp(-(row @ w[:-1] + w[-1]))))
+        assert got[i] == pytest.approx(tuple(p), abs=1e-3)
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """At sf0.1 half of the labels teach, the others are told."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").withColumn("half", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2)
+    got = toxicity.toxicity(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels.where("half = 0"))
+    held = got.join(labels.where("half = 1").selectExpr("doc_id", "toxic as truth"), "doc_id").collect()
+    bad = [r["toxic"] for r in held if r["truth"] == 1]
+    good = [r["toxic"] for r in held if r["truth"] == 0]
+    assert sum(bad) >= 0.9 * len(bad) > 150 and sum(good) <= 0.005 * len(good)
 
 
 # ---- 4
