@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.errors import UnsupportedQueryError
-from strataq.plans.lineage import cut
+from strataq.plans.lineage import Growing, cut
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -21,17 +21,15 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 
 def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 1_000_000) -> DataFrame:
-    """(id, depth) of everything reachable from sources (column id). Each round joins the frontier only."""
-    seen = cut(sources.select("id").distinct().withColumn("depth", F.lit(0)))
-    front, depth = seen, 0
-    while depth < max_depth:
-        depth += 1
+    """(id, depth) of everything reachable from sources (column id). Each round joins the frontier only, and writes it once."""
+    seen = Growing(sources.select("id").distinct(), "depth")
+    front = seen.last
+    while seen.parts <= max_depth:
         step = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
-        front = cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        front = seen.add(step.join(seen.all().select("id"), "id", "left_anti"))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front), seen)
-    return seen
+    return seen.all()
 
 
 def traverse(edges: DataFrame, source, max_depth: int = 3, max_nodes: int = 10_000) -> tuple[DataFrame, bool]:
@@ -98,16 +96,14 @@ def weighted_path(edges: DataFrame, source, target) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """Transitive closure (src, dst), semi-naive: only new pairs are extended."""
+    """Transitive closure (src, dst), semi-naive: only new pairs are extended, and written once."""
     e = edges.select("src", "dst").distinct()
-    total = cut(e)
-    new = total
-    while True:
+    total = Growing(e, "round")
+    new = total.last
+    while not new.isEmpty():
         step = new.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst")).distinct()
-        new = cut(step.join(total, ["src", "dst"], "left_anti"))
-        if new.isEmpty():
-            return total
-        total = cut(total.union(new), total)
+        new = total.add(step.join(total.all().select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst"))
+    return total.all().select("src", "dst")
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, personal=None) -> DataFrame:
@@ -193,19 +189,18 @@ def condensation(edges: DataFrame) -> DataFrame:
 
 def topological_levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((id, level), cyclic nodes): peel nodes without open predecessors."""
-    rest, alive, level, parts = cut(edges.select("src", "dst").distinct()), cut(nodes(edges)), 0, []
+    rest, alive, levels = cut(edges.select("src", "dst").distinct()), cut(nodes(edges)), None
     while True:
-        free = cut(alive.join(rest.select(F.col("dst").alias("id")), "id", "left_anti"))
+        free = alive.join(rest.select(F.col("dst").alias("id")), "id", "left_anti")
+        if levels is None:
+            levels = Growing(free, "level")
+            free = levels.last
+        else:
+            free = levels.add(free)
         if free.isEmpty():
-            break
-        parts.append(free.withColumn("level", F.lit(level)))
+            return levels.all(), alive
         alive = cut(alive.join(free, "id", "left_anti"), alive)
         rest = cut(rest.join(free.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst"), rest)
-        level += 1
-    out = None
-    for p in parts:
-        out = p if out is None else out.union(p)
-    return (out if out is not None else alive.limit(0).withColumn("level", F.lit(0))), alive
 
 
 def critical_path(edges: DataFrame) -> DataFrame:
@@ -242,8 +237,9 @@ def would_create_cycle(edges: DataFrame, src, dst) -> bool:
     return src == dst or not dependencies(edges, dst).where(F.col("id") == src).isEmpty()
 
 
-def find_cycles(edges: DataFrame, max_length: int = 10, limit: int = 1000) -> DataFrame:
-    """Simple cycles up to a length, each from its smallest node. Only nodes of strong components take part."""
+def find_cycles(edges: DataFrame, max_length: int = 10, limit: int | None = None) -> DataFrame:
+    """Simple cycles of at most max_length edges, each from its smallest node; all of them unless a limit is given (see limited).
+    Only nodes of strong components take part."""
     c = cut(scc(edges))
     a, b = c.select(F.col("id").alias("src"), F.col("component").alias("cs")), c.select(F.col("id").alias("dst"), F.col("component").alias("cd"))
     e = cut(edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("cs = cd").select("src", "dst"))
@@ -255,7 +251,7 @@ def find_cycles(edges: DataFrame, max_length: int = 10, limit: int = 1000) -> Da
         paths = nxt.where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
         if paths.isEmpty():
             break
-    return found.limit(limit)
+    return found if limit is None else found.limit(limit)
 
 
 def path_pattern(edges: DataFrame, sources: DataFrame | None, low: int, high: int, mode: str = "walk", label: str | None = None) -> DataFrame:

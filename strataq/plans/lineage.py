@@ -43,3 +43,23 @@ def cut(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
             if "/cut-" in f:
                 delete(spark, f)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Growing:
+    """A table that a loop adds rows to, one folder a round: nothing is rewritten. `mark` is a column with the round."""
+
+    def __init__(self, first: DataFrame, mark: str):
+        self.spark, self.mark, self.schema, self.parts = first.sparkSession, mark, first.schema, 0
+        self.path = made(f"{shared_folder(self.spark)}/cut-{uuid.uuid4().hex}")
+        self.last = self.add(first)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Write the rows of a round and return them as a table."""
+        path = f"{self.path}/{self.mark}={self.parts}"
+        rows.write.parquet(path)
+        self.parts += 1
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema), f"`{self.mark}` int"])
+        return self.spark.read.schema(fields).parquet(self.path)

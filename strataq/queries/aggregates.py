@@ -119,7 +119,7 @@ query("l3_bottom", f"SELECT event_id, event_type, window_id, row_number() OVER w
 query("l4_ungrouped_top", f"SELECT event_id, window_id, row_number() OVER w AS rank FROM {_D} WINDOW w AS (PARTITION BY window_id ORDER BY value DESC, event_id) QUALIFY row_number() OVER w <= 5")(
     lambda e: _board(e, group=()).top(5).select("event_id", "window_id", "rank"))
 query("l5_l6_rank_dense_rank", f"""SELECT event_id, rank, dense_rank FROM (SELECT event_id, row_number() OVER (PARTITION BY window_id, event_type ORDER BY value DESC, event_id) AS rank,
-dense_rank() OVER (PARTITION BY window_id, event_type ORDER BY value DESC) AS dense_rank FROM {_D}) WHERE event_id % 10 = 0""")(lambda e: _board(e).ranks(col("event_id") % 10 == 0).select("event_id", "rank", "dense_rank"))
+dense_rank() OVER (PARTITION BY window_id, event_type ORDER BY value DESC) AS dense_rank FROM {_D})""")(lambda e: _board(e).ranks().select("event_id", "rank", "dense_rank"))
 query("l7_percentile", f"""SELECT event_id, window_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY window_id, event_type ORDER BY value DESC, event_id) AS r, count(*) OVER (PARTITION BY window_id, event_type) AS n FROM {_D})
 WHERE r = greatest(1, ceil(0.25 * n))""")(lambda e: _board(e).percentile(0.75).select("event_id", "window_id", "event_type"))
 query("l8_windows", f"SELECT DISTINCT window_id FROM {_D} ORDER BY window_id DESC")(lambda e: _board(e).windows())

@@ -42,7 +42,7 @@ def quads(e):
         rows(su, iri("supplier", "s_suppkey"), [(typ, F.lit("<urn:Supplier>")), ("urn:name", s("s_name")), ("urn:nation", iri("nation", "s_nationkey"))], "<urn:suppliers>")])
 
 
-_C = "(SELECT * FROM customer WHERE c_custkey <= 200)"
+_C = "customer"
 _I = "'<urn:{0}/' || {1} || '>'"
 
 
@@ -76,9 +76,9 @@ sparql("q6_bind", "SELECT ?n ?d WHERE { ?n e:key ?k BIND(?k * 2 + 1 AS ?d) }", f
 sparql("q7_values", "SELECT ?n ?m WHERE { ?n e:name ?m VALUES ?m { \"NATION_1\" \"NATION_2\" \"X\" } }", f"SELECT {_i('nation', 'n_nationkey')} AS n, {_s('n_name')} AS m FROM nation WHERE n_name IN ('NATION_1', 'NATION_2', 'X')")
 sparql("q7_values_undef", "SELECT ?n ?k ?m WHERE { ?n e:key ?k ; e:name ?m . VALUES (?k ?m) { (1 UNDEF) (UNDEF \"NATION_2\") } }",
        f"SELECT {_i('nation', 'n_nationkey')} AS n, {_n('n_nationkey')} AS k, {_s('n_name')} AS m FROM nation WHERE n_nationkey = 1 UNION ALL SELECT {_i('nation', 'n_nationkey')}, {_n('n_nationkey')}, {_s('n_name')} FROM nation WHERE n_name = 'NATION_2'")
-sparql("q8_graph", "SELECT ?g ?s WHERE { GRAPH ?g { ?s a e:Supplier } }", f"SELECT '<urn:suppliers>' AS g, {_i('supplier', 's_suppkey')} AS s FROM supplier WHERE s_suppkey <= 50")
-sparql("q8_named_graph_join", "SELECT ?s ?n WHERE { GRAPH e:suppliers { ?s e:nation ?x } ?x e:name ?n }", f"SELECT {_i('supplier', 's_suppkey')} AS s, {_s('n_name')} AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey <= 50")
-sparql("q8_from", "SELECT ?s FROM <urn:suppliers> WHERE { ?s a e:Supplier }", f"SELECT {_i('supplier', 's_suppkey')} AS s FROM supplier WHERE s_suppkey <= 50")
+sparql("q8_graph", "SELECT ?g ?s WHERE { GRAPH ?g { ?s a e:Supplier } }", f"SELECT '<urn:suppliers>' AS g, {_i('supplier', 's_suppkey')} AS s FROM supplier")
+sparql("q8_named_graph_join", "SELECT ?s ?n WHERE { GRAPH e:suppliers { ?s e:nation ?x } ?x e:name ?n }", f"SELECT {_i('supplier', 's_suppkey')} AS s, {_s('n_name')} AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+sparql("q8_from", "SELECT ?s FROM <urn:suppliers> WHERE { ?s a e:Supplier }", f"SELECT {_i('supplier', 's_suppkey')} AS s FROM supplier")
 sparql("q9_minus", "SELECT ?c WHERE { ?c a e:Customer MINUS { ?c e:segment ?s } }", f"SELECT {_i('customer', 'c_custkey')} AS c FROM {_C} WHERE c_mktsegment = 'BUILDING'")
 sparql("q10_exists", "SELECT ?n WHERE { ?n a e:Nation FILTER EXISTS { ?c e:nation ?n ; e:balance ?b FILTER(?b > 8000) } }", f"SELECT {_i('nation', 'n_nationkey')} AS n FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM {_C} WHERE c_acctbal > 8000)")
 sparql("q10_not_exists", "SELECT ?n WHERE { ?n a e:Nation FILTER NOT EXISTS { ?c e:nation ?n ; a e:Customer } }", f"SELECT {_i('nation', 'n_nationkey')} AS n FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM {_C})")
@@ -171,7 +171,7 @@ query("s18_copy_move_clear", "SELECT 'copy' AS k, count(*) * 2 AS n FROM region
 # ---- entailment
 def _ontology(e):
     """Part types under brands and a root; brands are classes, parts are members."""
-    p = e.table("part").where("p_partkey <= 60")
+    p = e.table("part")
     sub = lambda a, b: (a.alias("s"), F.lit(RU.SUBCLASS).alias("p"), b.alias("o"))
     brand, typ = F.concat(F.lit("<urn:"), F.translate("p_brand", " #", "__"), F.lit(">")), F.concat(F.lit("<urn:"), F.translate("p_type", " ", "_"), F.lit(">"))
     me = F.concat(F.lit("<urn:part/"), "p_partkey", F.lit(">"))
@@ -179,7 +179,7 @@ def _ontology(e):
     return p.select(*sub(typ, brand)).union(p.select(*sub(brand, root))).union(p.select(me.alias("s"), F.lit(RU.TYPE).alias("p"), typ.alias("o"))).distinct()
 
 
-_ONT = """WITH p AS (SELECT DISTINCT p_partkey, '<urn:' || replace(p_type, ' ', '_') || '>' AS t, '<urn:' || replace(replace(p_brand, ' ', '_'), '#', '_') || '>' AS b FROM part WHERE p_partkey <= 60), m AS (SELECT DISTINCT t, b FROM p)"""
+_ONT = """WITH p AS (SELECT DISTINCT p_partkey, '<urn:' || replace(p_type, ' ', '_') || '>' AS t, '<urn:' || replace(replace(p_brand, ' ', '_'), '#', '_') || '>' AS b FROM part), m AS (SELECT DISTINCT t, b FROM p)"""
 query("w6_rdfs_types", _ONT + " SELECT DISTINCT s, o FROM (SELECT '<urn:part/' || p_partkey || '>' AS s, t AS o FROM p UNION ALL SELECT '<urn:part/' || p_partkey || '>', m.b FROM p JOIN m USING (t) UNION ALL SELECT '<urn:part/' || p_partkey || '>', '<urn:Item>' FROM p)")(
     lambda e: RU.rdfs(_ontology(e)).where(col("p") == RU.TYPE).select("s", "o"))
 query("w4_class_hierarchy", _ONT + " SELECT DISTINCT src, dst FROM (SELECT t AS src, b AS dst FROM m UNION ALL SELECT b, '<urn:Item>' FROM m UNION ALL SELECT t, '<urn:Item>' FROM m)")(lambda e: RU.hierarchy(_ontology(e)))

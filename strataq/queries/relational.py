@@ -93,18 +93,18 @@ query("n3_null_is_false", "SELECT c_custkey FROM customer WHERE coalesce(nullif(
     lambda e: e.table("customer").where(two_valued(F.nullif("c_mktsegment", F.lit("BUILDING")) != "MACHINERY")).select("c_custkey"))
 
 # ---- scalar functions
-both("f_arithmetic", "SELECT l_orderkey, l_linenumber, l_quantity + 1 AS a, l_quantity - l_tax AS b, l_extendedprice * (1 - l_discount) AS c, l_linenumber % 2 AS d, -l_linenumber AS e, l_extendedprice / l_quantity AS f FROM lineitem WHERE l_orderkey < 500")
-both("f_integer_division", "SELECT o_orderkey, o_custkey DIV 7 AS q FROM orders WHERE o_orderkey < 1000", "SELECT o_orderkey, o_custkey // 7 AS q FROM orders WHERE o_orderkey < 1000")
+both("f_arithmetic", "SELECT l_orderkey, l_linenumber, l_quantity + 1 AS a, l_quantity - l_tax AS b, l_extendedprice * (1 - l_discount) AS c, l_linenumber % 2 AS d, -l_linenumber AS e, l_extendedprice / l_quantity AS f FROM lineitem")
+both("f_integer_division", "SELECT o_orderkey, o_custkey DIV 7 AS q FROM orders", "SELECT o_orderkey, o_custkey // 7 AS q FROM orders")
 both("f_string", "SELECT n_nationkey, lower(n_name) AS a, upper(n_name) AS b, length(n_name) AS c FROM nation")
 both("f_math", "SELECT c_custkey, abs(c_acctbal) AS a, floor(c_acctbal) AS b, ceil(c_acctbal) AS c FROM customer")
 both("f_conditional", "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS a FROM customer")
-both("f_cast", "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18, 2)) AS a, CAST(o_orderkey AS VARCHAR(20)) AS b, CAST(o_orderdate AS DATE) AS c FROM orders WHERE o_orderkey < 500")
+both("f_cast", "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18, 2)) AS a, CAST(o_orderkey AS VARCHAR(20)) AS b, CAST(o_orderdate AS DATE) AS c FROM orders")
 
 # ---- joins
 both("j1_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000")
 both("j1_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 350000")
 both("j1_right", "SELECT o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey AND o_orderstatus = 'P'")
-both("j1_full", "SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey AND s_acctbal > c_acctbal WHERE coalesce(s_suppkey, c_custkey) < 200")
+both("j1_full", "SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey AND s_acctbal > c_acctbal")
 both("j1_theta", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
 both("j2_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 both("j3_using", "SELECT k, a, b FROM (SELECT n_regionkey AS k, n_name AS a FROM nation) x JOIN (SELECT r_regionkey AS k, r_name AS b FROM region) y USING (k)")
@@ -156,7 +156,7 @@ def page_token(e):
 
 query("o8_paginate", "SELECT p_partkey FROM part ORDER BY p_retailprice NULLS FIRST, p_partkey LIMIT 20 OFFSET 40")(lambda e: e.query("part").order_by("p_retailprice").paginate(3, 20).select("p_partkey"))
 both("o9_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
-both("o9_union_all", "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 50 UNION ALL SELECT s_nationkey FROM supplier")
+both("o9_union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
 both("o10_intersect", "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
 both("o11_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
 query("o12_dedupe", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")(lambda e: e.table("lineitem").select("l_returnflag", "l_linestatus").dropDuplicates())
@@ -282,8 +282,8 @@ def diff_previous(e):
 query("k4_diff_latest", f"""WITH d AS (SELECT user_id, v, event_type AS n, last_value(event_type) OVER (PARTITION BY user_id ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS o FROM {_V})
 SELECT user_id, v, o AS old, n AS new FROM d WHERE o IS DISTINCT FROM n""")(lambda e: R.diff(_versions(e), "user_id", "v", ["event_type"], "latest").select("user_id", "v", "old", "new"))
 
-query("e1_forward", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 300")(
-    lambda e: R.forward(e.table("orders").where("o_orderkey < 300"), "o_custkey", e.table("customer"), "c_custkey").select("o_orderkey", "c_name"))
+query("e1_forward", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")(
+    lambda e: R.forward(e.table("orders"), "o_custkey", e.table("customer"), "c_custkey").select("o_orderkey", "c_name"))
 query("e1_inverse", "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 4")(
     lambda e: R.forward(e.table("customer").where("c_nationkey = 4"), "c_custkey", e.table("orders"), "o_custkey", "inner").select("c_custkey", "o_orderkey"))
 query("j11_to_many", "SELECT c_custkey, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey), '') AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")(

@@ -9,7 +9,6 @@ from oracle_check import TABLES, rows
 from strataq.queries import registry
 
 registry.load_all()
-SLOW = {"h5_cycle_checks"}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +21,7 @@ def con(sf):
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, sf, con, name):
     df = registry.QUERIES[name](spark, sf)
     got, columns = rows(df.columns, [tuple(r) for r in df.collect()])

@@ -6,7 +6,8 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from strataq.queries import rdf, registry
+from strataq.graph import algorithms as A
+from strataq.queries import graphs, rdf, registry
 from strataq.sparql import engine as SE
 
 
@@ -37,3 +38,21 @@ def test_snowball_stems_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(words) + " jumping")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     stems = registry.QUERIES["t14_snowball"](spark, str(tmp_path)).collect()[0]["stems"].split()
     assert len(stems) == 301 and stems[-1] == "jump"
+
+
+def test_components_against_union_find(spark, sf):
+    registry.load_all()
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").where("l_suppkey % 3 <> 0").select("l_suppkey", "l_partkey").distinct().collect():
+        a, b = find(f"s{r[0]}"), find(f"p{r[1]}")
+        parent[max(a, b)] = min(a, b)
+    edges = graphs._supply(SimpleNamespace(table=lambda t: spark.read.parquet(f"{sf}/{t}.parquet").where("l_suppkey % 3 <> 0")))
+    assert {r["id"]: r["component"] for r in A.run_algorithm("components", edges).collect()} == {x: find(x) for x in parent}
+    every = registry.QUERIES["h10_components"](spark, sf)
+    assert every.count() == spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("count(distinct l_suppkey) + count(distinct l_partkey)").first()[0]
