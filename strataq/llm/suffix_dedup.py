@@ -14,7 +14,7 @@ GRAM = 32  # bytes of an anchor
 REACH = LENGTH - GRAM  # an anchor lies at most so far behind a passage's start
 RUN = 1 << 18  # bytes hashed at once
 OVERLAP = 4 * LENGTH
-HOT = 20_000  # contexts of one gram that a task sorts; beyond, its passages are grouped one by one
+HOT = 20_000  # contexts of one gram that a task sorts; beyond, its passages are spread over tasks: the same result, by bytes either way
 BUCKET_BYTES = 16 << 20  # text that one bucket of anchors stands for
 _RNG = np.random.default_rng(4)
 _LETTER = [_RNG.integers(1, 2**63, 256, dtype=np.uint64) for _ in range(2)]
@@ -95,6 +95,16 @@ def _shares(which: np.ndarray):
         yield int(w[a]), order[a:b]
 
 
+def _equal(data: np.ndarray, p: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes from p equal those from q, for every entry; n is at most _WIDE, and data reaches so far beyond."""
+    out = np.empty(len(p), bool)
+    at = np.arange(_WIDE)
+    for s in range(0, len(p), 20_000):
+        e = slice(s, s + 20_000)
+        out[e] = ((data[p[e, None] + at] == data[q[e, None] + at]) | (at >= n[e, None])).all(1)
+    return out
+
+
 def _text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     col = col.cast(pa.large_string())
     buffers = col.buffers()
@@ -137,11 +147,11 @@ def _unpack(blob: bytes, kinds):
     return out
 
 
-_ANCHOR = ("<i8", "<u4", "<u4", "<u1", "<u1", "<u8", "<u8", "<u4", "<u4", "<u4")
+_ANCHOR = ("<i8", "<u4", "<u4", "<u8", "<u4", "<u4", "<u4")
 
 
 def _anchors(buckets: int):
-    """Batches of (id, text) -> (bucket, blob). Of anchors of equal gram and context in a batch only the first is sent; the
+    """Batches of (id, text) -> (bucket, blob). Of anchors with the same bytes about them in a batch only the first is sent; the
     rest are covered whole, and travel as spans."""
     def run(batches):
         for b in batches:
@@ -160,7 +170,11 @@ def _anchors(buckets: int):
             doc, pos, left, right, h, ctx = (np.concatenate(p) for p in parts)
             order = np.lexsort((pos, ids[doc], ctx, h))
             doc, pos, left, right, h, ctx = (x[order] for x in (doc, pos, left, right, h, ctx))
-            again = np.r_[False, (h[1:] == h[:-1]) & (ctx[1:] == ctx[:-1])]
+            again = np.r_[False, (h[1:] == h[:-1]) & (ctx[1:] == ctx[:-1]) & (left[1:] == left[:-1]) & (right[1:] == right[:-1])]
+            k = np.flatnonzero(again)
+            padded = np.concatenate([data, np.zeros(_WIDE, np.uint8)])
+            begin = offs[doc] + pos - left
+            again[k] = _equal(padded, begin[k], begin[k - 1], (left + right)[k])  # hashes propose, bytes decide
             twice = again & np.r_[False, (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1])]  # found in two segments
             full = again & ~twice & (left + right >= LENGTH)
             which = (h % np.uint64(buckets)).astype(np.int64)
@@ -173,8 +187,7 @@ def _anchors(buckets: int):
                 here, back = np.unique(doc[mine], return_inverse=True)
                 rows.append(k)
                 new = ~again[mine]
-                blobs.append(_pack(ids[here].astype("<i8"), back[new].astype("<u4"), pos[one].astype("<u4"), left[one].astype("<u1"), right[one].astype("<u1"),
-                                   h[one].astype("<u8"), ctx[one].astype("<u8"), back[~new].astype("<u4"),
+                blobs.append(_pack(ids[here].astype("<i8"), back[new].astype("<u4"), pos[one].astype("<u4"), h[one].astype("<u8"), back[~new].astype("<u4"),
                                    (pos[cov] - left[cov]).astype("<u4"), (pos[cov] + right[cov]).astype("<u4")))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
@@ -199,35 +212,22 @@ def _table(parts) -> pa.Table:
 
 
 def _group(t: pa.Table, hot: int = HOT) -> pa.Table:
-    """A bucket: spans covered whole (kind 0) and, of grams with several contexts, the anchors whose bytes are wanted (kind 1; kind 2
-    where the gram has more than `hot` contexts)."""
-    ids, pos, left, right, h, ctx, cid, clo, chi = ([] for _ in range(9))
+    """A bucket: spans found covered (kind 0) and, of grams that occur again, the anchors whose bytes are wanted (kind 1; kind 2
+    where the gram has more than `hot` of them)."""
+    ids, pos, h, cid, clo, chi = ([] for _ in range(6))
     for blob in t["blob"].to_pylist():
-        d, i, p, lf, r, g, c, ci, lo, hi = _unpack(blob, _ANCHOR)
-        for into, v in zip((ids, pos, left, right, h, ctx, cid, clo, chi), (d[i], p, lf, r, g, c, d[ci], lo, hi)):
+        d, i, p, g, ci, lo, hi = _unpack(blob, _ANCHOR)
+        for into, v in zip((ids, pos, h, cid, clo, chi), (d[i], p, g, d[ci], lo, hi)):
             into.append(v)
-    ids, pos, left, right, h, ctx, cid, clo, chi = (np.concatenate(x) for x in (ids, pos, left, right, h, ctx, cid, clo, chi))
-    order = np.argsort(h, kind="stable")
-    hs = h[order]
-    many = np.r_[hs[1:] == hs[:-1], False] if len(hs) else np.zeros(0, bool)
-    many[1:] |= many[:-1].copy()
-    keep = order[many]
-    ids, pos, left, right, h, ctx = (x[keep] for x in (ids, pos, left, right, h, ctx))
-    order = np.lexsort((pos, ids, ctx, h))
-    ids, pos, left, right, h, ctx = (x[order] for x in (ids, pos, left, right, h, ctx))
-    again = np.r_[False, (h[1:] == h[:-1]) & (ctx[1:] == ctx[:-1])] if len(h) else np.zeros(0, bool)
-    twice = again & np.r_[False, (ids[1:] == ids[:-1]) & (pos[1:] == pos[:-1])] if len(h) else again
-    full = again & ~twice & (left.astype(int) + right >= LENGTH)
-    lo, hi = pos.astype(np.int64) - left, pos.astype(np.int64) + right
-    spans = _by_document(np.concatenate([cid, ids[full]]), 0, np.concatenate([clo, lo[full]]).astype("<u4"), np.concatenate([chi, hi[full]]).astype("<u4"))
-    first = np.flatnonzero(~again)
-    same = h[first][1:] == h[first][:-1] if len(first) else np.zeros(0, bool)
-    several = np.r_[False, same] | np.r_[same, False] if len(first) else np.zeros(0, bool)
-    ask = first[several]
-    start = np.flatnonzero(np.r_[True, h[ask][1:] != h[ask][:-1]]) if len(ask) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[start, len(ask)])
-    many = np.repeat(size > hot, size)
-    return _table([spans, *[_by_document(ids[x], kind, pos[x].astype("<u4"), h[x].astype("<u8")) for kind, x in ((1, ask[~many]), (2, ask[many]))]])
+    ids, pos, h, cid, clo, chi = (np.concatenate(x) for x in (ids, pos, h, cid, clo, chi))
+    order = np.lexsort((pos, ids, h))
+    ids, pos, h = ids[order], pos[order], h[order]
+    twice = np.r_[False, (h[1:] == h[:-1]) & (ids[1:] == ids[:-1]) & (pos[1:] == pos[:-1])] if len(h) else np.zeros(0, bool)
+    ids, pos, h = ids[~twice], pos[~twice], h[~twice]  # found in two segments
+    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    size = np.repeat(np.diff(np.r_[start, len(h)]), np.diff(np.r_[start, len(h)]))
+    wanted = [(1, (size > 1) & (size <= hot)), (2, size > max(hot, 1))]
+    return _table([_by_document(cid, 0, clo, chi), *[_by_document(ids[x], kind, pos[x].astype("<u4"), h[x].astype("<u8")) for kind, x in wanted]])
 
 
 _CONTEXT = ("<i8", "<u4", "<u1", "<u1", "<u8", "<u1")
@@ -235,7 +235,7 @@ _WIDE = REACH + LENGTH
 
 
 def _contexts(buckets: int):
-    """(id, text, requests) -> (bucket, hot, blob): the bytes about the anchors asked for; about anchors of hot grams, their passages' hashes."""
+    """(id, text, requests) -> (bucket, hot, blob): the bytes about the anchors asked for; of anchors of hot grams, their passages."""
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy()
@@ -261,9 +261,10 @@ def _contexts(buckets: int):
                     return ctx
 
                 if kind == 2:
-                    made = _passages(ids, doc, pos, left, right, bytes_about, buckets)
-                    rows += [(k, True) for k, _ in made]
-                    blobs += [x for _, x in made]
+                    for at in range(0, len(doc), 2000):
+                        s = slice(at, at + 2000)
+                        made = _passages(ids, doc[s], pos[s], left[s], right[s], bytes_about(np.arange(at, min(at + 2000, len(doc)))), buckets)
+                        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int32()), pa.array([True] * len(made)), pa.array([x for _, x in made], pa.binary())], ["bucket", "hot", "blob"])
                     continue
                 which = (gram % np.uint64(buckets)).astype(np.int64)
                 for k, s in _shares(which):
@@ -274,33 +275,37 @@ def _contexts(buckets: int):
     return run
 
 
-_PASSAGE = ("<i8", "<u4", "<u4", "<u8", "<u8", "<u4", "<u4", "<u4")
-
-
-def _passages(ids, doc, pos, left, right, bytes_about, buckets: int) -> list[tuple[int, bytes]]:
-    """All passages about the anchors of hot grams, by two hashes: the first of equals in this batch goes to a bucket by its hash,
-    the others are covered. So a passage that very many documents share sends one entry a batch, and no task sees them all."""
-    parts = [[] for _ in range(4)]
-    for at in range(0, len(doc), 2000):
-        s = np.arange(at, min(at + 2000, len(doc)))
-        ctx = bytes_about(s)
-        hashes = []
-        for w in (0, 1):
-            prefix = np.zeros((len(s), _WIDE + 1), np.uint64)
-            np.cumsum(_LETTER[w][ctx] * _powers(w, _WIDE)[0][:_WIDE], axis=1, out=prefix[:, 1:])
-            inv = _powers(w, _WIDE)[1]
-            hashes.append(_mix((prefix[:, LENGTH:] - prefix[:, : _WIDE - LENGTH + 1]) * inv[: _WIDE - LENGTH + 1]))
-        back = REACH - np.arange(REACH + 1)  # column c starts `back` bytes before the anchor
-        fits = (left[s][:, None] >= back) & (right[s][:, None] >= LENGTH - back)
-        r, c = np.nonzero(fits)
-        for into, v in zip(parts, (s[r], pos[s[r]] - back[c], hashes[0][r, c], hashes[1][r, c])):
-            into.append(v)
-    anchor, start, h0, h1 = (np.concatenate(x) for x in parts)
-    order = np.lexsort((start, ids[doc[anchor]], h1, h0))
-    anchor, start, h0, h1 = anchor[order], start[order], h0[order], h1[order]
+_PASSAGE = ("<i8", "<u4", "<u4", "<u8", "<u1", "<u4", "<u4", "<u4")
+
+
+def _firsts(ids, start, h, text) -> np.ndarray:
+    """Order passages by bytes, id and start; returns (order, again): whether an entry has the bytes of the one before it.
+    They are sorted by hash; where unequal bytes meet under one hash, by the bytes."""
+    order = np.lexsort((start, ids, h))
+    same = h[order][1:] == h[order][:-1]
+    equal = (text[order][1:] == text[order][:-1]).all(1)
+    if (same & ~equal).any():
+        words = np.zeros((len(text), 8 * -(-LENGTH // 8)), np.uint8)
+        words[:, :LENGTH] = text
+        order = np.lexsort((start, ids, *words.view(np.uint64).T))
+        equal = (text[order][1:] == text[order][:-1]).all(1)
+        same = equal
+    return order, np.r_[False, same & equal] if len(order) else np.zeros(0, bool)
+
+
+def _passages(ids, doc, pos, left, right, ctx, buckets: int) -> list[tuple[int, bytes]]:
+    """All passages about the anchors of hot grams: the first of equals here goes to a bucket by its hash, with its bytes; the others
+    are covered. So a passage that very many documents share sends one entry at a time, and no task sees them all."""
+    prefix = np.zeros((len(doc), _WIDE + 1), np.uint64)
+    np.cumsum(_LETTER[0][ctx] * _powers(0, _WIDE)[0][:_WIDE], axis=1, out=prefix[:, 1:])
+    hashes = _mix((prefix[:, LENGTH:] - prefix[:, : _WIDE - LENGTH + 1]) * _powers(0, _WIDE)[1][: _WIDE - LENGTH + 1])
+    back = REACH - np.arange(REACH + 1)  # column c starts `back` bytes before the anchor
+    anchor, c = np.nonzero((left[:, None] >= back) & (right[:, None] >= LENGTH - back))
+    start, h, text = pos[anchor] - back[c], hashes[anchor, c], ctx[anchor[:, None], c[:, None] + np.arange(LENGTH)]
+    order, again = _firsts(ids[doc[anchor]], start, h, text)
+    anchor, start, h, text = anchor[order], start[order], h[order], text[order]
     d = doc[anchor]
-    again = np.r_[False, (h0[1:] == h0[:-1]) & (h1[1:] == h1[:-1])] if len(h0) else np.zeros(0, bool)
-    twice = again & np.r_[False, (d[1:] == d[:-1]) & (start[1:] == start[:-1])] if len(h0) else again
+    twice = again & np.r_[False, (d[1:] == d[:-1]) & (start[1:] == start[:-1])] if len(h) else again
     cov = again & ~twice
     # the covered passages of an anchor overlap, so they are one span
     low, high = np.full(len(doc), 2**62), np.full(len(doc), -1)
@@ -309,10 +314,10 @@ def _passages(ids, doc, pos, left, right, bytes_about, buckets: int) -> list[tup
     hit = np.flatnonzero(high >= 0)
     firsts = np.flatnonzero(~again)
     out = []
-    for n, (k, at) in enumerate(_shares((h0[firsts] % np.uint64(buckets)).astype(np.int64))):
+    for n, (k, at) in enumerate(_shares((h[firsts] % np.uint64(buckets)).astype(np.int64))):
         new, c = firsts[at], hit if n == 0 else hit[:0]  # the spans travel with the first
         here, back = np.unique(np.concatenate([d[new], doc[c]]), return_inverse=True)
-        out.append((k, _pack(ids[here].astype("<i8"), back[: len(new)].astype("<u4"), start[new].astype("<u4"), h0[new], h1[new],
+        out.append((k, _pack(ids[here].astype("<i8"), back[: len(new)].astype("<u4"), start[new].astype("<u4"), h[new], text[new].reshape(-1),
                              back[len(new):].astype("<u4"), low[c].astype("<u4"), high[c].astype("<u4"))))
     return out
 
@@ -320,14 +325,13 @@ def _passages(ids, doc, pos, left, right, bytes_about, buckets: int) -> list[tup
 def _first_passages(t: pa.Table) -> pa.Table:
     parts = [[] for _ in range(7)]
     for blob in t["blob"].to_pylist():
-        d, i, s, a, b, ci, lo, hi = _unpack(blob, _PASSAGE)
-        for into, v in zip(parts, (d[i], s, a, b, d[ci], lo, hi)):
+        d, i, s, h, text, ci, lo, hi = _unpack(blob, _PASSAGE)
+        for into, v in zip(parts, (d[i], s, h, text, d[ci], lo, hi)):
             into.append(v)
-    ids, start, h0, h1, cid, lo, hi = (np.concatenate(p) for p in parts)
-    order = np.lexsort((start, ids, h1, h0))
-    ids, start, h0, h1 = ids[order], start[order], h0[order], h1[order]
-    again = np.r_[False, (h0[1:] == h0[:-1]) & (h1[1:] == h1[:-1])] if len(h0) else np.zeros(0, bool)
-    if len(h0):
+    ids, start, h, text, cid, lo, hi = (np.concatenate(p) for p in parts)
+    order, again = _firsts(ids, start, h, text.reshape(-1, LENGTH))
+    ids, start = ids[order], start[order]
+    if len(h):
         again &= ~np.r_[False, (ids[1:] == ids[:-1]) & (start[1:] == start[:-1])]
     ids, start = ids[again], start[again]
     return _table([_by_document(np.concatenate([cid, ids]), 0, np.concatenate([lo, start]).astype("<u4"), np.concatenate([hi, start.astype(np.int64) + LENGTH]).astype("<u4"))])
@@ -501,17 +505,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Sorting all suffixes of a corpus is out of the question, and needless: any repeated 100-byte string holds the same
     anchor, the 32-byte gram of least hash in it. Anchors (one in about 35 bytes) are grouped by their hash. Where the whole
-    context of an anchor (68 bytes before, 100 from it) repeats, everything in it does. Only grams with several
-    contexts need comparing: their contexts are sorted forwards and backwards from the anchor by a merge sort whose
-    comparisons find the common extension by binary search over prefix polynomial hashes, verified by bytes; runs of
-    sufficient common extension on both sides tell which passages have occurred before. Hashes of two bases, 128 bits in
-    all, tell equal contexts.
+    bytes about an anchor (68 before, 100 from it) repeat within a batch, everything in them does, and only the first is sent.
+    The bytes about anchors of grams that occur again are sorted forwards and backwards from the anchor by a merge sort whose
+    comparisons find the common extension by binary search over prefix polynomial hashes; runs of sufficient common
+    extension on both sides tell which passages have occurred before. Hashes only propose: bytes are compared before
+    anything is called equal, and where unequal bytes meet under one hash, the bytes are sorted.
 
     Null text is empty. Rows that repeat an id, and null ids, are ordered by id (null first), then text hash; rows equal in
     both are ordered arbitrarily, but each is a document. Extra columns are ignored; an empty table gives an empty result.
-    Very long texts are hashed piece by piece, with overlaps. Equal contexts are combined before the shuffle, so a hot passage sends one anchor
-    a batch. A gram with more than `hot` contexts (the edges of a passage in very many documents) is not sorted in one task: its
-    passages are grouped one by one by their hashes, again combined before the shuffle.
+    Very long texts are hashed piece by piece, with overlaps. A hot passage sends one anchor a batch. A gram with more than
+    `hot` anchors left (the edges of a passage in very many documents) is not sorted in one task: its passages are grouped
+    by their bytes, first in each batch, then over tasks; the result is the same for any `hot`. The id must be an integer or a
+    string of one.
     """
     bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -522,12 +527,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     grouped = (base.mapInArrow(tidied(_anchors(buckets)), "bucket int, blob binary").groupBy("bucket").applyInArrow(lambda t: _group(t, hot), _OUT))
     grouped = materialize(grouped)
     asked = grouped.where("kind > 0").groupBy("id").agg(F.collect_list(F.struct("kind", "blob")).alias("blobs"))
-    texts = with_membership(base, bit_filter(asked, F.col("id")), F.col("id"), "maybe").where("maybe").drop("maybe")
+    texts = with_membership(base, bit_filter(asked, F.col("id"), grouped.where("kind > 0").count()), F.col("id"), "maybe").where("maybe").drop("maybe")
     compared = (texts.join(asked, "id").select("id", "text", "blobs").mapInArrow(tidied(_contexts(buckets)), "bucket int, hot boolean, blob binary")
                 .groupBy("bucket", "hot").applyInArrow(_compare, _OUT))
     spans = materialize(grouped.where("kind = 0").union(compared))
     per_doc = spans.groupBy("id").agg(F.collect_list("blob").alias("blobs"))
-    flagged = with_membership(base, bit_filter(spans, F.col("id")), F.col("id"), "maybe")
+    flagged = with_membership(base, bit_filter(spans, F.col("id"), spans.count()), F.col("id"), "maybe")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text
     cut = (flagged.where("maybe").drop("maybe").join(per_doc, "id", "left").select("id", "text", "blobs").mapInArrow(tidied(_cut(with_text)), schema))
     zero = F.lit(0).cast("long")

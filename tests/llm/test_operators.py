@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -361,6 +362,53 @@ def test_suffix_dedup(spark, seed, monkeypatch):
         assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
 
 
+def suffix_dedup_here(rows, buckets, hot):
+    """The operator's steps without Spark, so that its hashes can be replaced."""
+    def batch(part, **more):
+        return pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in part], pa.int64()), "text": pa.array([t or "" for _, t in part], pa.string()), **more})
+
+    def grouped(made, f, keys):
+        groups = defaultdict(list)
+        for b in made:
+            for r in b.to_pylist():
+                groups[tuple(r[k] for k in keys)].append(r)
+        return [r for g in groups.values() for r in f(pa.Table.from_pylist(g)).to_pylist()]
+
+    halves = [rows[::2], rows[1::2]]
+    found = grouped(suffix_dedup._anchors(buckets)(map(batch, halves)), lambda t: suffix_dedup._group(t, hot), ["bucket"])
+    asked = defaultdict(list)
+    for r in found:
+        if r["kind"]:
+            asked[r["id"]].append({"kind": r["kind"], "blob": r["blob"]})
+    batches = [batch(h, blobs=pa.array([asked[i] for i, _ in h], pa.list_(pa.struct([("kind", pa.int32()), ("blob", pa.binary())])))) for h in halves]
+    spans = [r for r in found if not r["kind"]] + grouped(suffix_dedup._contexts(buckets)(iter(batches)), suffix_dedup._compare, ["bucket", "hot"])
+    per = defaultdict(list)
+    for r in spans:
+        per[r["id"]].append(r["blob"])
+    out = suffix_dedup._cut(False)(batch(h, blobs=pa.array([per[i] for i, _ in h], pa.list_(pa.binary()))) for h in halves)
+    return {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for b in out for r in b.to_pylist()}
+
+
+@pytest.mark.parametrize("collide", ["not", "contexts", "all"])
+def test_suffix_dedup_when_hashes_collide(monkeypatch, collide):
+    rng = random.Random(17)
+    passages = [prose(rng, rng.randint(18, 30)) for _ in range(3)] + ["ab" * 70]
+    rows = []
+    for i in range(24):
+        p = rng.choice(passages)
+        cut = rng.randint(0, 20)
+        rows.append((i, prose(rng, rng.randint(0, 8)) + p[cut: cut + rng.randint(90, 140)] + prose(rng, rng.randint(0, 8))))
+    rows += [(24, None), (25, rows[3][1]), (26, rows[3][1]), (27, "x" * 130)]
+    want = brute_repeats(rows)
+    assert sum(x[1] for x in want.values()) > 500
+    letters = [np.ones(256, np.uint64)] * 2 if collide == "all" else [suffix_dedup._LETTER[0], np.ones(256, np.uint64)] if collide == "contexts" else suffix_dedup._LETTER
+    monkeypatch.setattr(suffix_dedup, "_LETTER", letters)
+    if collide == "all":  # the powers too, so that every hash of a length is the same
+        monkeypatch.setattr(suffix_dedup, "_powers", lambda which, n: (np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)))
+    for hot in (10**9, 3, 0):
+        assert suffix_dedup_here(rows, 5, hot) == want
+
+
 def test_suffix_dedup_of_repeated_and_null_ids(spark):
     rng = random.Random(8)
     t = prose(rng, 60)
