@@ -105,8 +105,8 @@ def give_back() -> None:
 
 # ---- membership filters of bounded size
 FILTER_BITS = 1 << 23  # 1 MB where nothing is known of the number of keys
-MAX_FILTER_BITS = 1 << 30  # 128 MB
-BITS_A_KEY = 16
+MAX_FILTER_BITS = 1 << 28  # 32 MB
+BITS_A_KEY = 8
 
 
 class BitFilter:
@@ -117,9 +117,9 @@ class BitFilter:
 
 
 def bit_filter(keys: DataFrame, key: Column, n: int | None = None) -> BitFilter:
-    """A filter of `key`, of BITS_A_KEY bits for each of its n entries, at most MAX_FILTER_BITS (128 MB), so it may be broadcast.
+    """A filter of `key`, of BITS_A_KEY bits for each of its n entries, at most MAX_FILTER_BITS (32 MB), so it may be broadcast.
 
-    n: the number of keys, where it is known. The filter can only say "perhaps" or "no"; beyond 2^30 / 16 keys it passes more
+    n: the number of keys, or a bound of it, where it is known. The filter can only say "perhaps" or "no"; beyond 2^28 / 8 keys it passes more
     and more, and results stay whole because an exact step always follows. Null keys are not entered.
     """
     size = FILTER_BITS if n is None else max(FILTER_BITS, min(MAX_FILTER_BITS, 1 << max(n * BITS_A_KEY - 1, 1).bit_length()))

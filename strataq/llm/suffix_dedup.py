@@ -520,19 +520,19 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    total, count = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("docs")).first()
     buckets = max(8, -(-total // bucket_bytes))
     base, back = unique_ids(base)
     base = base.select(F.col("id").cast("long").alias("id"), "text")
     grouped = (base.mapInArrow(tidied(_anchors(buckets)), "bucket int, blob binary").groupBy("bucket").applyInArrow(lambda t: _group(t, hot), _OUT))
     grouped = materialize(grouped)
     asked = grouped.where("kind > 0").groupBy("id").agg(F.collect_list(F.struct("kind", "blob")).alias("blobs"))
-    texts = with_membership(base, bit_filter(asked, F.col("id"), grouped.where("kind > 0").count()), F.col("id"), "maybe").where("maybe").drop("maybe")
+    texts = with_membership(base, bit_filter(asked, F.col("id"), min(count, grouped.where("kind > 0").count())), F.col("id"), "maybe").where("maybe").drop("maybe")
     compared = (texts.join(asked, "id").select("id", "text", "blobs").mapInArrow(tidied(_contexts(buckets)), "bucket int, hot boolean, blob binary")
                 .groupBy("bucket", "hot").applyInArrow(_compare, _OUT))
     spans = materialize(grouped.where("kind = 0").union(compared))
     per_doc = spans.groupBy("id").agg(F.collect_list("blob").alias("blobs"))
-    flagged = with_membership(base, bit_filter(spans, F.col("id"), spans.count()), F.col("id"), "maybe")
+    flagged = with_membership(base, bit_filter(spans, F.col("id"), min(count, spans.count())), F.col("id"), "maybe")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text
     cut = (flagged.where("maybe").drop("maybe").join(per_doc, "id", "left").select("id", "text", "blobs").mapInArrow(tidied(_cut(with_text)), schema))
     zero = F.lit(0).cast("long")

@@ -113,7 +113,7 @@ def test_bit_filters_have_no_misses(spark, monkeypatch):
     from strataq.llm import common
 
     keys = spark.range(0, 5000, 5)
-    for n, low in ((None, 1 << 23), (10**6, 1 << 24), (10**12, common.MAX_FILTER_BITS)):
+    for n, low in ((None, 1 << 23), (10**6, 1 << 23), (2 * 10**6, 1 << 24), (10**12, common.MAX_FILTER_BITS)):
         bits = common.bit_filter(keys, F.col("id"), n)
         assert bits.size == low
         got = [r["id"] for r in common.with_membership(spark.range(5000), bits, F.col("id"), "in").where("in").collect()]
