@@ -3,10 +3,13 @@
 from collections import Counter
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strataq.graph import algorithms as A
+from strataq.operators import ann
+from strataq.operators.similar import IVF
 from strataq.queries import graphs, rdf, registry
 from strataq.sparql import engine as SE
 
@@ -56,3 +59,35 @@ def test_components_against_union_find(spark, sf):
     assert {r["id"]: r["component"] for r in A.run_algorithm("components", edges).collect()} == {x: find(x) for x in parent}
     every = registry.QUERIES["h10_components"](spark, sf)
     assert every.count() == spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("count(distinct l_suppkey) + count(distinct l_partkey)").first()[0]
+
+
+@pytest.mark.parametrize("name", ["v3_hashed_ann", "v4_ivf", "v5_pq"])
+def test_indexes_find_nine_in_ten(spark, name):
+    """Recall of the ten nearest, over every query of the 2000 vectors at sf0.1."""
+    registry.load_all()
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    found: dict = {}
+    for r in registry.QUERIES[name](spark, folder).collect():
+        found.setdefault(r["query"], {})[r["rank"]] = r["id"]
+    assert set(found) == {i for i in ids.tolist() if i % 20 == 0}
+    hits = 0
+    for i, got in found.items():
+        d = ((x - x[ids == i]) ** 2).sum(1)
+        assert sorted(got) == list(range(1, 11)) and got[1] in ids[d < 1e-9]
+        hits += len(set(got.values()) & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    print(name, hits / (10 * len(found)))
+    assert hits >= 9 * len(found)
+
+
+def test_stored_cells_give_the_same(spark, tmp_path):
+    df = spark.range(300).selectExpr("id as vec_id", "transform(sequence(1, 8), k -> double(hash(id, k) % 1000)) as embedding")
+    made = IVF(df, "vec_id", "embedding", 6, 5, 300)
+    ann.save_ivf(made, str(tmp_path / "ivf"))
+    again = ann.open_ivf(spark, str(tmp_path / "ivf"), "vec_id", "embedding")
+    queries = df.where("vec_id % 20 = 0").selectExpr("vec_id as query", "embedding as q")
+    want = sorted(map(tuple, ann.search_ivf(made, queries, 5, 6).select("query", "id", "rank").collect()))
+    assert sorted(map(tuple, ann.search_ivf(again, queries, 5, 6).select("query", "id", "rank").collect())) == want and len(want) == 75
+    one = df.where("vec_id = 40").first()["embedding"]
+    assert [r["vec_id"] for r in again.search(list(one), 5, 6).collect()] == [i for q, i, _ in sorted(want, key=lambda r: r[2]) if q == 40]
