@@ -16,7 +16,9 @@ SIMILARITY = (8, 10)  # Jaccard of shingle sets, as a fraction
 TABLES, BITS = 48, 14
 SAMPLED = -(-TABLES * BITS // 64) * 64  # coordinates that the tables sample from, no two tables the same one
 CHECKED = 256  # other coordinates, on which distances are checked
-SHORT = 64  # shingles of a set whose candidates are found by common shingles, not by coordinates
+SHORT = 64  # shingles of a set whose links are found by common shingles, not by coordinates
+COMMON, COMMON_SETS = 1 << 16, 16  # shingles that most short sets hold are told by number: at most so many, each in more than so many sets
+PAIRS = 20_000  # pairs of short sets that are compared at once
 SHORT_DISTANCE = 96  # of CHECKED, for these: sets of 4 and 5 shingles differ in 48 on average, with a deviation of 6.2
 DISTANCE = 64  # of CHECKED: 4.5 standard deviations above the mean at the similarity
 BUCKET = 4096  # rows of a bucket, or of a part of it, that one task compares
@@ -75,22 +77,22 @@ def fingerprint(s: np.ndarray) -> np.ndarray:
 
 
 def prefix(s: np.ndarray, similarity=SIMILARITY) -> np.ndarray:
-    """The smallest hashes of a set, as many as it takes for two sets that are similar enough to have one in common."""
+    """The first hashes of a set in any order that all sets share, as many as it takes for two sets that are similar enough to have one in common."""
     return s[: len(s) + 1 + -len(s) * similarity[0] // similarity[1]]
 
 
-def _fingerprints(similarity, names):
-    """(id, text, *carried) -> (id, *carried, sig, print, first)."""
+def _fingerprints(names):
+    """(id, text, *carried) -> (id, *carried, sig, print, short): short is the set itself, if it has at most SHORT shingles."""
     def run(batches):
         for b in batches:
-            sigs, prints, firsts = [], [], []
+            sigs, prints, shorts = [], [], []
             for t in b.column(1):
                 s = shingles(t.as_py())
                 sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
                 prints.append(fingerprint(s).tobytes() if len(s) else None)
-                firsts.append(prefix(s, similarity).view(np.int64) if 0 < len(s) <= SHORT else None)
-            made = [pa.array(sigs, pa.string()), pa.array(prints, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(k) for k in range(2, b.num_columns)), *made], ["id", *names, "sig", "print", "first"])
+                shorts.append(s.view(np.int64) if 0 < len(s) <= SHORT else None)
+            made = [pa.array(sigs, pa.string()), pa.array(prints, pa.binary()), pa.array(shorts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(k) for k in range(2, b.num_columns)), *made], ["id", *names, "sig", "print", "short"])
 
     return run
 
@@ -166,21 +168,52 @@ def _more_bits(tables: int, bits: int):
     return run
 
 
-def _short(batches):
-    """A row for every hash of the prefixes."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        first, (_, words) = b.column(2), _words(b.column(1))
-        at = pc.list_parent_indices(first)
-        yield pa.RecordBatch.from_arrays([pc.list_flatten(first), b.column(0).take(at), *[pa.array(words[:, k]).take(at) for k in range(CHECKED // 64)]], ["bucket", "id", "f0", "f1", "f2", "f3"])
+def _short(common: np.ndarray, similarity):
+    """A row for every hash of the sets' prefixes, with the set. common: hashes of many sets, the rarest first; they go last in every
+    set, so that sets meet by what few others hold, not by a line that very many texts share."""
+    order = np.argsort(common, kind="stable")
+    known = common[order]
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sets, (_, words) = b.column(2), _words(b.column(1))
+            flat, owner = pc.list_flatten(sets).to_numpy(), pc.list_parent_indices(sets).to_numpy()
+            rank = np.full(len(flat), -1)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                rank = np.where(known[at] == flat, order[at], -1)
+            by = np.lexsort((flat, rank, owner))
+            starts = np.searchsorted(owner, np.arange(b.num_rows + 1))
+            first = [prefix(by[i: j], similarity) for i, j in zip(starts[:-1], starts[1:])]
+            take = pa.array(np.repeat(np.arange(b.num_rows), [len(f) for f in first]))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[np.concatenate(first)]), b.column(0).take(take), *[pa.array(words[:, k]).take(take) for k in range(CHECKED // 64)], sets.take(take)],
+                                             ["bucket", "id", "f0", "f1", "f2", "f3", "short"])
+
+    return run
+
+
+def _similar(codes: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, similarity) -> np.ndarray:
+    """Whether the sets i and j are similar enough, pair by pair; exact. codes: a row of distinct numbers a set, filled up with -1."""
+    out = np.empty(len(i), bool)
+    for s in range(0, len(i), PAIRS):
+        e = slice(s, s + PAIRS)
+        both = np.sort(np.concatenate([codes[i[e]], codes[j[e]]], 1), axis=1)
+        same = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)).sum(1)
+        out[e] = same * similarity[1] >= (size[i[e]] + size[j[e]] - same) * similarity[0]
+    return out
 
 
-def _near(distance: int):
-    """Over rows sorted by bucket and pair of parts: a forest of the pairs within the distance."""
+def _near(distance: int, similarity=None):
+    """Over rows sorted by bucket and pair of parts: a forest of the pairs within the distance; with a similarity, of those whose
+    sets (the ninth column) have it."""
     def forest(rows):
-        key, ids, prints = rows
+        key, ids, prints, *sets = rows
         n = key.shape[1]
+        if sets:
+            wide, size = sets
+            codes = np.where(np.arange(SHORT) < size[:, None], np.unique(wide, return_inverse=True)[1].reshape(wide.shape), -1).astype(np.int32)
         starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
         ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
         names, who = np.unique(ids, return_inverse=True)
@@ -191,10 +224,15 @@ def _near(distance: int):
             if not len(at):
                 break
             near = at[root[who[at]] != root[who[at + step]]]  # pairs that are linked already need no comparison
+            if sets:
+                least, most = np.minimum(size[near], size[near + step]), np.maximum(size[near], size[near + step])
+                near = near[least * similarity[1] >= most * similarity[0]]
             far = np.zeros(len(near), np.int64)
             for k in range(len(prints)):
                 far = far + np.bitwise_count(prints[k][near] ^ prints[k][near + step])
                 near, far = near[far <= distance], far[far <= distance]
+            if sets:
+                near = near[_similar(codes, size, near, near + step, similarity)]
             if len(near):
                 parent: dict[int, int] = {}
 
@@ -222,12 +260,16 @@ def _near(distance: int):
                 continue
             key = np.stack([b.column(k).to_numpy() for k in range(3)])
             now = [key, b.column(3).to_numpy(), np.stack([b.column(k).to_numpy().view(np.uint64) for k in range(4, 8)])]
+            if similarity:
+                wide, owner = np.zeros((b.num_rows, SHORT), np.int64), pc.list_parent_indices(b.column(8)).to_numpy()
+                wide[owner, np.arange(len(owner)) - np.searchsorted(owner, owner)] = pc.list_flatten(b.column(8)).to_numpy()
+                now += [wide, pc.list_value_length(b.column(8)).to_numpy().astype(np.int64)]
             if held is not None:
-                now = [np.concatenate([held[0], now[0]], 1), np.concatenate([held[1], now[1]]), np.concatenate([held[2], now[2]], 1)]
+                now = [np.concatenate(x, k) for x, k in zip(zip(held, now), (1, 0, 1, 0, 0))]
             cut = int(np.flatnonzero((now[0] == now[0][:, -1:]).all(0))[0])  # the last bucket may go on in the next batch
             if cut:
-                yield forest([now[0][:, :cut], now[1][:cut], now[2][:, :cut]])
-            held = [now[0][:, cut:], now[1][cut:], now[2][:, cut:]]
+                yield forest([now[0][:, :cut], now[1][:cut], now[2][:, :cut], *(x[:cut] for x in now[3:])])
+            held = [now[0][:, cut:], now[1][cut:], now[2][:, cut:], *(x[cut:] for x in now[3:])]
         if held is not None:
             yield forest(held)
 
@@ -261,38 +303,54 @@ def _split(rows: DataFrame, sample: DataFrame, prints: DataFrame, each: int, buc
     return divided(rows), divided(sample)
 
 
-def _compared(rows: DataFrame, sample: DataFrame, each: int, bucket: int, distance: int) -> DataFrame:
-    """(u, v): forests of the pairs of a bucket within the distance. A bucket of more than `bucket` rows is compared part by
+def _compared(rows: DataFrame, sample: DataFrame, each: int, bucket: int, distance: int, similarity=None) -> DataFrame:
+    """(u, v): forests of the pairs of a bucket that _near finds. A bucket of more than `bucket` rows is compared part by
     part, each pair of parts in a group of its own: the parts decide where pairs are compared, not which."""
+    columns = rows.columns[1:]
     parts = _large(sample, each, bucket).select("bucket", "n", F.ceil(F.col("n") / bucket).cast("int").alias("parts"))
     rows = lookup(rows, parts, "bucket", "n", F.xxhash64("id"), check=True).withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("long"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("a"), F.greatest(o, F.col("part")).alias("b")))
-    rows = rows.withColumn("pair", F.explode(pairs)).select("bucket", F.col("pair.a").alias("first"), F.col("pair.b").alias("second"), "id", "f0", "f1", "f2", "f3")
-    return rows.repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second").mapInArrow(tidied(_near(distance)), "u long, v long")
+    rows = rows.withColumn("pair", F.explode(pairs)).select("bucket", F.col("pair.a").alias("first"), F.col("pair.b").alias("second"), *columns)
+    return rows.repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second").mapInArrow(tidied(_near(distance, similarity)), "u long, v long")
 
 
 def candidate_edges(classes: DataFrame, tables: int = TABLES, bits: int = BITS, bucket: int = BUCKET, distance: int = DISTANCE) -> DataFrame:
     """(u, v): within every bucket, a forest of the pairs whose checked coordinates differ in at most `distance`.
 
-    classes: a table (id, print, first). Buckets of more than `bucket` rows get additional coordinates, one for each
+    classes: a table (id, print). Buckets of more than `bucket` rows get additional coordinates, one for each
     doubling, in as many repetitions as keep all but one in a hundred of the pairs at the similarity; so comparisons stay in
     proportion to rows. What is still oversized then (rows that agree on nearly all coordinates) is compared part by part.
-    Sets of at most SHORT shingles are in the buckets of the hashes of their prefix too: a pair of them that is similar enough
-    always shares one, and is checked at a distance it keeps but for one in 10^11; these buckets are only ever compared
-    part by part, so no pair is left out.
     """
     each = max(1, bucket // 256)
 
     def rows(df):
         return df.select("id", "print").mapInArrow(tidied(_tables(tables, bits)), _ROW)
 
-    def short(df):
-        return df.where("first is not null").select("id", "print", "first").mapInArrow(tidied(_short), _ROW)
-
     some = _sampled(classes, each)
-    long_rows = _split(rows(classes), rows(some), classes.select("id", "print"), each, bucket, tables, bits)
-    return _compared(*long_rows, each, bucket, distance).union(_compared(short(classes), short(some), each, bucket, max(distance, SHORT_DISTANCE)))
+    return _compared(*_split(rows(classes), rows(some), classes.select("id", "print"), each, bucket, tables, bits), each, bucket, distance)
+
+
+def short_links(classes: DataFrame, similarity=SIMILARITY, bucket: int = BUCKET, distance: int = SHORT_DISTANCE) -> DataFrame:
+    """(u, v): forests of the pairs of sets of at most SHORT shingles that are similar enough, exactly.
+
+    classes: a table (id, print, short). The sets are in the buckets of the hashes of their prefix, in an order that puts the
+    most frequent ones last (at most COMMON of them, the rest by hash): a pair that is similar enough shares one in any order.
+    It is checked at a distance that it keeps but for one in 10^11, then the sets are compared. Buckets are only ever
+    divided part by part, so no pair is left out; hashes of one set are no bucket.
+    """
+    each = max(1, bucket // 256)
+    sets = classes.where("short is not null").select("id", "print", "short")
+    often = materialize(sets.select(F.explode("short").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    common = often.where(F.col("n") > COMMON_SETS).orderBy(F.desc("n"), "h").limit(COMMON).select("h").collect()  # COMMON numbers
+    common = np.array([r[0] for r in reversed(common)], np.int64)
+    bits = bit_filter(often, F.col("h"), often.count())
+
+    def rows(df):
+        made = df.mapInArrow(tidied(_short(common, similarity)), _ROW + ", short array<long>")
+        return with_membership(made, bits, F.col("bucket"), "maybe").where("maybe").drop("maybe")
+
+    return _compared(rows(sets), rows(_sampled(sets, each)), each, bucket, distance, similarity)
 
 
 def linked(sets: list[np.ndarray], similarity=SIMILARITY) -> np.ndarray:
@@ -392,10 +450,10 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     columns of `carry` (expressions over the input row).
 
     Classes are the components of links: Jaccard of five-word shingle sets at least 0.8. Documents of equal shingle sets
-    are one class at once. The others' fingerprints (928 coordinates) go to 48 tables keyed by 14 coordinates of their own,
+    are one class at once. Fingerprints (928 coordinates) of sets of 52 shingles or more go to 48 tables keyed by 14 coordinates of their own,
     oversized buckets get additional ones; pairs in a bucket are checked on 256 other coordinates; the texts of candidate
-    components are compared exactly. Sets of at most 64 shingles also meet by common shingles (prefix filter), so that pairs
-    of them are missed with a probability below 10^-11. Of longer ones a link of similarity exactly 0.8 is a candidate with a
+    components are compared exactly. Sets of at most 64 shingles meet by common shingles (prefix filter, see short_links), so
+    that pairs of them are missed with a probability below 10^-11. Of longer ones a link of similarity exactly 0.8 is a candidate with a
     probability of about 0.994, of 0.85 of about 0.999; everything after is exact, and nothing is capped.
 
     Words are lower-cased runs of \\w; a text of fewer than five words is one shingle; a text without words (null and empty
@@ -409,14 +467,16 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base, back = unique_ids(base, nulls_first=False)
     extra = [f"__c_{k}" for k in names]
     kinds = {f.name: f.dataType.simpleString() for f in base.schema}
-    schema = ", ".join(["id long", *(f"`{c}` {kinds[c]}" for c in extra), "sig string, print binary, first array<long>"])
-    prints = materialize(base.select("id", "text", *extra).mapInArrow(tidied(_fingerprints(similarity, extra), forget), schema))
+    schema = ", ".join(["id long", *(f"`{c}` {kinds[c]}" for c in extra), "sig string, print binary, short array<long>"])
+    prints = materialize(base.select("id", "text", *extra).mapInArrow(tidied(_fingerprints(extra), forget), schema))
     classes = materialize(prints.where("sig is not null").groupBy("sig")
-                          .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("print").alias("print"), F.min("first").alias("first")))
-    edges = candidate_edges(classes.select("id", "print", "first"), tables, bits, bucket, distance)
+                          .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("print").alias("print"), F.min("short").alias("short")))
+    # a shorter set has no link with one of more than SHORT shingles; short_links finds all others of it
+    tabled = classes.where(F.col("short").isNull() | (F.size("short") * similarity[1] >= (SHORT + 1) * similarity[0]))
+    edges = candidate_edges(tabled.select("id", "print"), tables, bits, bucket, distance)
     members = materialize(connected_components(edges))
     kept = verified_edges(base.select("id", "text"), members, similarity, component)
-    roots = connected_components(kept)
+    roots = connected_components(kept.union(short_links(classes, similarity, bucket, max(distance, SHORT_DISTANCE))))
     table = (classes.select("sig", "id", "copies").join(roots.withColumnRenamed("node", "id").withColumnRenamed("component", "root"), "id", "left")
              .select("sig", "copies", F.coalesce("root", "id").alias("root")))
     sized = table.groupBy("root").agg(F.sum("copies").alias("class_size"))

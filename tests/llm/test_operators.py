@@ -605,6 +605,33 @@ def test_simhash_links_all_short_pairs(spark):
     assert got == {i: i - i % 2 for i, *_ in rows}
 
 
+def test_simhash_short_texts_with_a_common_line(spark, monkeypatch):
+    """A line that very many short texts share makes no candidate component of them: that was compared pair by pair, in all."""
+    rng = random.Random(23)
+    line = " ".join(f"license{k}" for k in range(16))
+    rows = []
+    for i in range(400):
+        own = [f"w{i}x{j}" for j in range(rng.randint(14, 30))]
+        for k in range(2 if i % 4 == 0 else 1):  # a near copy, or one that is not near enough
+            w = list(own)
+            if k:
+                w[0 if i % 8 else len(w) // 2] = "edit"
+            rows.append((2 * i + k, f"{line} {' '.join(w)}" if i % 3 else f"{' '.join(w)} {line}", "en", "a"))
+    rows += [(2000 + i, f"{line} {line}" + " tail" * (i % 2), "en", "a") for i in range(4)]
+    sets = {i: simhash.shingles(t) for i, t, *_ in rows}
+    assert max(map(len, sets.values())) <= simhash.SHORT
+    ids = np.array(sorted(sets))
+    want = dict(zip(ids.tolist(), ids.tolist())) | dict(simhash.spanning(ids, simhash.linked([sets[i] for i in ids])))
+    assert 10 < sum(i != c for i, c in want.items()) < 110
+    sizes = []
+    verified = simhash.verified_edges
+    monkeypatch.setattr(simhash, "verified_edges", lambda rows, members, *a: (sizes.extend(r["count"] for r in members.groupBy("component").count().collect()), verified(rows, members, *a))[1])
+    for kw in ({}, {"bucket": 7}):
+        got = {r["doc_id"]: r["class_id"] for r in simhash.simhash_dedup(table(spark, rows), **kw).collect()}
+        assert got == want
+    assert max(sizes, default=0) < 10
+
+
 def test_simhash_large_buckets_lose_no_pair(spark):
     rng = np.random.default_rng(4)
     prints = rng.integers(0, 2**64, (120, 4), dtype=np.uint64, endpoint=False)  # at a distance of about 128
