@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,20 +196,28 @@ def _anchors(buckets: int):
 
 
 _OUT = "id long, kind int, blob binary"
+_SPAN = np.dtype([("lo", "<u4"), ("hi", "<u4")])
+_REQUEST = np.dtype([("pos", "<u4"), ("gram", "<u8")])
 
 
-def _by_document(ids, kind: int, *arrays):
-    """Rows (id, kind, blob) with each document's entries together."""
+def _by_document(ids: np.ndarray, kind: int, of: np.dtype, *columns) -> pa.Table:
+    """Rows (id, kind, blob) with each document's records together. With many buckets nearly every record is a row of its own, so
+    nothing is done row by row."""
     order = np.argsort(ids, kind="stable")
-    ids, arrays = ids[order], [a[order] for a in arrays]
+    ids, records = ids[order], np.empty(len(ids), of)
+    for name, c in zip(of.names, columns):
+        records[name] = c[order]
     starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, int)
-    ends = np.r_[starts[1:], len(ids)]
-    return [int(ids[s]) for s in starts], [kind] * len(starts), [_pack(*[a[s:e] for a in arrays]) for s, e in zip(starts, ends)]
+    offsets = (np.r_[starts, len(ids)] * of.itemsize).astype(np.int64)
+    blobs = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(records.view(np.uint8))])
+    return pa.table([pa.array(ids[starts].astype(np.int64)), pa.array(np.full(len(starts), kind, np.int32)), blobs.cast(pa.binary())], names=["id", "kind", "blob"])
 
 
-def _table(parts) -> pa.Table:
-    ids, kinds, blobs = ([x for p in parts for x in p[k]] for k in range(3))
-    return pa.table([pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["id", "kind", "blob"])
+def _records(blobs: pa.Array, of: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All records of blobs made by _by_document, and how many each blob has."""
+    blobs = blobs.cast(pa.large_binary())
+    offs = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset: blobs.offset + len(blobs) + 1]
+    return np.frombuffer(blobs.buffers()[2], of, (offs[-1] - offs[0]) // of.itemsize, offs[0]), np.diff(offs) // of.itemsize
 
 
 def _group(t: pa.Table, hot: int = HOT) -> pa.Table:
@@ -227,7 +236,7 @@ def _group(t: pa.Table, hot: int = HOT) -> pa.Table:
     start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
     size = np.repeat(np.diff(np.r_[start, len(h)]), np.diff(np.r_[start, len(h)]))
     wanted = [(1, (size > 1) & (size <= hot)), (2, size > max(hot, 1))]
-    return _table([_by_document(cid, 0, clo, chi), *[_by_document(ids[x], kind, pos[x].astype("<u4"), h[x].astype("<u8")) for kind, x in wanted]])
+    return pa.concat_tables([_by_document(cid, 0, _SPAN, clo, chi), *[_by_document(ids[x], kind, _REQUEST, pos[x], h[x]) for kind, x in wanted]])
 
 
 _CONTEXT = ("<i8", "<u4", "<u1", "<u1", "<u8", "<u1")
@@ -241,17 +250,16 @@ def _contexts(buckets: int):
             ids = b.column(0).to_numpy()
             data, offs = _text_bytes(b.column(1))
             data = np.concatenate([np.zeros(_WIDE, np.uint8), data, np.zeros(_WIDE, np.uint8)])
-            asked = {1: ([], [], []), 2: ([], [], [])}
-            for k, requests in enumerate(b.column(2).to_pylist()):
-                for r in requests:
-                    p, g = _unpack(r["blob"], ("<u4", "<u8"))
-                    for into, v in zip(asked[r["kind"]], (np.full(len(p), k), p.astype(np.int64), g)):
-                        into.append(v)
+            owner = pc.list_parent_indices(b.column(2)).to_numpy()
+            kinds, requests = pc.list_flatten(b.column(2)).flatten()
+            kinds = kinds.to_numpy()
             rows, blobs = [], []
-            for kind, (docs, poss, grams) in asked.items():
-                if not docs:
+            for kind in (1, 2):
+                mine = np.flatnonzero(kinds == kind)
+                if not len(mine):
                     continue
-                doc, pos, gram = np.concatenate(docs), np.concatenate(poss), np.concatenate(grams)
+                found, n = _records(requests.take(pa.array(mine)), _REQUEST)
+                doc, pos, gram = np.repeat(owner[mine], n), found["pos"].astype(np.int64), found["gram"].astype(np.uint64)
                 left, right = np.minimum(pos, REACH), np.minimum(offs[doc + 1] - offs[doc] - pos, LENGTH)
 
                 def bytes_about(s, doc=doc, pos=pos, left=left, right=right):
@@ -334,7 +342,7 @@ def _first_passages(t: pa.Table) -> pa.Table:
     if len(h):
         again &= ~np.r_[False, (ids[1:] == ids[:-1]) & (start[1:] == start[:-1])]
     ids, start = ids[again], start[again]
-    return _table([_by_document(np.concatenate([cid, ids]), 0, np.concatenate([lo, start]).astype("<u4"), np.concatenate([hi, start.astype(np.int64) + LENGTH]).astype("<u4"))])
+    return _by_document(np.concatenate([cid, ids]), 0, _SPAN, np.concatenate([lo, start]), np.concatenate([hi, start.astype(np.int64) + LENGTH]))
 
 
 def suffix_sort(group: np.ndarray, rows: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -466,7 +474,7 @@ def _compare(t: pa.Table) -> pa.Table:
         spans.append((ids[at][o][hit], p - high[hit], p - low[hit] + LENGTH))
         s = e
     i, lo, hi = (np.concatenate([x[k] for x in spans]) for k in range(3))
-    return _table([_by_document(i, 0, lo.astype("<u4"), hi.astype("<u4"))])
+    return _by_document(i, 0, _SPAN, lo, hi)
 
 
 def _cut(with_text: bool):
@@ -481,7 +489,8 @@ def _cut(with_text: bool):
                 raw = data[offs[k]: offs[k + 1]].tobytes()
                 at, left, removed, spans = 0, [], 0, 0
                 if blobs:
-                    lo, hi = (np.concatenate(x).astype(np.int64) for x in zip(*[_unpack(x, ("<u4", "<u4")) for x in blobs]))
+                    found = np.frombuffer(b"".join(blobs), _SPAN)
+                    lo, hi = found["lo"].astype(np.int64), found["hi"].astype(np.int64)
                     o = np.argsort(lo, kind="stable")
                     lo, top = lo[o], np.maximum.accumulate(hi[o])
                     new = np.flatnonzero(np.r_[True, lo[1:] > top[:-1]])

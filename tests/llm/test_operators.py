@@ -409,6 +409,23 @@ def test_suffix_dedup_when_hashes_collide(monkeypatch, collide):
         assert suffix_dedup_here(rows, 5, hot) == want
 
 
+def test_suffix_dedup_makes_no_row_by_itself(monkeypatch):
+    """With many buckets nearly every anchor is a row of its own, and each was packed by itself."""
+    rng = np.random.default_rng(8)
+    n = 4000
+    ids, pos, gram = rng.permutation(n), rng.integers(0, 2**32, n, dtype=np.uint32), np.repeat(rng.integers(0, 2**64, n // 2, dtype=np.uint64, endpoint=False), 2)
+    none = np.zeros(0, "<u4")
+    blob = suffix_dedup._pack(ids.astype("<i8"), np.arange(n).astype("<u4"), pos, gram, none, none, none)
+    t = pa.table({"bucket": pa.array([0], pa.int32()), "blob": pa.array([blob], pa.binary())})
+    packed = []
+    monkeypatch.setattr(suffix_dedup, "_pack", lambda *a: packed.append(1))
+    out = suffix_dedup._group(t)
+    assert out.num_rows == n and out["kind"].to_pylist() == [1] * n and not packed
+    found, each = suffix_dedup._records(out["blob"].combine_chunks(), suffix_dedup._REQUEST)
+    assert (each == 1).all() and out["id"].to_pylist() == list(range(n))
+    assert found["pos"].tolist() == pos[np.argsort(ids)].tolist() and found["gram"].tolist() == gram[np.argsort(ids)].tolist()
+
+
 def test_suffix_dedup_of_repeated_and_null_ids(spark):
     rng = random.Random(8)
     t = prose(rng, 60)
