@@ -28,7 +28,21 @@ COMPONENT = 500  # texts of a candidate component that one task holds from eithe
 _WORD = re.compile(r"\w+")
 _KEYS = np.random.default_rng(77).integers(1, 2**63, (SAMPLED + CHECKED) // 64, dtype=np.uint64)
 _STEPS = np.random.default_rng(78).integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
-_HASHES: dict[str, bytes] = {}
+
+
+class _Hashes(dict):
+    """The hashes of words, as bytes; a full one begins anew."""
+
+    def __missing__(self, word: str) -> bytes:
+        import xxhash
+
+        if len(self) > 100_000:
+            self.clear()
+        got = self[word] = xxhash.xxh3_64_digest(word)
+        return got
+
+
+_HASHES = _Hashes()
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -39,25 +53,16 @@ def _mix(z: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's runs of `size` words, in lower case; of fewer words, one for all."""
-    import xxhash
-
     words = _WORD.findall((text or "").lower())
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_HASHES) > 100_000:
-        _HASHES.clear()
-    data = []
-    for w in words:
-        h = _HASHES.get(w)
-        if h is None:
-            h = _HASHES[w] = xxhash.xxh3_64_digest(w)
-        data.append(h)
-    x = np.frombuffer(b"".join(data), np.uint64)
+    x = np.frombuffer(b"".join(map(_HASHES.__getitem__, words)), np.uint64)
     n = max(1, len(x) - size + 1)
     h = np.full(n, len(x) if len(x) < size else size, np.uint64)
     for k in range(min(size, len(x))):
         h += x[k: k + n] * _STEPS[k]
-    return np.unique(_mix(h))
+    h = np.sort(_mix(h))
+    return h[np.r_[True, h[1:] != h[:-1]]]
 
 
 def forget() -> None:
@@ -211,28 +216,36 @@ def _near(distance: int, similarity=None):
     def forest(rows):
         key, ids, prints, *sets = rows
         n = key.shape[1]
-        if sets:
-            wide, size = sets
-            codes = np.where(np.arange(SHORT) < size[:, None], np.unique(wide, return_inverse=True)[1].reshape(wide.shape), -1).astype(np.int32)
         starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
-        ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
+        size = np.diff(np.r_[starts, n])
+        # the largest buckets first: rows that are `step` apart are then compared without being gathered, in the rows of buckets that have any
+        larger = np.argsort(-size, kind="stable")
+        order = np.argsort(np.repeat(-size, size), kind="stable")
+        size = size[larger]
+        ends = np.repeat(np.cumsum(size), size)
+        upto = np.r_[0, np.cumsum(size)]
+        ids, prints = ids[order], np.ascontiguousarray(prints[:, order])
+        ahead = len(prints) - (distance <= DISTANCE)  # words told of all pairs; few random ones are within a small distance even without the last
+        if sets:
+            wide, size_of = (x[order] for x in sets)
+            codes = np.where(np.arange(SHORT) < size_of[:, None], np.unique(wide, return_inverse=True)[1].reshape(wide.shape), -1).astype(np.int32)
         names, who = np.unique(ids, return_inverse=True)
         root = np.arange(len(names))
-        at, step = np.arange(n), 1
-        while True:
-            at = at[at + step < ends[at]]
-            if not len(at):
-                break
-            near = at[root[who[at]] != root[who[at + step]]]  # pairs that are linked already need no comparison
+        for step in range(1, int(size[0])):
+            top = int(upto[np.searchsorted(-size, -step)])  # rows of buckets of more than `step`
+            far = np.bitwise_count(prints[0, : top - step] ^ prints[0, step:top]).astype(np.uint16)
+            for k in range(1, ahead):
+                far += np.bitwise_count(prints[k, : top - step] ^ prints[k, step:top])
+            near = np.flatnonzero(far <= distance)
+            near = near[near + step < ends[near]]
+            near = near[root[who[near]] != root[who[near + step]]]  # pairs that are linked already need no comparison
             if sets:
-                least, most = np.minimum(size[near], size[near + step]), np.maximum(size[near], size[near + step])
+                least, most = np.minimum(size_of[near], size_of[near + step]), np.maximum(size_of[near], size_of[near + step])
                 near = near[least * similarity[1] >= most * similarity[0]]
-            far = np.zeros(len(near), np.int64)
-            for k in range(len(prints)):
-                far = far + np.bitwise_count(prints[k][near] ^ prints[k][near + step])
-                near, far = near[far <= distance], far[far <= distance]
+            if ahead < len(prints):
+                near = near[sum(np.bitwise_count(x[near] ^ x[near + step]).astype(np.int64) for x in prints) <= distance]
             if sets:
-                near = near[_similar(codes, size, near, near + step, similarity)]
+                near = near[_similar(codes, size_of, near, near + step, similarity)]
             if len(near):
                 parent: dict[int, int] = {}
 
@@ -249,7 +262,6 @@ def _near(distance: int, similarity=None):
                 to = np.arange(len(names))
                 to[list(parent)] = [find(x) for x in list(parent)]
                 root = to[root]
-            step += 1
         out = np.flatnonzero(root != np.arange(len(names)))
         return pa.RecordBatch.from_arrays([pa.array(names[out]), pa.array(names[root[out]])], ["u", "v"])
 

@@ -1,7 +1,8 @@
 """Operator 3: toxicity by classifier chains with out-of-fold links."""
 
+import itertools
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ FEATURES = 800  # kept for each category, see choose_features
 MIN_DOCS = 4  # labelled documents that a feature must occur in
 MOST = 0.05  # rate of a feature in a document beyond which it counts no more in choosing features
 FOLDS = 4
+WINDOW = 7  # characters of the longest beginning of a token that is a feature
+CHUNK, CHUNK_CHARS, TOKENS = 100, 1 << 19, 20_000  # texts and characters that are read together; distinct tokens that are looked up together
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]{2,}")
 
 
@@ -25,9 +28,18 @@ def features_of(token: str) -> set[str]:
     return {t, *(t[:n] for n in range(3, 8)), *(t[i: i + 5] for i in range(len(t) - 4))}
 
 
-def tokens(text: str | None) -> dict[str, int]:
-    """How often each token occurs: runs of letters and digits, and runs of two or more other marks."""
-    return Counter(_TOKEN.findall((text or "").lower()))
+def numbered(texts: list) -> tuple[list[np.ndarray], list[str]]:
+    """Each text's tokens, in order, as numbers, and the tokens that they stand for: runs of letters and digits, and runs of two or more other marks."""
+    number = _numbers()
+    ids = [np.array(list(map(number.__getitem__, _TOKEN.findall((x or "").lower()))), np.int64) for x in texts]
+    return ids, list(number)
+
+
+def _numbers() -> defaultdict:
+    """Numbers what it is asked for, from 0."""
+    out: defaultdict = defaultdict()
+    out.default_factory = out.__len__
+    return out
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str, text_col: str, max_rows: int) -> DataFrame:
@@ -54,20 +66,26 @@ def choose_features(sample: DataFrame, categories: list[str], k: int, min_docs:
     cats = len(categories)
 
     def run(batches):
-        seen: dict[str, list[float]] = defaultdict(lambda: [0.0] * (cats + 2))
+        number, seen = _numbers(), np.zeros((cats + 2, 1))
         for b in batches:
-            ys = list(zip(*[b.column(i + 1).to_pylist() for i in range(cats)]))
-            for text, y in zip(b.column(0), ys):
-                for f, rate in rates(text.as_py(), features_of).items():
-                    rate = min(rate, MOST)
-                    c = seen[f]
-                    c[0] += 1
-                    c[1] += rate
-                    for i, v in enumerate(y):
-                        if v:
-                            c[i + 2] += rate
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *[pa.array([c[i] for c in seen.values()], pa.float64()) for i in range(cats + 2)]],
-                                         ["f", "n", "r", *[f"r_{c}" for c in categories]])
+            ys = [b.column(i + 1).to_numpy() != 0 for i in range(cats)]
+            for s in range(0, b.num_rows, CHUNK):
+                texts = b.column(0).slice(s, CHUNK).to_pylist()
+                e = s + len(texts)
+                ids, names = numbered(texts)
+                of = [list(map(number.__getitem__, features_of(t))) for t in names]
+                size, flat = np.array([len(x) for x in of], np.int64), np.array(list(itertools.chain.from_iterable(of)), np.int64)
+                text, at = _spread(ids, np.cumsum(size) - size, size)
+                d = max(len(number), 1)
+                got, n = np.unique(text * d + flat[at], return_counts=True)
+                text, f = got // d, got % d
+                rate = np.minimum(n / np.array([len(x) for x in ids], np.int64)[text], MOST)
+                if d > seen.shape[1]:
+                    seen = np.pad(seen, ((0, 0), (0, d + d // 4 - seen.shape[1])))
+                for k, weight in enumerate([None, rate, *(rate * y[s:e][text] for y in ys)]):
+                    seen[k, :d] += np.bincount(f, weight, d)
+        names = list(number)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array(x[: len(names)], pa.float64()) for x in seen]], ["f", "n", "r", *[f"r_{c}" for c in categories]])
 
     sums = ["n", "r", *[f"r_{c}" for c in categories]]
     counts = (sample.select("text", *[f"y_{c}" for c in categories]).mapInArrow(tidied(run), "f string, " + ", ".join(f"{c} double" for c in sums))
@@ -84,15 +102,12 @@ def choose_features(sample: DataFrame, categories: list[str], k: int, min_docs:
     return sorted(out)
 
 
-def rates(text, of) -> dict:
-    """Occurrences, over the text's tokens, of what `of` names for each token."""
-    count = tokens(text)
-    got: dict = defaultdict(int)
-    for t, n in count.items():
-        for f in of(t):
-            got[f] += n
-    every = sum(count.values())
-    return {f: n / every for f, n in got.items()}
+def _spread(ids: list[np.ndarray], first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text's number, position) of all that the texts' tokens stand for: token k for the positions first[k] to first[k] + count[k]."""
+    flat, every = np.concatenate([*ids, np.zeros(0, np.int64)]), np.array([len(x) for x in ids], np.int64)
+    n = count[flat]
+    text = np.repeat(np.repeat(np.arange(len(ids)), every), n)
+    return text, np.repeat(first[flat] - np.cumsum(n) + n, n) + np.arange(len(text))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, use: np.ndarray | None = None, l2: float = 2e-5, rounds: int = 400) -> np.ndarray:
@@ -155,35 +170,109 @@ def fit_chain(x: np.ndarray, ys: list[np.ndarray], folds: int = FOLDS) -> list[n
 
 
 class Chain:
-    """A fitted chain: the features' places and the weights; a few hundred kB whatever the corpus."""
+    """A fitted chain: the features' places and the weights; a few hundred kB whatever the corpus.
+
+    Texts are taken a chunk at a time: each distinct token of a chunk is looked up once, all together. Whole tokens are looked up
+    as strings, their beginnings and 5-grams by a hash of the characters, and what the hash finds is compared character by character.
+    """
 
     def __init__(self, names, features, weights):
         self.names, self.weights = names, weights
         self.index = {f: i for i, f in enumerate(features)}
-        self.cache: dict[str, tuple] = {}
-
-    def places(self, token: str) -> tuple:
-        got = self.cache.get(token)
-        if got is None:
-            if len(self.cache) > 100_000:
-                self.cache.clear()
-            got = tuple(i for f in features_of(token) if (i := self.index.get(f)) is not None)
-            if len(token) < 64:
-                self.cache[token] = got
-        return got
-
-    def row(self, text) -> tuple[list[int], list[float]]:
-        """(places, values) of a text's features: five times the root of their rates."""
-        got = sorted(rates(text, self.places).items())
-        return [i for i, _ in got], [5 * r ** 0.5 for _, r in got]
-
-    def predict(self, text) -> list[float]:
-        at, value = self.row(text)
-        d, p, value = len(self.index), [], np.array(value)
-        for w in self.weights:
-            z = float((w[at] * value).sum()) + float(w[-1]) + sum(float(w[d + j]) * v for j, v in enumerate(p))
-            p.append(1.0 / (1.0 + float(np.exp(-max(-60.0, min(60.0, z))))))
-        return p
+        self.short = np.array([i for f, i in self.index.items() if len(f) <= WINDOW], np.int64)
+        self.codes = np.zeros((len(self.short), WINDOW), np.uint64)
+        for row, f in zip(self.codes, [f for f in self.index if len(f) <= WINDOW]):
+            row[: len(f)] = _codes(f)
+        for seed in itertools.count():
+            self.steps = np.random.default_rng([81, seed]).integers(1, 2**63, WINDOW, dtype=np.uint64) | np.uint64(1)
+            keys = self.codes @ self.steps
+            if len(np.unique(keys)) == len(keys):  # no two features share a hash
+                break
+        order = np.argsort(keys)
+        self.short, self.codes, self.keys = self.short[order], self.codes[order], keys[order]
+        self.filter = np.zeros(1 << 16, bool)
+        self.filter[keys >> np.uint64(48)] = True
+
+    def _found(self, codes: np.ndarray, at: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the windows of n characters from `at`, with hashes h: which are features, and their places."""
+        maybe = np.flatnonzero(self.filter[h >> np.uint64(48)])
+        row = np.searchsorted(self.keys, h[maybe])
+        same = row < len(self.keys)
+        maybe, row = maybe[same], row[same]
+        same = self.keys[row] == h[maybe]
+        maybe, row = maybe[same], row[same]
+        window = codes[at[maybe][:, None] + np.arange(WINDOW)]
+        window[:, n:] = 0
+        same = (window == self.codes[row]).all(1)
+        return maybe[same], self.short[row[same]]
+
+    def places(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(token's number, place) of every feature of every token (see features_of), in order of both."""
+        marked, get = [f"^{t}$" for t in tokens], self.index.get
+        whole = np.array([get(t, -1) for t in marked], np.int64)
+        size = np.fromiter(map(len, marked), np.int64, len(marked))
+        start = np.cumsum(size) - size
+        codes = np.append(_codes("".join(marked)), np.zeros(WINDOW, np.uint64))
+        owners, places = [np.flatnonzero(whole >= 0)], [whole[whole >= 0]]
+        h = codes[start] * self.steps[0] + codes[start + 1] * self.steps[1] if len(start) else np.zeros(0, np.uint64)
+        for n in range(3, WINDOW + 1):  # beginnings; one that is the whole token is counted above
+            h = h + codes[start + n - 1] * self.steps[n - 1]
+            longer = np.flatnonzero(size > n)
+            which, place = self._found(codes, start[longer], h[longer], n)
+            owners.append(longer[which])
+            places.append(place)
+        h = sum((codes[k: len(codes) - WINDOW + k] * self.steps[k] for k in range(5)), np.zeros(len(codes) - WINDOW, np.uint64))
+        at, place = self._found(codes, np.arange(len(h)), h, 5)
+        owner = np.searchsorted(start, at, "right") - 1
+        inside = at + 5 <= (start + size)[owner]
+        owners.append(owner[inside])
+        places.append(place[inside])
+        d = max(len(self.index), 1)
+        both = np.sort(np.concatenate(owners) * d + np.concatenate(places))
+        both = both[np.diff(both, prepend=-1) > 0]
+        return both // d, both % d
+
+    def rows(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text's number, place, value) of the features of all texts, in order: five times the root of their rates."""
+        ids, names = numbered(texts)
+        found = [self.places(names[k: k + TOKENS]) for k in range(0, len(names), TOKENS)]
+        owner = np.concatenate([np.zeros(0, np.int64), *(o + k * TOKENS for k, (o, _) in enumerate(found))])
+        place = np.concatenate([np.zeros(0, np.int64), *(p for _, p in found)])
+        first, d = np.searchsorted(owner, np.arange(len(names) + 1)), max(len(self.index), 1)
+        text, at = _spread(ids, first[:-1], np.diff(first))
+        got = np.bincount(text * d + place[at], minlength=1)
+        some = np.flatnonzero(got)
+        text = some // d
+        return text, some % d, 5 * (got[some] / np.array([len(x) for x in ids])[text]) ** 0.5
+
+    def predict(self, texts: list) -> np.ndarray:
+        """A row of probabilities, in the categories' order, for every text."""
+        out = np.zeros((len(texts), len(self.weights)))
+        for s, e in _chunks(texts):
+            owner, place, value = self.rows(texts[s:e])
+            for i, w in enumerate(self.weights):
+                w = w.astype(np.float64)
+                z = np.bincount(owner, w[place] * value, minlength=e - s) + w[-1] + out[s:e, :i] @ w[len(self.index): len(self.index) + i]
+                out[s:e, i] = 1.0 / (1.0 + np.exp(-np.clip(z, -60.0, 60.0)))
+        return out
+
+
+def _codes(text: str) -> np.ndarray:
+    """The characters as numbers, from 1."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+
+def _chunks(texts: list):
+    """(first, end) of runs of at most CHUNK texts and, but for a longer text alone, CHUNK_CHARS characters."""
+    s = held = 0
+    for k, t in enumerate(texts):
+        n = len(t or "")
+        if k > s and (k - s >= CHUNK or held + n > CHUNK_CHARS):
+            yield s, k
+            s, held = k, 0
+        held += n
+    if s < len(texts):
+        yield s, len(texts)
 
 
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -200,8 +289,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
 
     def run(batches):
         for b in batches:
-            rows = [chain.row(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32())), *[b.column(i) for i in range(2, b.num_columns)]],
+            at, value = [], []
+            for s in range(0, b.num_rows, CHUNK):
+                texts = b.column(1).slice(s, CHUNK).to_pylist()
+                owner, place, v = chain.rows(texts)
+                cuts = np.searchsorted(owner, np.arange(1, len(texts)))
+                at += np.split(place.astype(np.int32), cuts)
+                value += np.split(v.astype(np.float32), cuts)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32())), *[b.column(i) for i in range(2, b.num_columns)]],
                                              ["id", "at", "value", *[f"y_{c}" for c in names]])
 
     got = (sample.select(F.col("id").cast("long").alias("id"), "text", *[f"y_{c}" for c in names])
@@ -215,7 +310,6 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
         for w in weights:
             w[-1] = -60  # nothing known: nothing is predicted
     chain.weights = weights
-    chain.cache.clear()
     return chain
 
 
@@ -227,9 +321,10 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", keep: list[str]
 
     def run(batches):
         for b in batches:
-            p = [chain.predict(t.as_py()) for t in b.column(b.num_columns - 1)]
+            texts = b.column(b.num_columns - 1)
+            p = np.concatenate([np.zeros((0, len(names))), *(chain.predict(texts.slice(s, CHUNK).to_pylist()) for s in range(0, b.num_rows, CHUNK))])
             cols = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, *[pa.array([r[i] for r in p], pa.float64()) for i in range(len(names))]], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(np.ascontiguousarray(p[:, i])) for i in range(len(names))]], [*keep, *names])
 
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}

@@ -311,6 +311,30 @@ def test_toxicity_against_brute_force(spark):
         assert got[i] == pytest.approx(tuple(p), abs=1e-3)
 
 
+def test_toxicity_looks_tokens_up_together(monkeypatch):
+    """Scoring makes no strings of a token's parts, whatever the token; it finds what features_of names."""
+    rng = random.Random(23)
+    texts = [None, "", "^^ $$ ^$ \0\0 a \0\0\0", "a" * 15 + " aaaaa", "İstanbul ß_ß 𝒳𝒳𝒳", "-" * 3000, "ab abc abcd abcde abcdef abcdefg abcdefgh"]
+    texts += ["".join(rng.choice("abß^$-_ \0") for _ in range(rng.randint(1, 200))) for _ in range(450)]
+    found = [re.findall(r"[^\W_]+|[^\w\s]{2,}", (t or "").lower()) for t in texts]
+    names = sorted({f for x in found for t in x for f in toxicity.features_of(t)})[::3]
+    w = [np.random.default_rng(24).normal(size=len(names) + 1 + i).astype(np.float32) for i in range(2)]
+    want, values = [], []
+    for x in found:
+        count = Counter(f for t in x for f in toxicity.features_of(t))
+        row = np.array([5 * (count[f] / max(len(x), 1)) ** 0.5 for f in names])
+        p = 1 / (1 + np.exp(-(row @ w[0][:-1] + w[0][-1])))
+        want.append([p, 1 / (1 + np.exp(-(row @ w[1][:-2] + p * w[1][-2] + w[1][-1])))])
+        values += [(len(want) - 1, k, v) for k, v in enumerate(row) if v]
+    chain = toxicity.Chain(["a", "b"], names, w)
+    monkeypatch.setattr(toxicity, "features_of", None)
+    assert chain.predict(texts) == pytest.approx(np.array(want), abs=1e-9)
+    assert np.array(list(zip(*chain.rows(texts)))) == pytest.approx(np.array(values), abs=1e-12)
+    monkeypatch.setattr(toxicity, "TOKENS", 7)
+    monkeypatch.setattr(toxicity, "CHUNK_CHARS", 500)
+    assert chain.predict(texts) == pytest.approx(np.array(want), abs=1e-9)
+
+
 def test_toxicity_of_held_out_documents(spark):
     """At sf0.1 half of the labels teach, the others are told."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
@@ -664,6 +688,25 @@ def test_simhash_large_buckets_lose_no_pair(spark):
         assert {r["node"]: r["component"] for r in found.collect()} == {2 * i + k: 2 * i for i in range(120) for k in (0, 1)}
 
 
+@pytest.mark.parametrize("distance", [64, 96, 250])
+def test_simhash_pairs_of_buckets_of_all_sizes(distance):
+    """Against all pairs; some prints are each other's opposites, and batches end within buckets."""
+    rng = np.random.default_rng(26)
+    key = np.sort(rng.choice([*[1] * 60, *[2] * 9, *range(3, 60)], 500))
+    bits = rng.integers(0, 2, (500, 256), np.uint8)
+    for k in range(0, 500, 2):  # a neighbour about the distance, or all bits away
+        bits[k + 1] = bits[k] ^ 1 if k % 20 == 0 else bits[k] ^ (rng.permutation(256) < distance + rng.integers(-2, 3))
+    ids, words = rng.permutation(500), np.packbits(bits, axis=1).view(np.int64).T
+    far = (bits[:, None] != bits[None]).sum(2)
+    near = (key[:, None] == key[None]) & (far <= distance)
+    want = simhash.spanning(ids, near)
+    zero = np.zeros(500, np.int64)
+    cols = [pa.array(np.ascontiguousarray(x)) for x in (key, zero, zero, ids, *words)]
+    batches = [pa.RecordBatch.from_arrays([x.slice(s, 90) for x in cols], list("abcdefgh")) for s in range(0, 500, 90)]
+    got = [tuple(e) for b in simhash._near(distance)(batches) for e in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert sorted(got) == sorted(want) and len(want) > 100
+
+
 def test_simhash_counts_majorities():
     rng = np.random.default_rng(1)
     s = rng.integers(1, 2**62, 9000, dtype=np.uint64)
