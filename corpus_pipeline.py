@@ -54,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the mixed documents and their places in sequences of 2048 tokens."""
-    return _packing.pack_documents(docs)
+    return _packing.pack_documents(docs, together=1_000_000)  # the workers still hold memory of the stages before
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("simhash_dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack)]

@@ -791,6 +791,35 @@ def test_encoder_equals_the_tokenizer():
     assert np.frombuffer(packing.Encoder(packing.default_tokenizer())("hello <|endoftext|>world"), "<u4").tolist() == [3306, 49407, 1002]
 
 
+def test_encoder_runs_the_merges_once_for_a_word_of_many_texts(monkeypatch):
+    """Of more different words than the cache holds, each was merged again in every text."""
+    monkeypatch.setattr(packing, "_CACHE", 20)
+    words = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}zq" for i in range(600)]
+    texts = [" ".join(w + end for w in words) for end in ("", ",", "...", " 7", "\n")] * 3
+    enc, tok, merged = packing.Encoder(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer()), []
+    run = enc._merged
+    monkeypatch.setattr(enc, "_merged", lambda some: merged.extend(some) or run(some))
+    got = [np.frombuffer(x, "<u4").tolist() for x in enc.many(texts)]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(merged) == sorted([*words, ",", "...", "7"])
+    assert len(enc.known) <= 40
+
+
+@pytest.mark.parametrize("together", [1, 100, 10**6])
+def test_encoder_of_many_texts_equals_the_tokenizer(together, monkeypatch):
+    monkeypatch.setattr(packing, "_CACHE", 10)
+    plain = [c for c in map(chr, [*range(9, 14), *range(32, 0x2100)]) if not packing._EXOTIC.match(c)]
+    rng = np.random.default_rng(9)
+    texts = ["", None, " ", "\x0b\n", "日本 x", "a<|endoftext|>b", "</w> a</w>b", *(f"a{c}b '{c} {c}1{c}{c}," for c in plain)]
+    texts += ["".join(rng.choice([*plain, *"  'sstREvelLd1.,"], 30)) for _ in range(300)]
+    enc, tok = packing.Encoder(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.many(iter(texts), together)] == want
+        enc.last[:], enc.known = False, {"\n": b""}  # as for a vocabulary that does not tell where words end
+    assert list(enc.many([])) == []
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_respects_every_capacity(rule):
     rng = np.random.default_rng(3)
