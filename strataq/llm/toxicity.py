@@ -36,10 +36,8 @@ def numbered(texts: list) -> tuple[list[np.ndarray], list[str]]:
 
 
 def _numbers() -> defaultdict:
-    """Numbers what it is asked for, from 0."""
-    out: defaultdict = defaultdict()
-    out.default_factory = out.__len__
-    return out
+    """Numbers what it is asked for, from 0. It must not refer to itself: it would stay, with all tokens, until the collector comes."""
+    return defaultdict(itertools.count().__next__)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str, text_col: str, max_rows: int) -> DataFrame:

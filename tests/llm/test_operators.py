@@ -335,6 +335,23 @@ def test_toxicity_looks_tokens_up_together(monkeypatch):
     assert chain.predict(texts) == pytest.approx(np.array(want), abs=1e-9)
 
 
+def test_toxicity_leaves_no_tokens_to_the_collector():
+    import gc
+
+    chain = toxicity.Chain(["toxic"], ["^ab", "words"], [np.array([1, 2, 0], np.float32)])
+    texts = [f"absent words {k} -- {k}" for k in range(500)]
+    chain.predict(texts)
+    gc.collect()
+    gc.disable()
+    try:
+        ids, names = toxicity.numbered(["b a b", None, "c a"])
+        assert [x.tolist() for x in ids] == [[0, 1, 0], [], [2, 1]] and names == ["b", "a", "c"]
+        chain.predict(texts)
+        assert not gc.collect()
+    finally:
+        gc.enable()
+
+
 def test_toxicity_of_held_out_documents(spark):
     """At sf0.1 half of the labels teach, the others are told."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
