@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,8 +22,6 @@ class FullText:
     @classmethod
     def over(cls, members: dict[str, DataFrame], id_col: str, text_col: str, tokens=T.simple_tokens) -> FullText:
         """One logical source over several record types."""
-        from functools import reduce
-
         every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [d.withColumn("__type", F.lit(n)) for n, d in members.items()])
         return cls(every, id_col, text_col, tokens)
 
@@ -87,15 +87,13 @@ def count_of(tokens: Column, term: str) -> Column:
 def phrase(tokens: Column, terms: list[str], slop: int = 0) -> Column:
     """Consecutive terms, or, with slop, terms in order with at most `slop` others between them in all."""
     n = len(terms)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens) - n + 1))
     if slop == 0:
-        def at(i: Column) -> Column:
-            out = F.lit(True)
-            for k, t in enumerate(terms):
-                out = out & (F.get(tokens, i - 1 + k) == t)
-            return out
+        # the array is bound once as `ts`: named in a lambda, it would be made anew (the text taken apart) at every position
+        def within(ts: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ts) - n + 1))
+            return (F.size(ts) >= n) & F.exists(starts, lambda i: F.coalesce(reduce(lambda a, b: a & b, [F.get(ts, i - 1 + k) == t for k, t in enumerate(terms)], F.lit(True)), F.lit(False)))
 
-        return (F.size(tokens) >= n) & F.exists(starts, lambda i: F.coalesce(at(i), F.lit(False)))
+        return F.exists(F.array(tokens), within)
     import re
 
     gap = "(?:\u001f[^\u001f]+){0,%d}?" % slop
