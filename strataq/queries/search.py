@@ -22,7 +22,7 @@ def _ft(e):
 
 
 query("t1_tokens", f"SELECT doc_id, len(t) AS n, list_count(t) AS c, t[1] AS first, t[len(t)] AS last FROM {_DOC}")(
-    lambda e: _ft(e).tokens.select("doc_id", F.size("tokens").cast("long").alias("n"), F.size("tokens").cast("long").alias("c"), F.get("tokens", F.lit(0)).alias("first"), F.element_at("tokens", -1).alias("last")))
+    lambda e: _ft(e).tokens.select("doc_id", F.size("tokens").cast("long").alias("n"), F.size("tokens").cast("long").alias("c"), F.get("tokens", F.lit(0)).alias("first"), F.get("tokens", F.size("tokens") - 1).alias("last")))
 query("t1_postings", f"SELECT term, count(*) AS n, max(position) AS last FROM (SELECT unnest(t) AS term, unnest(range(len(t))) AS position FROM {_DOC}) GROUP BY term")(
     lambda e: _ft(e).postings().groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("position").cast("long").alias("last")))
 query("t2_stem", f"""SELECT s, count(*) AS n FROM (SELECT CASE WHEN ends_with(w, 'ing') AND length(w) > 5 THEN w[:-4] WHEN ends_with(w, 'ed') AND length(w) > 4 THEN w[:-3]

@@ -32,3 +32,7 @@ def test_a_phrase_takes_a_text_apart_once(spark):
     df = FullText(spark.createDataFrame([(1, "a b a b c"), (2, "b a c"), (3, None), (4, "")], "id int, t string"), "id", "t").search(["b", "c"], "phrase")
     assert [r["id"] for r in df.collect()] == [1]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_documents_without_tokens(spark, odd):
+    same(spark, odd, "t1_tokens")
