@@ -1,5 +1,8 @@
 """Tokenizers, filters and similarity as column expressions; pandas UDFs only where the JVM has nothing."""
 
+import unicodedata
+from functools import cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,6 +71,40 @@ def ascii_fold(text) -> Column:
     return s
 
 
+@cache
+def _accents() -> tuple[str, str]:
+    """Every character that changes by itself when it is decomposed and its marks are dropped, and what is left; marks alone (nothing left) last."""
+    pairs = []
+    for c in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
+        a = chr(c)
+        b = unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", a) if unicodedata.category(x)[0] != "M"))
+        if a != b:
+            pairs.append((a, b))
+    pairs.sort(key=lambda x: not x[1])
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_SYLLABLES = "".join(map(chr, range(0xAC00, 0xD7A4)))  # the blocks that Hangul letters compose to, 28 for each pair of a first and a second letter
+_LETTERS = "(?:[\\u1100-\\u1112][\\u1161-\\u1175][\\u11a7-\\u11c2]?|[\\uac00-\\ud7a3][\\u11a7-\\u11c2])"
+
+
+def _syllable(s: Column) -> Column:
+    """The block of two or three Hangul letters, or of a block of two and a letter; anything else as it is."""
+    at = lambda i: F.ascii(F.substring(s, i, 1))
+    last = lambda i: F.greatest(at(i) - 0x11A7, F.lit(0))
+    whole = lambda i: F.substring(F.lit(_SYLLABLES), i + 1, F.lit(1))
+    return (F.when(F.length(s) == 1, s).when(at(1) < 0x1200, whole(((at(1) - 0x1100) * 21 + at(2) - 0x1161) * 28 + last(3)))
+            .when((at(1) - 0xAC00) % 28 == 0, whole(at(1) - 0xAC00 + last(2))).otherwise(s))
+
+
+def strip_accents(text) -> Column:
+    """Drop the marks of all letters, which stay letters of their own: ß, æ, ø and ł have none. The result is composed (NFC)."""
+    def composed(s: Column) -> Column:
+        return F.when(s.rlike(_LETTERS), F.array_join(F.transform(F.regexp_extract_all(s, F.lit(f"(?s){_LETTERS}|."), F.lit(0)), _syllable), "")).otherwise(s)
+
+    return F.get(F.transform(F.array(F.translate(_c(text), *_accents())), composed), F.lit(0))
+
+
 # similarity
 def trigrams(text) -> Column:
     s = F.lower(_c(text))

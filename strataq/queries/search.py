@@ -70,7 +70,7 @@ query("t14_snowball")(lambda e: e.table("documents").select("doc_id", F.array_jo
 query("t15_highlight", "SELECT item_id, regexp_replace(text, '(?i)\\b(the|of)\\b', '<em>\\1</em>', 'g') AS h FROM benchmark")(lambda e: e.table("benchmark").select("item_id", T.highlight("text", ["the", "of"]).alias("h")))
 query("t15_fragments")(lambda e: e.table("benchmark").select("item_id", T.fragments("text", ["the"], 20, 2).alias("f")))
 query("t16_ascii_folding", "SELECT doc_id, strip_accents(lang || text) AS s FROM documents WHERE lang IN ('fr', 'es')")(
-    lambda e: e.table("documents").where(col("lang").isin("fr", "es")).select("doc_id", T.ascii_fold(F.concat("lang", "text")).alias("s")))
+    lambda e: e.table("documents").where(col("lang").isin("fr", "es")).select("doc_id", T.strip_accents(F.concat("lang", "text")).alias("s")))
 
 # ---- vectors
 _Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"

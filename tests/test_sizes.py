@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oracle_check import rows
+from strataq.functions import text as T
 from strataq.operators.search import FullText
 from strataq.queries import registry
 
@@ -36,3 +37,8 @@ def test_a_phrase_takes_a_text_apart_once(spark):
 
 def test_documents_without_tokens(spark, odd):
     same(spark, odd, "t1_tokens")
+
+
+def test_letters_without_marks_stay(spark, odd):
+    same(spark, odd, "t16_ascii_folding")
+    assert spark.range(1).select(T.strip_accents(F.lit("Straße Éa œ"))).first()[0] == "Straße Ea œ"
