@@ -1,6 +1,6 @@
 """Graph algorithms as loops of joins. edges: columns src, dst (and weight). Each round is cut to the shared folder.
 
-Edges are joined by src in every round and stay where Catalyst puts them; what loops is the frontier or the node table.
+Edges are read from their source once (Links) and stay where they are; what loops is the frontier or the node table.
 """
 
 from __future__ import annotations
@@ -9,7 +9,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.errors import UnsupportedQueryError
-from strataq.plans.lineage import Growing, cut
+from strataq.plans.lineage import Growing, bucket, cut
+
+FEW = 100_000  # rows that are sent to every task
+
+
+def few(df: DataFrame) -> bool:
+    return df.limit(FEW + 1).count() <= FEW
+
+
+class Links:
+    """Edges that loops join by one end, again and again. As long as few nodes ask, these are sent to all edges; from the first large
+    frontier on, the edges lie in buckets by the end that is asked for, and only the nodes that ask are shuffled."""
+
+    def __init__(self, edges: DataFrame):
+        self.source, self.spark, self.kind = edges, edges.sparkSession, edges.schema["src"].dataType
+        self.plain, self.buckets = None, {}
+
+    def frame(self) -> DataFrame:
+        """All edges, read from what was written."""
+        if self.plain is None:
+            self.plain = next(iter(self.buckets.values()), None)
+            if self.plain is None:
+                self.plain = cut(self.source)
+        return self.plain
+
+    def by(self, end: str) -> DataFrame:
+        if end not in self.buckets:
+            self.buckets[end] = bucket(self.source if self.plain is None else self.plain, end)
+        return self.buckets[end]
+
+    def join(self, front: DataFrame, end: str = "src") -> DataFrame:
+        """The edges whose `end` is in the frontier's column of that name."""
+        if end not in self.buckets and few(front):
+            return self.frame().join(F.broadcast(front), end)
+        return self.by(end).join(front.hint("shuffle_hash"), end)
+
+    def one(self, node) -> DataFrame:
+        return self.spark.createDataFrame([(node,)], ["id"]).select(F.col("id").cast(self.kind).alias("id"))
+
+
+def links(edges: DataFrame | Links) -> Links:
+    return edges if isinstance(edges, Links) else Links(edges)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -20,56 +61,64 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
 
 
-def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 1_000_000) -> DataFrame:
-    """(id, depth) of everything reachable from sources (column id). Each round joins the frontier only, and writes it once."""
+def bfs(edges: DataFrame | Links, sources: DataFrame, max_depth: int = 1_000_000, way: str = "out", until=None) -> DataFrame:
+    """(id, depth) of everything reachable from sources (column id), along edges (out), against them (in) or either way (any); with
+    `until`, no deeper than that node. Each round joins the frontier only, and writes it once."""
+    g = links(edges)
+    ends = {"out": [("src", "dst")], "in": [("dst", "src")], "any": [("src", "dst"), ("dst", "src")]}[way]
     seen = Growing(sources.select("id").distinct(), "depth")
     front = seen.last
     while seen.parts <= max_depth:
-        step = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
+        steps = [g.join(front.select(F.col("id").alias(a)), a).select(F.col(b).alias("id")) for a, b in ends]
+        step = (steps[0] if len(steps) == 1 else steps[0].union(steps[1])).distinct()
         front = seen.add(step.join(seen.all().select("id"), "id", "left_anti"))
-        if front.isEmpty():
+        if front.isEmpty() or until is not None and not front.where(F.col("id") == until).isEmpty():
             break
     return seen.all()
 
 
 def traverse(edges: DataFrame, source, max_depth: int = 3, max_nodes: int = 10_000) -> tuple[DataFrame, bool]:
     """Neighbours up to a depth, nearest first; whether the node limit left any out."""
-    spark = edges.sparkSession
-    out = bfs(edges, spark.createDataFrame([(source,)], ["id"]).select(F.col("id").cast(edges.schema["src"].dataType)), max_depth)
+    g = links(edges)
+    out = bfs(g, g.one(source), max_depth)
     return out.orderBy("depth", "id").limit(max_nodes), out.limit(max_nodes + 1).count() <= max_nodes
 
 
-def shortest_paths(edges: DataFrame, source, target, max_depth: int = 10, every: bool = False) -> DataFrame:
+def shortest_paths(edges: DataFrame | Links, source, target, max_depth: int = 10, every: bool = False) -> DataFrame:
     """(path): the least, or all, shortest paths from source to target. Levels first, then paths along them only."""
-    spark, kind = edges.sparkSession, edges.schema["src"].dataType
-    one = lambda v: spark.createDataFrame([(v,)], ["id"]).select(F.col("id").cast(kind).alias("id"))
-    levels = bfs(edges, one(source), max_depth)
+    g = links(edges)
+    levels = bfs(g, g.one(source), max_depth, until=target)
     hit = levels.where(F.col("id") == target).select("depth").first()
     if hit is None:
         return levels.select(F.array("id").alias("path")).limit(0)
     # back from the target along decreasing levels, so that only nodes on shortest paths are kept
-    on, steps = one(target), []
+    on, steps = g.one(target), []
     for d in range(hit[0] - 1, -1, -1):
-        prev = (edges.join(on.select(F.col("id").alias("dst")), "dst").join(levels.where(F.col("depth") == d).select(F.col("id").alias("src")), "src").select("src", "dst").distinct())
-        steps.append(cut(prev))
+        into = cut(g.join(on.select(F.col("id").alias("dst")), "dst").select("src", "dst").distinct())
+        steps.append(cut(_meet(levels.where(F.col("depth") == d).select(F.col("id").alias("src")), into, "src").select("src", "dst")))
         on = steps[-1].select(F.col("src").alias("id")).distinct()
-    paths = one(source).select(F.array("id").alias("path"), F.col("id").alias("end"))
+    paths = g.one(source).select(F.array("id").alias("path"), F.col("id").alias("end"))
     for s in reversed(steps):
         paths = paths.join(s, paths["end"] == s["src"]).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("end"))
     paths = paths.select("path").distinct()
     return paths if every else paths.orderBy("path").limit(1)
 
 
-def dijkstra(edges: DataFrame, source, max_rounds: int = 10_000) -> DataFrame:
+def _meet(rows: DataFrame, asked: DataFrame, on: str) -> DataFrame:
+    """An inner join whose second side, a cut table, is sent to all rows where it is short."""
+    return rows.join(F.broadcast(asked) if few(asked) else asked, on)
+
+
+def dijkstra(edges: DataFrame | Links, source, max_rounds: int = 10_000) -> DataFrame:
     """(id, distance) from a source: relaxation of the nodes that improved, until none does. Weights must be finite and not negative."""
-    bad = edges.where((F.col("weight") < 0) | F.isnan("weight") | F.col("weight").isNull() | (F.abs("weight") == float("inf")))
+    g = links(edges)
+    bad = g.frame().where((F.col("weight") < 0) | F.isnan("weight") | F.col("weight").isNull() | (F.abs("weight") == float("inf")))
     if not bad.isEmpty():
         raise UnsupportedQueryError("negative or non-finite weight")
-    spark, kind = edges.sparkSession, edges.schema["src"].dataType
-    best = cut(spark.createDataFrame([(source,)], ["id"]).select(F.col("id").cast(kind).alias("id"), F.lit(0.0).alias("distance")))
+    best = cut(g.one(source).select("id", F.lit(0.0).alias("distance")))
     front = best
     for _ in range(max_rounds):
-        reach = (front.join(edges, front["id"] == edges["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("weight")).alias("new")))
+        reach = g.join(front.select(F.col("id").alias("src"), "distance")).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("weight")).alias("new"))
         front = cut(reach.join(best, "id", "left").where(F.col("distance").isNull() | (F.col("new") < F.col("distance"))).select("id", F.col("new").alias("distance")))
         if front.isEmpty():
             return best
@@ -77,33 +126,45 @@ def dijkstra(edges: DataFrame, source, max_rounds: int = 10_000) -> DataFrame:
     raise UnsupportedQueryError("no convergence")
 
 
-def weighted_path(edges: DataFrame, source, target) -> DataFrame:
-    """(path, distance) of one least path: walk back along tight edges, smallest predecessor first."""
-    dist = cut(dijkstra(edges, source))
-    end = dist.where(F.col("id") == target)
-    d = dist.select(F.col("id").alias("src"), F.col("distance").alias("ds"))
-    t = dist.select(F.col("id").alias("dst"), F.col("distance").alias("dd"))
-    tight = cut(edges.join(d, "src").join(t, "dst").where(F.abs(F.col("ds") + F.col("weight") - F.col("dd")) <= 1e-9).where("ds < dd or weight = 0")
-                .groupBy("dst").agg(F.min("src").alias("prev")))
-    paths = end.select(F.array("id").alias("path"), F.col("id").alias("at"), "distance")
+def weighted_path(edges: DataFrame | Links, source, target) -> DataFrame:
+    """(path, distance) of one least path: walk back along tight edges, smallest predecessor first. Only edges into the path's end are looked at."""
+    g = links(edges)
+    dist = dijkstra(g, source)
+    paths = cut(dist.where(F.col("id") == target).select(F.array("id").alias("path"), F.col("id").alias("dst"), F.col("distance").alias("dd"), "distance"))
     for _ in range(10_000):
-        open_ = paths.where(F.col("at") != F.lit(source))
+        open_ = paths.where(F.col("dst") != F.lit(source))
         if open_.isEmpty():
             return paths.select("path", "distance")
-        step = open_.join(tight, open_["at"] == tight["dst"]).select(F.concat(F.array("prev"), "path").alias("path"), F.col("prev").alias("at"), "distance")
-        paths = cut(step.union(paths.where(F.col("at") == F.lit(source))))
+        into = cut(g.join(open_, "dst").select("src", "weight", "path", "dd", "distance"))
+        tight = _meet(dist.select(F.col("id").alias("src"), F.col("distance").alias("ds")), into, "src").where(F.abs(F.col("ds") + F.col("weight") - F.col("dd")) <= 1e-9).where("ds < dd or weight = 0")
+        prev = tight.groupBy("path", "distance").agg(F.min(F.struct("src", "ds")).alias("p"))
+        paths = cut(prev.select(F.concat(F.array("p.src"), "path").alias("path"), F.col("p.src").alias("dst"), F.col("p.ds").alias("dd"), "distance"))
     raise UnsupportedQueryError("path too long")
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """Transitive closure (src, dst), semi-naive: only new pairs are extended, and written once."""
-    e = edges.select("src", "dst").distinct()
-    total = Growing(e, "round")
-    new = total.last
-    while not new.isEmpty():
-        step = new.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst")).distinct()
-        new = total.add(step.join(total.all().select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst"))
-    return total.all().select("src", "dst")
+    """Transitive closure (src, dst), semi-naive: only new pairs are extended, and written once. Pairs lie in buckets by src, edges by dst, so
+    that of a round only what it proposes is shuffled."""
+    spark = edges.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = bucket(edges.select("src", "dst").distinct(), "dst")
+    total = [bucket(e, "src")]
+    back = e.select(F.col("src").alias("from"), F.col("dst").alias("src"))
+    key = "spark.sql.requireAllClusterKeysForCoPartition"  # pairs that lie by src meet where they are
+    old = spark.conf.get(key)
+    while not total[-1].isEmpty():
+        step = total[-1].join(back.hint("shuffle_hash"), "src").select(F.col("from").alias("src"), "dst").repartition(n, "src").distinct()
+        for t in total:
+            step = step.join(t, ["src", "dst"], "left_anti")
+        spark.conf.set(key, "false")
+        try:
+            total.append(bucket(step, "src"))
+        finally:
+            spark.conf.set(key, old)
+    out = total[0]
+    for t in total[1:-1]:
+        out = out.union(t)
+    return out
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, personal=None) -> DataFrame:
@@ -187,54 +248,51 @@ def condensation(edges: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").where("cs <> cd").select(F.col("cs").alias("src"), F.col("cd").alias("dst")).distinct()
 
 
-def topological_levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((id, level), cyclic nodes): peel nodes without open predecessors."""
-    rest, alive, levels = cut(edges.select("src", "dst").distinct()), cut(nodes(edges)), None
-    while True:
-        free = alive.join(rest.select(F.col("dst").alias("id")), "id", "left_anti")
-        if levels is None:
-            levels = Growing(free, "level")
-            free = levels.last
-        else:
-            free = levels.add(free)
-        if free.isEmpty():
-            return levels.all(), alive
-        alive = cut(alive.join(free, "id", "left_anti"), alive)
-        rest = cut(rest.join(free.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst"), rest)
+def _peel(edges: DataFrame | Links) -> tuple[DataFrame, DataFrame]:
+    """((id, distance, level), nodes left over): nodes are taken once all edges into them were, so every edge is followed once. level: edges, and distance:
+    weight, of the longest way from a node without predecessors. Left over are nodes on cycles and behind them."""
+    g = links(edges if isinstance(edges, Links) else edges.where("src is not null and dst is not null"))
+    weight = F.col("weight").cast("double") if "weight" in g.source.columns else F.lit(1.0)
+    waits = cut(g.by("src").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("open")).withColumn("distance", F.lit(None).cast("double")))
+    taken = Growing(g.by("src").select(F.col("src").alias("id")).distinct().join(waits.select("id"), "id", "left_anti").withColumn("distance", F.lit(0.0)), "level")
+    free, old = taken.last, waits
+    while not free.isEmpty():
+        into = g.join(free.select(F.col("id").alias("src"), "distance")).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("k"), F.max(F.col("distance") + weight).alias("far"))
+        old = cut(waits.join(into, "id", "left").select("id", (F.col("open") - F.coalesce("k", F.lit(0))).alias("open"), F.greatest("distance", "far").alias("distance")), old)
+        free, waits = taken.add(old.where("open = 0").select("id", "distance")), old.where("open > 0")
+    return taken.all(), waits.select("id")
+
+
+def topological_levels(edges: DataFrame | Links) -> tuple[DataFrame, DataFrame]:
+    """((id, level), nodes on cycles or behind them)."""
+    done, left = _peel(edges)
+    return done.select("id", "level"), left
 
 
 def critical_path(edges: DataFrame) -> DataFrame:
     """(id, distance): the longest way from any source; weights default to 1. Cyclic graphs are refused."""
-    if has_cycle(edges):
+    done, left = _peel(edges)
+    if not left.isEmpty():
         raise UnsupportedQueryError("cyclic")
-    e = edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1.0))
-    best = cut(nodes(edges).withColumn("distance", F.lit(0.0)))
-    front = best
-    while True:
-        reach = front.join(e, front["id"] == e["src"]).groupBy(F.col("dst").alias("id")).agg(F.max(F.col("distance") + F.col("weight")).alias("new"))
-        front = cut(reach.join(best, "id").where("new > distance").select("id", F.col("new").alias("distance")))
-        if front.isEmpty():
-            return best
-        best = cut(best.join(front.select("id"), "id", "left_anti").unionByName(front), best)
+    return done.select("id", "distance")
 
 
-def dependencies(edges: DataFrame, node) -> DataFrame:
+def dependencies(edges: DataFrame | Links, node, way: str = "out", until=None) -> DataFrame:
     """Everything that `node` reaches; dependents: everything that reaches it."""
-    kind = edges.schema["src"].dataType
-    start = edges.sparkSession.createDataFrame([(node,)], ["id"]).select(F.col("id").cast(kind).alias("id"))
-    return bfs(edges, start).where("depth > 0").select("id")
+    g = links(edges)
+    return bfs(g, g.one(node), way=way, until=until).where("depth > 0").select("id")
 
 
-def dependents(edges: DataFrame, node) -> DataFrame:
-    return dependencies(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), node)
+def dependents(edges: DataFrame | Links, node) -> DataFrame:
+    return dependencies(edges, node, "in")
 
 
-def has_cycle(edges: DataFrame) -> bool:
-    return not edges.where("src = dst").isEmpty() or not topological_levels(edges)[1].isEmpty()
+def has_cycle(edges: DataFrame | Links) -> bool:
+    return not topological_levels(edges)[1].isEmpty()
 
 
-def would_create_cycle(edges: DataFrame, src, dst) -> bool:
-    return src == dst or not dependencies(edges, dst).where(F.col("id") == src).isEmpty()
+def would_create_cycle(edges: DataFrame | Links, src, dst) -> bool:
+    return src == dst or not dependencies(edges, dst, until=src).where(F.col("id") == src).isEmpty()
 
 
 def find_cycles(edges: DataFrame, max_length: int = 10, limit: int | None = None) -> DataFrame:
@@ -305,10 +363,9 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return tot.join(F.broadcast(sq)).select((F.col("inside") / (2 * F.col("m")) - F.col("k2") / (8 * F.col("m") * F.col("m"))).alias("modularity"))  # one row each
 
 
-def local_community(edges: DataFrame, node, hops: int = 3) -> DataFrame:
-    kind = edges.schema["src"].dataType
-    start = edges.sparkSession.createDataFrame([(node,)], ["id"]).select(F.col("id").cast(kind).alias("id"))
-    return bfs(both_ways(edges), start, hops)
+def local_community(edges: DataFrame | Links, node, hops: int = 3) -> DataFrame:
+    g = links(edges)
+    return bfs(g, g.one(node), hops, "any")
 
 
 ALGORITHMS = {"pagerank": pagerank, "components": components, "scc": scc, "label_propagation": label_propagation, "dijkstra": dijkstra, "shortest_paths": shortest_paths,

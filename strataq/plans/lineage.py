@@ -45,6 +45,16 @@ def cut(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucket(df: DataFrame, by: str) -> DataFrame:
+    """Write df as a table of buckets by one column: what joins it by that column moves, and the table stays where it is."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"cut_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name.replace('_', '-')}"
+    df.repartition(n, by).write.bucketBy(n, by).option("path", path).saveAsTable(name, format="parquet")
+    made(path)
+    return spark.table(name)
+
+
 class Growing:
     """A table that a loop adds rows to, one folder a round: nothing is rewritten. `mark` is a column with the round."""
 
