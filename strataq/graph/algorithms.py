@@ -295,20 +295,36 @@ def would_create_cycle(edges: DataFrame | Links, src, dst) -> bool:
     return src == dst or not dependencies(edges, dst, until=src).where(F.col("id") == src).isEmpty()
 
 
+LIST = 4096  # neighbours that one row holds, about
+
+
 def find_cycles(edges: DataFrame, max_length: int = 10, limit: int | None = None) -> DataFrame:
     """Simple cycles of at most max_length edges, each from its smallest node; all of them unless a limit is given (see limited).
-    Only nodes of strong components take part."""
-    c = cut(scc(edges))
-    a, b = c.select(F.col("id").alias("src"), F.col("component").alias("cs")), c.select(F.col("id").alias("dst"), F.col("component").alias("cd"))
-    e = cut(edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("cs = cd").select("src", "dst"))
+    The last two edges are found at once, as what the lists of the nodes behind a path's end and before its start have in common, so the longest
+    paths are never written. Beyond three edges, only nodes of strong components take part."""
+    e = cut(edges.select("src", "dst").distinct())
+    if max_length > 3:
+        c = cut(scc(e))
+        a, b = c.select(F.col("id").alias("src"), F.col("component").alias("cs")), c.select(F.col("id").alias("dst"), F.col("component").alias("cd"))
+        e = cut(e.join(a, "src").join(b, "dst").where("cs = cd").select("src", "dst"), e)
     found = e.where("src = dst").select(F.array("src").alias("path"))
-    paths = e.where("src < dst").select(F.array("src", "dst").alias("path"))
-    for _ in range(max_length - 1):
-        nxt = cut(paths.join(e, F.element_at("path", -1) == F.col("src")).where(F.col("dst") >= F.col("path")[0]))
-        found = found.union(nxt.where(F.col("dst") == F.col("path")[0]).select("path"))
-        paths = nxt.where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
+    paths = e.where("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("path"))
+    close = e.where("src > dst").select(F.col("src").alias("end"), F.col("dst").alias("start"))
+    for k in range(1, max_length):
+        found = found.union(paths.join(close, ["start", "end"]).select("path"))
+        if k >= max_length - 2:
+            break
+        paths = cut(paths.join(e.withColumnRenamed("src", "end"), "end").where((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst")))
+                    .select("start", F.col("dst").alias("end"), F.concat("path", F.array("dst")).alias("path")))
         if paths.isEmpty():
             break
+    if max_length > 2:
+        most = max(e.groupBy(end).count().agg(F.max("count")).first()[0] or 0 for end in ("src", "dst"))
+        h = lambda c: F.pmod(F.xxhash64(c), F.lit(1 + most // LIST)).alias("h")
+        before = e.where("src > dst").groupBy(F.col("dst").alias("start"), h("src")).agg(F.collect_list("src").alias("before"))
+        behind = e.groupBy(F.col("src").alias("end"), h("dst")).agg(F.collect_list("dst").alias("behind"))
+        last = F.explode(F.array_except(F.array_intersect("before", "behind"), "path")).alias("last")
+        found = found.union(paths.join(before, "start").join(behind, ["end", "h"]).select("path", last).select(F.concat("path", F.array("last")).alias("path")))
     return found if limit is None else found.limit(limit)
 
 

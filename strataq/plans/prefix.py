@@ -27,3 +27,15 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """0-based position of each row in the global order."""
     out = running_sum(df.withColumn("__one", F.lit(1).cast("long")), order, "__one", name)
     return out.withColumn(name, F.col(name) - 1).drop("__one")
+
+
+def with_next(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Add `value` of the next row of the global order (ascending, nulls last): null for the last row. One shuffle by range and one by part."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(n, *[F.asc_nulls_last(c) for c in order]).withColumn("__part", F.spark_partition_id()))
+    key = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
+    firsts = ranged.groupBy("__part").agg(F.min_by(F.struct(value), key).alias("__f"))
+    firsts = firsts.select("__part", F.lead("__f").over(W.orderBy("__part")).alias("__f"))  # one row per partition
+    w = W.partitionBy("__part").orderBy(*[F.asc_nulls_last(c) for c in order])
+    return (ranged.withColumn("__n", F.lead(F.struct(value)).over(w)).join(F.broadcast(firsts), "__part")
+            .withColumn(name, F.coalesce("__n", "__f")[value]).drop("__part", "__n", "__f"))

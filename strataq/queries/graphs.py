@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strataq.graph import algorithms as A
 from strataq.graph.sqlpgq import MatchBuilder, label_matches
-from strataq.plans.prefix import number_rows
+from strataq.plans.prefix import with_next
 from strataq.queries.registry import query
 
 col = F.col
@@ -37,9 +37,8 @@ def _dag(e, once=True):
 
 
 def _next(e):
-    at = number_rows(e.table("events").select("ts", "event_id", "user_id"), [col("ts"), col("event_id")], "n")
-    after = at.select((col("n") - 1).alias("n"), col("user_id").alias("dst"))
-    return at.join(after, "n").select(col("user_id").alias("src"), "dst").where("src <> dst").distinct()
+    at = with_next(e.table("events").select("ts", "event_id", "user_id"), ["ts", "event_id"], "user_id", "dst")
+    return at.select(col("user_id").alias("src"), "dst").where("src <> dst").distinct()
 
 
 def _supply(e):

@@ -6,6 +6,7 @@ import pytest
 
 from strataq.errors import UnsupportedQueryError
 from strataq.graph import algorithms as A
+from strataq.plans.prefix import with_next
 
 EDGES = [(1, 2, 1.0), (1, 3, 4.0), (2, 3, 1.0), (3, 4, 2.0), (2, 4, 9.0), (4, 5, 1.0), (6, 5, 1.0)]
 
@@ -64,3 +65,41 @@ def test_closure_of_random_graphs(spark):
     while more := {(a, d) for a, b in want for c, d in pairs if b == c} - want:
         want |= more
     assert sorted(map(tuple, A.closure(spark.createDataFrame([*pairs, *pairs], "src long, dst long")).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 4])
+def test_cycles_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(A, "LIST", 3)  # a hub's neighbours take several rows
+    rng = random.Random(most)
+    pairs = {(rng.randrange(14), rng.randrange(14)) for _ in range(60)} | {(0, k) for k in range(14)} | {(k, 0) for k in range(1, 14)}
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    want = []
+
+    def walk(path):
+        for x in out.get(path[-1], []):
+            if x == path[0]:
+                want.append(path)
+            elif x > path[0] and x not in path and len(path) < most:
+                walk([*path, x])
+
+    for a in out:
+        walk([a])
+    assert sorted(r["path"] for r in A.find_cycles(spark.createDataFrame(list(pairs), "src long, dst long"), most).collect()) == sorted(want)
+
+
+def test_longest_paths_of_triangles_are_not_written(spark, monkeypatch):
+    """A hub with n edges in and n out has n * n paths of two edges through it, which were written to find what closes."""
+    wrote = []
+    monkeypatch.setattr(A, "cut", lambda df, old=None, f=A.cut: (lambda t: (wrote.append(t.count()), t)[1])(f(df, old)))
+    pairs = [(0, k) for k in range(1, 60)] + [(k, 60) for k in range(1, 60)] + [(60, k) for k in range(61, 120)] + [(60, 0)]
+    assert A.find_cycles(spark.createDataFrame(pairs, "src long, dst long"), 3).count() == 59
+    assert max(wrote) <= len(pairs)
+
+
+def test_next_of_a_global_order(spark):
+    rows = [(k * 7919 % 1000 if k % 50 else None, k, k % 13 if k % 9 else None) for k in range(2000)]
+    got = {r["id"]: r["n"] for r in with_next(spark.createDataFrame(rows, "t long, id long, v long"), ["t", "id"], "v", "n").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert got == {a[1]: b[2] for a, b in zip(order, order[1:])} | {order[-1][1]: None}
