@@ -191,17 +191,20 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, toleran
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): weakly connected, by the smallest id. Minimum over neighbours, then the label of the label (halves distances)."""
-    e = cut(both_ways(edges))
-    lab = cut(nodes(edges).select("id", F.col("id").alias("component")))
-    while True:
-        near = e.join(lab.select(F.col("id").alias("src"), "component"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("m"))
-        step = lab.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
+    """(id, component): weakly connected, by the smallest id. Nodes whose label fell tell their neighbours, then the label of the label
+    (halves distances), until none falls."""
+    e = edges.select("src", "dst")
+    g = Links(e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src is not null"))
+    lab = cut(g.by("src").groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("component")))
+    front = lab.where("component <> id")
+    while not front.isEmpty():
+        near = g.join(front.select(F.col("id").alias("src"), "component")).groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("m"))
+        step = cut(lab.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component")))
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = cut(step.join(jump, "component", "left").select("id", "old", F.least(F.col("component"), F.coalesce("up", "component")).alias("component")))
-        if new.where("old <> component").isEmpty():
-            return new.select("id", "component")
+        new = cut(step.join(jump, "component", "left").select("id", "old", F.least(F.col("component"), F.coalesce("up", "component")).alias("component")), step)
+        front = new.where("old <> component").select("id", "component")
         lab = new.select("id", "component")
+    return lab
 
 
 def scc(edges: DataFrame) -> DataFrame:

@@ -41,9 +41,10 @@ def _next(e):
     return at.select(col("user_id").alias("src"), "dst").where("src <> dst").distinct()
 
 
-def _supply(e):
+def _supply(e, once=True):
     """Supplier -> part edges of the line items."""
-    return e.table("lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
+    df = e.table("lineitem").select("l_suppkey", "l_partkey")
+    return (df.distinct() if once else df).select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
 
 
 query("x1_edge_scan", "SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey = 3")(lambda e: e.table("lineitem").where("l_suppkey = 3").select("l_suppkey", "l_partkey").distinct())
@@ -182,7 +183,7 @@ SELECT id, max(l) AS distance FROM r GROUP BY id""")(lambda e: A.critical_path(_
 query("h7_dependencies", _REACH.format(g=_DAG) + "SELECT dst AS id FROM r WHERE src = 'n5'")(lambda e: A.dependencies(_dag(e, once=False), "n5"))
 query("h7_dependents", _REACH.format(g=_DAG) + "SELECT src AS id FROM r WHERE dst = 'p9'")(lambda e: A.dependents(_dag(e, once=False), "p9"))
 #: No SQL: a recursion from every node is too slow on whole tables. tests/test_whole.py holds it against union-find.
-query("h10_components")(lambda e: A.run_algorithm("components", _supply(e)))
+query("h10_components")(lambda e: A.run_algorithm("components", _supply(e, once=False)))
 query("h11_limited", "SELECT 10::BIGINT AS n, false AS complete, 'maxResults' AS reason")(
     lambda e: (lambda r: r[0].agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(r[1]).alias("complete"), F.lit(r[2]).alias("reason")))(A.limited(_supply(e).orderBy("src", "dst"), 10)))
 query("f8_connected_score", _FROM.format(g=_DAG, start="'n2'", most=3) + "SELECT id, round(1.0::DOUBLE / min(depth), 6) AS score FROM r GROUP BY id HAVING min(depth) > 0")(

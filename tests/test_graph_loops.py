@@ -34,6 +34,14 @@ def test_edges_are_made_once(counted, run):
     assert seen.value == len(EDGES)
 
 
+def test_edges_of_components_and_cycles_are_made_once(counted):
+    edges, seen = counted
+    assert {r[1] for r in A.components(edges).collect()} == {1}
+    assert seen.value <= 2 * len(EDGES)  # one for each direction
+    before = seen.value
+    assert A.find_cycles(edges, 3).collect() == [] and seen.value - before == len(EDGES)
+
+
 @pytest.mark.parametrize("few", [0, 100_000])
 def test_large_and_short_frontiers_agree(spark, monkeypatch, few):
     monkeypatch.setattr(A, "FEW", few)
@@ -98,6 +106,12 @@ def test_longest_paths_of_triangles_are_not_written(spark, monkeypatch):
     assert max(wrote) <= len(pairs)
 
 
+def test_components_of_chains_and_loops(spark):
+    pairs = [(k, k + 1) for k in range(100, 140)] + [(7, 7), (200, 150), (150, 200)] + [(-1, None)]
+    got = dict(A.components(spark.createDataFrame(pairs, "src long, dst long")).collect())
+    assert got == {**{k: 100 for k in range(100, 141)}, 7: 7, 150: 150, 200: 150, -1: -1}
+
+
 def test_next_of_a_global_order(spark):
     rows = [(k * 7919 % 1000 if k % 50 else None, k, k % 13 if k % 9 else None) for k in range(2000)]
     got = {r["id"]: r["n"] for r in with_next(spark.createDataFrame(rows, "t long, id long, v long"), ["t", "id"], "v", "n").collect()}
