@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.errors import UnsupportedQueryError
+from strataq.plans.spread import spread_join
 
 
 @dataclass
@@ -253,7 +254,7 @@ def match(load, graph: PropertyGraph, paths: list[dict], props: dict[str, set[st
                 cur = cur.where(F.col(c) != F.col(ids[-1]))
         if path["mode"] == "trail" and steps:
             cur = cur.where(F.size(F.array_distinct(F.array(*steps))) == len(steps)).drop(*steps)
-        total = cur if total is None else total.join(cur, [c for c in total.columns if c in cur.columns]) if set(total.columns) & set(cur.columns) else total.crossJoin(cur)
+        total = cur if total is None else spread_join(total, cur, [c for c in total.columns if c in cur.columns]) if set(total.columns) & set(cur.columns) else total.crossJoin(cur)
     return total
 
 

@@ -42,3 +42,16 @@ def test_documents_without_tokens(spark, odd):
 def test_letters_without_marks_stay(spark, odd):
     same(spark, odd, "t16_ascii_folding")
     assert spark.range(1).select(T.strip_accents(F.lit("Straße Éa œ"))).first()[0] == "Straße Ea œ"
+
+
+def test_a_hot_shared_variable_is_dealt_over_tasks(spark, monkeypatch):
+    """All pairs of one key were made in one task."""
+    from strataq.plans import spread
+
+    monkeypatch.setattr(spread, "PAIRS", 1000)
+    a = spark.range(300).selectExpr("if(id % 100 = 0, id, 7) as k", "id as x").union(spark.createDataFrame([(None, -1)], "k long, x long"))
+    b = spark.range(200).selectExpr("7 as k", "id as y")
+    out = spread.spread_join(a, b, ["k"]).withColumn("task", F.spark_partition_id())
+    got = out.collect()
+    assert sorted((r["x"], r["y"]) for r in got) == [(x, y) for x in range(300) if x % 100 for y in range(200)]
+    assert len({r["task"] for r in got}) > 1
