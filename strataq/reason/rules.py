@@ -204,8 +204,43 @@ def materialize(triples: DataFrame, rules: list[str] | None = None, max_rounds:
     return t
 
 
-def rdfs(triples: DataFrame) -> DataFrame:
-    return materialize(triples, RDFS_RULES)
+def rdfs(triples: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """materialize(triples, RDFS_RULES), semi-naive: classes and properties are closed first, in a table of their own that is sent where it is small,
+    and then every triple is followed once. A type that comes from a closed class needs no further look at its classes. Triples are written once."""
+    schema = [SUBCLASS, SUBPROP, DOMAIN, RANGE]
+    literal = lambda c: F.startswith(c, F.lit('"'))
+    given = cut(triples.select("s", "p", "o").distinct())
+    known, delta = [given], given.withColumn("closed", F.lit(0))
+    told, changed = cut(given.where(F.col("p").isin(*schema))), True
+    for _ in range(max_rounds):
+        if changed:
+            closed = materialize(told, ["scm-sco", "scm-spo"])
+            more = cut(closed.join(told, ["s", "p", "o"], "left_anti"))
+            known, delta = [*known, more], delta.union(more.withColumn("closed", F.lit(0)))
+            told, present = closed, {r["p"] for r in closed.select("p").distinct().collect()}  # four at most
+        f, zero = Facts(told), F.lit(0).alias("closed")
+        heads = []
+        if DOMAIN in present:
+            heads.append(delta.join(f.p(DOMAIN, "p", "c"), "p").select("s", F.lit(TYPE).alias("p"), F.col("c").alias("o"), zero))
+        if RANGE in present:
+            heads.append(delta.join(f.p(RANGE, "p", "c"), "p").where(~literal("o")).select(F.col("o").alias("s"), F.lit(TYPE).alias("p"), F.col("c").alias("o"), zero))
+        if SUBPROP in present:
+            heads.append(delta.join(f.p(SUBPROP, "p", "q"), "p").select("s", F.col("q").alias("p"), "o", zero))
+        if SUBCLASS in present:
+            heads.append(delta.where((F.col("p") == TYPE) & (F.col("closed") == 0)).join(f.p(SUBCLASS, "o", "d"), "o").select("s", "p", F.col("d").alias("o"), (~literal("o")).cast("int").alias("closed")))
+        if not heads:
+            break
+        every = reduce(lambda a, b: a.union(b), known)
+        new = reduce(lambda a, b: a.union(b), heads).where(~literal("s")).groupBy("s", "p", "o").agg(F.min("closed").alias("closed"))
+        delta = cut(new.join(every, ["s", "p", "o"], "left_anti"))
+        if delta.isEmpty():
+            break
+        known.append(delta.select("s", "p", "o"))
+        fresh = delta.where(F.col("p").isin(*schema)).select("s", "p", "o")
+        changed = not fresh.isEmpty()
+        if changed:  # then all triples are followed again
+            told, delta = cut(told.union(fresh)), reduce(lambda a, b: a.union(b), known).withColumn("closed", F.lit(0))
+    return reduce(lambda a, b: a.union(b), known)
 
 
 def violations(triples: DataFrame) -> DataFrame:

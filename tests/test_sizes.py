@@ -55,3 +55,15 @@ def test_a_hot_shared_variable_is_dealt_over_tasks(spark, monkeypatch):
     got = out.collect()
     assert sorted((r["x"], r["y"]) for r in got) == [(x, y) for x in range(300) if x % 100 for y in range(200)]
     assert len({r["task"] for r in got}) > 1
+
+
+def test_rdfs_gives_what_its_rules_give(spark):
+    from strataq.reason import rules as RU
+
+    S = RU.SUBCLASS
+    t = [("<a>", S, "<b>"), ("<b>", S, "<c>"), ("<c>", S, "<a>"), ("<x>", RU.TYPE, "<a>"), ("<p>", RU.SUBPROP, "<q>"), ("<q>", RU.SUBPROP, "<r>"), ("<q>", RU.DOMAIN, "<a>"), ("<r>", RU.RANGE, "<d>"), ("<d>", S, "<e>"),
+         ("<y>", "<p>", "<z>"), ("<y>", "<p>", '"lit"'), ("<under>", RU.SUBPROP, S), ("<e>", "<under>", "<f>"), ('"c"', S, "<g>"), ("<g>", S, "<h>"), ("<w>", RU.TYPE, '"c"'), ("<p>", RU.DOMAIN, "<k>"), ("<m>", RU.SUBPROP, RU.TYPE), ("<v>", "<m>", "<b>")]
+    df = spark.createDataFrame(t, "s string, p string, o string")
+    got = RU.rdfs(df)
+    want = RU.materialize(df, RU.RDFS_RULES)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
