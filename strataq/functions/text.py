@@ -13,6 +13,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once a row: a lambda computes what it names anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # tokenizers -> array<string>
 def simple_tokens(text, min_length: int = 1) -> Column:
     """Lower case, split on anything but letters and digits, drop short ones; positions count kept tokens."""
@@ -31,9 +36,11 @@ def stem_tokens(text, min_length: int = 1) -> Column:
 
 
 def ngram_tokens(text, k: int = 3) -> Column:
-    s = F.lower(_c(text))
-    n = F.length(s)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    def grams(s: Column) -> Column:
+        n = F.length(s)
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    return _let(F.lower(_c(text)), grams)
 
 
 def keyword_token(text) -> Column:
@@ -102,19 +109,17 @@ def strip_accents(text) -> Column:
     def composed(s: Column) -> Column:
         return F.when(s.rlike(_LETTERS), F.array_join(F.transform(F.regexp_extract_all(s, F.lit(f"(?s){_LETTERS}|."), F.lit(0)), _syllable), "")).otherwise(s)
 
-    return F.get(F.transform(F.array(F.translate(_c(text), *_accents())), composed), F.lit(0))
+    return _let(F.translate(_c(text), *_accents()), composed)
 
 
 # similarity
 def trigrams(text) -> Column:
-    s = F.lower(_c(text))
-    return F.when(F.length(s) < 3, F.array(s)).otherwise(F.array_distinct(ngram_tokens(s, 3)))
+    return _let(F.lower(_c(text)), lambda s: F.when(F.length(s) < 3, F.array(s)).otherwise(F.array_distinct(ngram_tokens(s, 3))))
 
 
 def trigram_similarity(a, b) -> Column:
     """Dice coefficient of the distinct trigrams."""
-    x, y = trigrams(a), trigrams(b)
-    return 2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
+    return _let(F.struct(trigrams(a).alias("x"), trigrams(b).alias("y")), lambda t: 2.0 * F.size(F.array_intersect(t["x"], t["y"])) / (F.size(t["x"]) + F.size(t["y"])))
 
 
 def within_edits(a, b, edits: int, prefix: int = 0) -> Column:

@@ -67,3 +67,12 @@ def test_rdfs_gives_what_its_rules_give(spark):
     got = RU.rdfs(df)
     want = RU.materialize(df, RU.RDFS_RULES)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_grams_compute_their_text_once(spark):
+    """The text was computed again for every gram."""
+    df = spark.range(1).select(T.trigram_similarity(F.repeat(F.col("id").cast("string"), 9), F.lit("0000")).alias("s"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("repeat(") == 1
+    assert df.first()["s"] == 1.0
+    few = spark.createDataFrame([("ab",), (None,), ("Night",)], "t string").select(T.trigram_similarity("t", F.lit("night")).alias("s"), T.ngram_tokens("t", 3).alias("g")).collect()
+    assert [r["s"] for r in few] == [0.0, 0.0, 1.0] and [r["g"] for r in few] == [[], [], ["nig", "igh", "ght"]]
