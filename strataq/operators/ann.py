@@ -15,7 +15,8 @@ from strataq.operators.similar import IVF, PQ, HyperplaneIndex
 from strataq.plans.lineage import cut
 
 PART = 20_000  # vectors of a cell that one task holds
-BLOCK = 256  # queries of a task that are compared at once
+ASKED = 8_192  # queries that one task holds
+CELLS = 2_000_000  # distances that a task computes at once
 
 
 def _matrix(column) -> np.ndarray:
@@ -34,19 +35,21 @@ def _meet(score, keep: int):
     names = ["query", "id", "score", "distance"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list = [[], [], [], []]
-        if left.num_rows and right.num_rows:
+        rows = min(keep, right.num_rows)
+        out = [np.empty(left.num_rows * rows, kind) for kind in (np.int64, np.int64, float, float)]
+        if left.num_rows and rows:
             query, ids, q, x = left["query"].to_numpy(), right["id"].to_numpy(), _matrix(left["q"]), _matrix(right["v"])
-            for at in range(0, len(q), BLOCK):
-                part = q[at: at + BLOCK]
+            block, to = max(1, CELLS // len(ids)), 0
+            for at in range(0, len(q), block):
+                part = q[at: at + block]
                 d = _distances(part, x)
                 s = d if score is None else score(part, right)
                 for i in range(len(part)):
                     best = np.lexsort((ids, s[i]))[:keep] if len(ids) <= keep else np.argpartition(s[i], keep - 1)[:keep]
-                    for col, v in zip(out, (np.full(len(best), query[at + i]), ids[best], s[i, best], d[i, best])):
-                        col.append(v)
-        cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int64, float, float))], names=names)
+                    for c, v in zip(out, (query[at + i], ids[best], s[i, best], d[i, best])):
+                        c[to: to + rows] = v
+                    to += rows
+        return pa.table([pa.array(c) for c in out], names=names)
 
     return run
 
@@ -55,12 +58,15 @@ _SCHEMA = "query long, id long, score double, distance double"
 
 
 def _joined(queries: DataFrame, rows: DataFrame, keys: list[str], keep: int, score=None) -> DataFrame:
-    """queries (query, q, *keys) against rows (id, v, *keys); a group of rows of more than PART is dealt to parts, which its queries all visit."""
+    """queries (query, q, *keys) against rows (id, v, *keys). A group of more than PART rows or ASKED queries is dealt to parts and blocks: its queries
+    visit all parts, its rows all blocks, so what a task holds and returns is bounded."""
     parts = cut(rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")))
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    rows = rows.join(parts, keys).withColumn("part", part).drop("parts")
-    queries = queries.join(parts, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    group = [*keys, "part"]
+    blocks = cut(queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("blocks")))
+    one = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = rows.join(parts, keys).join(blocks, keys).withColumn("part", one("id", "parts")).withColumn("block", every("blocks")).drop("parts", "blocks")
+    queries = queries.join(parts, keys).join(blocks, keys).withColumn("block", one("query", "blocks")).withColumn("part", every("parts")).drop("parts", "blocks")
+    group = [*keys, "part", "block"]
     return queries.groupBy(*group).cogroup(rows.groupBy(*group)).applyInArrow(_meet(score, keep), _SCHEMA)
 
 

@@ -76,3 +76,25 @@ def test_grams_compute_their_text_once(spark):
     assert df.first()["s"] == 1.0
     few = spark.createDataFrame([("ab",), (None,), ("Night",)], "t string").select(T.trigram_similarity("t", F.lit("night")).alias("s"), T.ngram_tokens("t", 3).alias("g")).collect()
     assert [r["s"] for r in few] == [0.0, 0.0, 1.0] and [r["g"] for r in few] == [[], [], ["nig", "igh", "ght"]]
+
+
+def test_a_group_of_many_queries_is_dealt_to_blocks(spark, monkeypatch):
+    """One task held and returned the results of all queries of a part."""
+    from strataq.operators import ann
+    from strataq.operators.similar import PQ
+
+    df = spark.range(300).selectExpr("id as vec_id", "transform(sequence(1, 8), k -> double(hash(id, k) % 1000)) as embedding")
+    queries, index = df.where("vec_id % 3 = 0").selectExpr("vec_id as query", "embedding as q"), PQ(df, "vec_id", "embedding", 4, 16, 5, 300)
+    want = sorted(map(tuple, ann.search_pq(index, queries, 5, 4).select("query", "id", "rank").collect()))
+    monkeypatch.setattr(ann, "ASKED", 30)
+    monkeypatch.setattr(ann, "PART", 100)
+    monkeypatch.setattr(ann, "CELLS", 500)
+    seen = spark.sparkContext.accumulator(0)
+
+    def meet(score, keep, f=ann._meet):
+        run = f(score, keep)
+        return lambda left, right: (seen.add(int(left.num_rows > 60)), run(left, right))[1]
+
+    monkeypatch.setattr(ann, "_meet", meet)
+    got = sorted(map(tuple, ann.search_pq(index, queries, 5, 30).select("query", "id", "rank").collect()))
+    assert len(want) == 500 and {r for r in got if r[2] == 1} == {r for r in want if r[2] == 1} and len(got) == 500 and seen.value == 0
