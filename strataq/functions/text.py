@@ -4,6 +4,8 @@ import unicodedata
 from functools import cache
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
@@ -300,15 +302,11 @@ def _porter2(w: str) -> str:
     return w.replace("Y", "y")
 
 
-@F.pandas_udf(Y.ArrayType(Y.StringType()))
-def snowball_tokens(tokens: pd.Series) -> pd.Series:
-    memo: dict = {}
-
-    def stem(t):
-        if t not in memo:
-            if len(memo) > 100_000:
-                memo.clear()
-            memo[t] = _porter2(t)
-        return memo[t]
-
-    return tokens.map(lambda ts: None if ts is None else [stem(t) for t in ts])
+@F.arrow_udf(Y.ArrayType(Y.StringType()))
+def snowball_tokens(tokens: pa.Array) -> pa.Array:
+    """Stems of arrays of tokens. Only a batch's different tokens become Python strings; the arrays stay in Arrow's buffers."""
+    words = tokens.flatten().dictionary_encode()
+    stems = pa.array([None if w is None else _porter2(w) for w in words.dictionary.to_pylist()], pa.string())
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    ends = pa.array([0, *lengths.cumsum().tolist()], pa.int32())
+    return pa.ListArray.from_arrays(ends, stems.take(words.indices), mask=tokens.is_null())

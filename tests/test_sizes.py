@@ -98,3 +98,14 @@ def test_a_group_of_many_queries_is_dealt_to_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "_meet", meet)
     got = sorted(map(tuple, ann.search_pq(index, queries, 5, 30).select("query", "id", "rank").collect()))
     assert len(want) == 500 and {r for r in got if r[2] == 1} == {r for r in want if r[2] == 1} and len(got) == 500 and seen.value == 0
+
+
+def test_stems_of_a_batch_take_each_word_once(spark, monkeypatch):
+    """Every word of a batch became a Python string, and its stem another one."""
+    import pyarrow as pa
+
+    calls = []
+    monkeypatch.setattr(T, "_porter2", lambda w, f=T._porter2: calls.append(w) or f(w))
+    batch = pa.array([["skip"], ["running", "dogs"] * 50, None, [], ["dogs", None]], pa.list_(pa.string()))[1:]
+    assert T.snowball_tokens.func(batch).to_pylist() == [["run", "dog"] * 50, None, [], ["dog", None]]
+    assert sorted(calls) == ["dogs", "running"]
